@@ -12,11 +12,14 @@ each; an empty table gives an empty result; extra columns are ignored. Texts are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strophe.llm.common import IS_SPACE, slices, sums, text_buffers, text_rows
 
@@ -125,6 +128,13 @@ def measure(batch: pa.RecordBatch, min_repeat: int) -> dict[str, np.ndarray]:
     return out
 
 
+def verdict(of: Callable[[str], Column], min_words: int = 50, max_repeat_percent: int = 50, max_covered_percent: int = 40, max_longest: int = 100) -> tuple[Column, Column]:
+    """base_failed and kept from the counts."""
+    failed = (of("n_words") < min_words) | (100 * of("n_repeat_words") > max_repeat_percent * of("n_words"))
+    limits = (100 * of("n_covered_words") <= max_covered_percent * of("n_words")) & (of("longest_repeat") <= max_longest)
+    return failed, ~failed & limits
+
+
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
 
 
@@ -144,6 +154,22 @@ def repetition(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[c].astype(np.int64)) for c in COLUMNS)], names=["doc_id", *COLUMNS])
 
     counts = text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    limits = (100 * F.col("n_covered_words") <= max_covered_percent * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
-    return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & limits)
+    failed, kept = verdict(F.col, min_words, max_repeat_percent, max_covered_percent, max_longest)
+    return counts.withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def filter_kept(docs: DataFrame, text_col: str = "text", min_repeat: int = 10, **limits: int) -> DataFrame:
+    """The rows of docs that repetition() keeps, with all their columns: the text is measured where it lies, without a join."""
+    added = {"doc_id": "__row", **{c: f"__{c}" for c in COLUMNS}}
+    names = docs.columns
+
+    def run(batches):
+        for whole in batches:
+            filled = pc.fill_null(whole.column(text_col), "")
+            parts = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows)), filled], names=["doc_id", "text"])])))
+            got = [measure(p, min_repeat) for p in parts]
+            counts = [pa.array(np.concatenate([g[c] for g in got]).astype(np.int64) if got else [], pa.int64()) for c in COLUMNS]
+            yield pa.RecordBatch.from_arrays([*whole.columns, *counts], names=[*names, *(added[c] for c in COLUMNS)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(added[c], T.LongType()) for c in COLUMNS)])
+    return docs.mapInArrow(run, schema).filter(verdict(lambda c: F.col(added[c]), **limits)[1]).select(*[F.col(f"`{c}`") for c in names])

@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import quality, simhash
+from strophe.llm import mixing, pii, quality, secrets, sentencepiece_scan, simhash
+
+
+#: Vocabulary files stay where they are installed; the path is a parameter of the operators.
+PII_KEY = "strophe-production-key-1"
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -22,12 +40,35 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(documents(spark, sf_dir))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_scan.digests(sentencepiece_scan.encode(documents(spark, sf_dir), model), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
+        op3_poisson_mixing,
         op5_simhash_near_dedup,
         op6_suffix_repetition,
+        op9_pii_pseudonyms,
+        op10_sentencepiece,
     )
 }
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLES: dict[str, str] = {}
