@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import mixing, pii, quality, secrets, sentencepiece_scan, simhash
+from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, token_files
+from strophe.llm.common import new_folder
 
 
 #: Vocabulary files stay where they are installed; the path is a parameter of the operators.
@@ -28,10 +29,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    shards = token_files.write(documents(spark, sf_dir), folder, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.with_starts(token_files.read(spark, folder, with_ids=False), shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
 
 
+def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +51,10 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(documents(spark, sf_dir))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
 
@@ -53,9 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_token_files,
         op3_poisson_mixing,
+        op4_ivf_pq,
         op5_simhash_near_dedup,
         op6_suffix_repetition,
+        op8_html_main_text,
         op9_pii_pseudonyms,
         op10_sentencepiece,
     )

@@ -146,7 +146,7 @@ def thresholds(scanned: DataFrame, fdr: float) -> dict[int, int]:
     )
     counts = counts.groupBy("class", "score").agg(F.sum("run").alias("run"), F.sum("false").alias("false"))
     above = Window.partitionBy("class").orderBy(F.desc("score"))
-    share = (1 + F.sum("false").over(above)) / F.sum("run").over(above)
+    share = (1 + F.sum("false").over(above)) / F.greatest(F.sum("run").over(above), F.lit(1))
     best = counts.withColumn("share", share).filter(F.col("share") <= fdr).groupBy("class").agg(F.min("score").alias("score"))
     return {r["class"]: r["score"] for r in best.collect()}
 

@@ -3,9 +3,10 @@
 A segmentation is the best path of pieces under the vocabulary's scores (unigram inference). Any vocabulary file can
 be read that way, also one whose scores are merge ranks: nothing is trained and no piece or score changes. Bytes stand
 for characters without a piece; among equal scores the longer last piece wins. Scores are added in double precision,
-so the path is a true optimum (the library's single-precision pass is not, for rank scores). No piece holds a space
-mark after another character or a line feed, so ordinary documents fall into words whose best paths are found once
-each and kept; a vocabulary without that property is searched over whole texts.
+so the path is a true optimum (the library's single-precision pass is not, for rank scores). No piece spans a
+line feed, the place before a space mark, or a change between ASCII letters and other ASCII characters (this is
+checked), so ordinary documents fall into words whose best paths are found once each and kept; a vocabulary without
+that property is searched over whole texts.
 
 Giant documents are exploded into chunks of characters. The state at a boundary is the number of characters by which
 a piece reaches over it. Each chunk yields a matrix (entry state x exit state -> best score); matrices compose by
@@ -34,8 +35,16 @@ MARK = "▁"
 NEG = -np.inf
 #: What an unknown character scores below the least normal piece; fixed in the library.
 UNKNOWN_PENALTY = 10.0
-WORDS_KEPT = 400_000
-WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+WORDS_KEPT = 250_000
+ASCII_RUN = r"(?:[A-Za-z]+|[\x00-\x09\x0b-@\[-`{-\x7f]+)"
+OTHERS = rf"[^\x00-\x7f{MARK}]+"
+#: A line feed, or space marks with what follows up to the next mark, line feed or change between ASCII letters and other ASCII.
+WORD = re.compile(rf"\n|{MARK}*(?:{ASCII_RUN}|{OTHERS}{ASCII_RUN}?)(?:{OTHERS}{ASCII_RUN}?)*|{MARK}+")
+
+
+def falls_apart(piece: str) -> bool:
+    """Whether WORD would cut inside the piece."""
+    return len(WORD.findall(piece)) != 1
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -86,25 +95,28 @@ class Vocabulary:
                 self.ids[p] = (i, self.library.get_score(i) if k == 1 else len(p.encode()) * most - 0.1)
                 self.prefixes.update(p[:n] for n in range(1, len(p) + 1))
         self.reach = max(map(len, self.ids))
-        self.local = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
+        self.local = not any(map(falls_apart, self.ids))
+        #: scores of pieces, and of their beginnings that are no pieces: minus infinity
+        self.scores = {p: NEG for p in self.prefixes} | {p: s for p, (_, s) in self.ids.items()}
         self.known: dict[str, bytes] = {}
 
     def best(self, text: str) -> bytes:
         """The best path's ids, as little-endian int32, of a text that starts and ends on piece boundaries."""
         n = len(text)
         scores, starts = [0.0] + [NEG] * n, [0] * (n + 1)
-        ids, prefixes, unknown = self.ids, self.prefixes, self.unknown
+        ids, score_of, unknown = self.ids, self.scores.get, self.unknown
         for at in range(n):
             base, end = scores[at], at + 1
-            if base + unknown > scores[end] and text[at:end] not in ids:
+            score = score_of(text[at:end])
+            if (score is None or score == NEG) and base + unknown > scores[end]:
                 scores[end], starts[end] = base + unknown, at
-            while end <= n:
-                piece = text[at:end]
-                if piece not in prefixes:
-                    break
-                if (got := ids.get(piece)) is not None and base + got[1] > scores[end]:
-                    scores[end], starts[end] = base + got[1], at
+            while score is not None:
+                if base + score > scores[end]:
+                    scores[end], starts[end] = base + score, at
                 end += 1
+                if end > n:
+                    break
+                score = score_of(text[at:end])
         out, at = [], n
         while at:
             piece = text[starts[at] : at]
@@ -211,6 +223,16 @@ class Vocabulary:
         return out
 
 
+def shared_start(walks: dict[int, tuple[int, list[int]]]) -> dict:
+    """The walks with the ids that all of them begin with held once; they have those in common only if they enter in one state."""
+    own = list(walks.values())
+    n = 0
+    if len({entry for entry, _ in own}) == 1:
+        first, last = min(ids for _, ids in own), max(ids for _, ids in own)
+        n = next((i for i, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+    return {"common": own[0][1][:n] if own else [], "exits": [{"exit": k, "entry": e, "tail": ids[n:]} for k, (e, ids) in walks.items()]}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -243,9 +265,8 @@ def encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
     def matrices(batches):
         words = vocabulary(model)
         for batch in batches:
-            rows = batch.to_pydict()
-            cells = [words.transfer(p, n).ravel().tolist() for p, n in zip(rows["part"], rows["size"], strict=True)]
-            yield pa.RecordBatch.from_pydict({"row": rows["row"], "chunk": pa.array(rows["chunk"], pa.int32()), "cells": pa.array(cells, pa.list_(pa.float64()))})
+            cells = [words.transfer(p.as_py(), n.as_py()).ravel() for p, n in zip(batch.column("part"), batch.column("size"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(cells, pa.list_(pa.float64()))], names=["row", "chunk", "cells"])
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
@@ -257,24 +278,28 @@ def encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
             at = (at[:, None] + np.array(cells).reshape(reach, reach)).max(axis=0)
         return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "entry": entries})
 
+    walk_type = "struct<common: array<int>, exits: array<struct<exit: int, entry: int, tail: array<int>>>>"
+
     def back(batches):
         words = vocabulary(model)
+        kind = pa.struct([("common", pa.list_(pa.int32())), ("exits", pa.list_(pa.struct([("exit", pa.int32()), ("entry", pa.int32()), ("tail", pa.list_(pa.int32()))])))])
         for batch in batches:
-            rows = batch.to_pydict()
-            walks = [[{"exit": k, "entry": e, "ids": ids} for k, (e, ids) in words.walks(p, n, np.array(v)).items()] for p, n, v in zip(rows["part"], rows["size"], rows["entry"], strict=True)]
-            kind = pa.list_(pa.struct([("exit", pa.int32()), ("entry", pa.int32()), ("ids", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_pydict({"row": rows["row"], "doc_id": pa.array(rows["doc_id"], pa.int64()), "chunk": pa.array(rows["chunk"], pa.int32()), "walks": pa.array(walks, kind)})
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                part, n, entry = (row.column(c)[0].as_py() for c in ("part", "size", "entry"))
+                walks = pa.array([shared_start(words.walks(part, n, np.array(entry)))], kind)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("row", "doc_id", "chunk")), walks], names=["row", "doc_id", "chunk", "walks"])
 
     cells = keyed.select("row", "chunk", "size", "part").mapInArrow(matrices, "row string, chunk int, cells array<double>")
     entries = cells.groupBy("row").applyInPandas(scan, "row string, chunk int, entry array<double>")
-    walked = keyed.join(entries, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "part", "entry").mapInArrow(back, "row string, doc_id long, chunk int, walks array<struct<exit int, entry int, ids array<int>>>")
+    walked = keyed.join(entries, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "part", "entry").mapInArrow(back, f"row string, doc_id long, chunk int, walks {walk_type}")
     # from the last chunk back, each chunk's entry state is the exit state of the one before
     walked = walked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.reverse(F.array_sort(F.collect_list(F.struct("chunk", "walks")))).alias("chunks"))
     start = F.expr("named_struct('state', 0, 'parts', cast(array() as array<array<int>>))")
 
     def step(acc, c):
-        walk = F.element_at(F.filter(c["walks"], lambda w: w["exit"] == acc["state"]), 1)
-        return F.struct(walk["entry"].alias("state"), F.concat(F.array(walk["ids"]), acc["parts"]).alias("parts"))
+        walk = F.element_at(F.filter(c["walks"]["exits"], lambda w: w["exit"] == acc["state"]), 1)
+        return F.struct(walk["entry"].alias("state"), F.concat(F.array(c["walks"]["common"], walk["tail"]), acc["parts"]).alias("parts"))
 
     return walked.select("doc_id", F.flatten(F.aggregate("chunks", start, step)["parts"]).alias("ids"))
 
@@ -292,7 +317,8 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     def run(batches):
         library = vocabulary(model).library
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([library.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
+            texts = [library.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid and len(x) else "" for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -304,7 +330,7 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
         library = vocabulary(model).library
         for batch in batches:
             ids = batch.column("ids")
-            texts = [library.decode(x) if x else "" for x in ids.to_pylist()]
+            texts = [library.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if len(x) else "" for x in ids]
             columns = [
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([crc32(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()) for x in ids], pa.int64()),
