@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, token_files
+from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_files
 from strophe.llm.common import new_folder
 
 
@@ -51,6 +51,10 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_ivf_pq,
         op5_simhash_near_dedup,
         op6_suffix_repetition,
+        op7_suffix_dedup,
         op8_html_main_text,
         op9_pii_pseudonyms,
         op10_sentencepiece,
@@ -89,4 +94,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-ORACLES: dict[str, str] = {}
+#: Square-root weights, MD5 uniforms and the Poisson distribution function, as mixing.py has them.
+MIXING_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sqrt(n) * (SELECT sum(n) FROM counts) / (SELECT sum(sqrt(n)) FROM counts) / n AS rate FROM counts
+),
+terms AS (
+  SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+  FROM (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT))) AS k FROM rates)
+),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+drawn AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r.rate,
+    (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source
+       AND cdf.c <= CAST(('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0) AS copies
+  FROM documents d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
+),
+copied AS (SELECT *, unnest(generate_series(0, CAST(copies - 1 AS INT))) AS copy FROM drawn WHERE copies > 0)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(copy AS INT) AS copy,
+  md5('17:shuffle|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
+FROM copied
+"""
+
+ORACLES: dict[str, str] = {"op3_poisson_mixing": MIXING_SQL}
