@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows of one id stay together."""
-    found = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """The document with the smallest id of each near-duplicate group; rows of one id stay or go together, and null ids stay."""
+    found = simhash.near_duplicates(docs).filter("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
