@@ -6,7 +6,9 @@ frame for each document, so a short document is read and decompressed alone. The
 serialized id arrays of a bounded sample and stored once beside the shards. Files are written under a temporary name
 and renamed, with the same bytes on every attempt, so a lost executor's task can run again.
 
-Encoding keeps the ids of white-space separated words: the tokenizer's pre-tokenizer never joins across white space.
+Encoding keeps the ids of words, which are looked up instead of encoded again: the tokenizer's pre-tokenizer never joins
+across white space, nor across letters, digits and symbols in plain Latin texts. A tokenizer whose pre-tokenizer does
+otherwise needs WHOLE to match every text.
 
 Defined results: null text counts as empty (the end id alone); null ids come first and stay null; repeated ids are
 ordered by their text; an empty table gives no shards and an empty result; extra columns are ignored.
@@ -33,8 +35,13 @@ from strophe.llm.common import checkpoint, text_rows
 
 MAGIC = b"STOK0001"
 HEAD = struct.Struct("<8sB32sI")
-#: Python's split() takes these for white space and the tokenizer may not; such texts are encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+#: Python's split() takes these for white space and the tokenizer may not, and special tokens hold this pair: such texts are encoded whole.
+WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|")
+#: Other texts fall apart at white space. Those of ASCII and Latin letters alone, without apostrophes (contractions), also
+#: fall into runs of letters, single digits and runs of symbols, as the pre-tokenizer cuts them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
+MIXED = re.compile(rf"[^\x00-\x7f{LETTERS}]|'")
+UNIT = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 WORDS_KEPT = 400_000
 
 
@@ -49,8 +56,13 @@ def word_encoder(path: str):
     def raw(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def units(text: str) -> list[str] | None:
+        if WHOLE.search(text):
+            return None
+        return text.split() if MIXED.search(text) else UNIT.findall(text.lower())
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [units(t) for t in texts]
         new = list({w for words in split if words for w in words}.difference(known))
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
@@ -69,8 +81,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     """The dictionary and the width of an id in bytes. Sample: the first `sample_docs` documents of at most `sample_chars` characters by the hash of their id."""
     encode, vocab = word_encoder(tokenizer)
     width = 2 if max(vocab, end_id + 1) <= 65_536 else 4
-    sample = docs.filter(F.char_length("text") <= sample_chars).orderBy(F.xxhash64("doc_id"), "text").limit(sample_docs)
-    arrays = [narrow(ids + struct.pack("<I", end_id), width) for ids in encode([r["text"] for r in sample.select("text", "doc_id").collect()])]
+    fit = docs.filter(F.char_length("text") <= sample_chars)
+    # ids first: each partition sends its best ids alone to the driver
+    chosen = [r["doc_id"] for r in fit.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_docs).collect()]
+    sample = sorted(r["text"] for r in fit.filter(F.col("doc_id").isin(chosen)).select("text").limit(2 * sample_docs).collect()) if chosen else []
+    arrays = [narrow(ids + struct.pack("<I", end_id), width) for ids in encode(sample)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes(), width
     except zstandard.ZstdError:  # too little to train on: its bytes serve as they are
