@@ -146,70 +146,59 @@ class Vocabulary:
             parts.append(ids)
         return b"".join(parts)
 
-    def forward(self, text: str, n: int, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best scores and starts at positions 0..n + reach - 1 for pieces that start before n; entry[j] is the score of a piece that ends at j from before (start -1)."""
-        best = np.full(n + self.reach, NEG)
-        best[: len(entry)] = entry
-        scores, starts = best.tolist(), [-1] * (n + self.reach)
-        ids, prefixes, unknown, length = self.ids, self.prefixes, self.unknown, len(text)
+    def forward(self, text: str, n: int, entry: np.ndarray, like: list[float] | None = None) -> tuple[list[float], list[int], float | None]:
+        """Best scores and starts at positions 0..n + reach - 1 for pieces that start before n; entry[j] is the score of a piece that ends at j from before (start -1).
+
+        With `like`, the scores of another entry, the sweep ends early once the last `reach` settled scores differ from
+        those by one number, as all later ones then do too; that number is returned.
+        """
+        scores, starts = [*entry.tolist(), *[NEG] * n], [-1] * (n + self.reach)
+        score_of, unknown, length, reach = self.scores.get, self.unknown, len(text), self.reach
         for at in range(n):
+            if like is not None and at >= reach and at % 32 == 0:
+                own, other = scores[at - reach + 1 : at + 1], like[at - reach + 1 : at + 1]
+                shift = {x - y for x, y in zip(own, other, strict=True) if x != NEG or y != NEG}
+                if len(shift) == 1 and abs(one := shift.pop()) != -NEG:
+                    return scores, starts, one
             base = scores[at]
             if base == NEG:
                 continue
-            single, end = False, at + 1
-            while end <= length:
-                piece = text[at:end]
-                if piece not in prefixes:
-                    break
-                if (got := ids.get(piece)) is not None:
-                    single |= end == at + 1
-                    if base + got[1] > scores[end]:
-                        scores[end], starts[end] = base + got[1], at
+            end = at + 1
+            score = score_of(text[at:end])
+            if (score is None or score == NEG) and base + unknown > scores[end]:
+                scores[end], starts[end] = base + unknown, at
+            while score is not None:
+                if base + score > scores[end]:
+                    scores[end], starts[end] = base + score, at
                 end += 1
-            if not single and base + unknown > scores[at + 1]:
-                scores[at + 1], starts[at + 1] = base + unknown, at
-        return np.array(scores), np.array(starts)
+                if end > length:
+                    break
+                score = score_of(text[at:end])
+        return scores, starts, None
 
     def transfer(self, text: str, n: int) -> np.ndarray:
         """Matrix of best scores from each entry state to each exit state of a chunk of n characters; text has the characters after it too."""
         size = self.reach
         matrix = np.full((size, size), NEG)
-        whole = np.full(size, NEG)
-        whole[0] = 0.0
-        reference, _ = self.forward(text, n, whole)
-        matrix[0] = reference[n : n + size]
-        for j in range(1, size):
+        reference: list[float] | None = None
+        for j in range(size):
             if j >= n:
                 if j - n < size:
                     matrix[j, j - n] = 0.0
                 continue
-            # until the scores differ from those of entry 0 by one number all along a piece's reach
-            stop = j
-            while True:
-                stop = min(n, stop + 64)
-                entry = np.full(size, NEG)
-                entry[j] = 0.0
-                scores, _ = self.forward(text[: stop + size], stop, entry)
-                a, b = scores[stop : stop + size], reference[stop : stop + size]
-                # positions beyond stop also need pieces from after it, which both have in common
-                c, _ = self.forward(text[: stop + size], stop, whole)
-                c = c[stop : stop + size]
-                live = np.isfinite(a) | np.isfinite(c)
-                shift = a[live] - c[live]
-                if stop == n:
-                    matrix[j] = a
-                    break
-                if live.any() and np.isfinite(shift).all() and np.ptp(shift) == 0:
-                    matrix[j] = matrix[0] + shift[0]
-                    break
+            entry = np.full(size, NEG)
+            entry[j] = 0.0
+            scores, _, shift = self.forward(text, n, entry, reference)
+            matrix[j] = scores[n : n + size] if shift is None else matrix[0] + shift
+            reference = reference or scores
         return matrix
 
     def walks(self, text: str, n: int, entry: np.ndarray) -> dict[int, tuple[int, list[int]]]:
         """For each exit state that is reached: the entry state and the ids of the pieces that start in the chunk."""
-        scores, starts = self.forward(text, n, entry)
+        scores, starts, _ = self.forward(text, n, entry)
         out = {}
         for k in range(self.reach):
-            if not np.isfinite(scores[n + k]):
+            if scores[n + k] == NEG:
                 continue
             at, ids = n + k, []
             while starts[at] >= 0:
@@ -218,7 +207,7 @@ class Vocabulary:
                     ids.append(self.ids[piece][0])
                 else:
                     ids += [self.bytes[b] for b in reversed(piece.encode())]
-                at = int(starts[at])
+                at = starts[at]
             out[k] = (at, ids[::-1])
         return out
 
