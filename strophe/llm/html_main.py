@@ -54,10 +54,10 @@ def label(tag: str, attrs: str) -> str:
 
 def read_page(html: str) -> tuple[list[tuple[str, str, float]], list[tuple[tuple[int, ...], str, int]]]:
     """Containers (path, tag, bonus) and blocks (containers around it from the outside, text, characters in links)."""
-    containers: list[tuple[str, str, float]] = []
+    containers: list[tuple[str, str, float]] = [("", "", 1.0)]  # the page itself
     blocks: list[tuple[tuple[int, ...], str, int]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, container or -1, skipped from here
-    around: tuple[int, ...] = ()
+    around: tuple[int, ...] = (0,)
     buffer: list[str] = []
     linked = in_link = 0
     skipping = 0
@@ -133,7 +133,7 @@ def read_page(html: str) -> tuple[list[tuple[str, str, float]], list[tuple[tuple
         own = -1
         if tag in CONTAINERS and not skips and not skipping:
             own = len(containers)
-            parent = containers[around[-1]][0] if around else ""
+            parent = containers[around[-1]][0]
             bonus = 1.5 if tag in ("article", "main") or names and IS_ARTICLE.search(names) else 1.0
             containers.append((f"{parent}/{label(tag, attrs)}", tag, bonus))
             around = (*around, own)
@@ -167,7 +167,7 @@ def main_text(html: str, path: str | None) -> str:
     """The text of the blocks under the path, or under the page's best container where no block is."""
     containers, blocks = read_page(html)
     picked = [t for around, t, _ in blocks if any(containers[i][0] == path for i in around)]
-    if not picked and containers:
+    if not picked:
         own = scores(containers, blocks)
         best = max(range(len(own)), key=lambda i: (own[i], -i))
         picked = [t for around, t, _ in blocks if best in around and own[best] > 0]
