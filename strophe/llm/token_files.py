@@ -42,7 +42,7 @@ WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|")
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MIXED = re.compile(rf"[^\x00-\x7f{LETTERS}]|'")
 UNIT = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -159,10 +159,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
-                coded = encode(texts[at : at + 256])
-                held += [(i, c + end) for i, c in zip(ids[at : at + 256], coded, strict=True)]
-                chars += sum(map(len, texts[at : at + 256]))
+            for at in range(0, len(ids), 64):
+                coded = encode(texts[at : at + 64])
+                held += [(i, c + end) for i, c in zip(ids[at : at + 64], coded, strict=True)]
+                chars += sum(map(len, texts[at : at + 64]))
                 if chars >= shard_chars:
                     yield close()
         if held:
