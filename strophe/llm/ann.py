@@ -79,7 +79,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, query_filter: str = "vec_id % 100 = 0", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    lists: int | None = None, probes: float = 0.6, parts: int = 16, rerank: int = 256, sample_rows: int = 20_000, block_rows: int = 4_096,
+    lists: int | None = None, probes: float = 0.6, parts: int = 16, rerank: int = 256, sample_rows: int = 20_000, block_rows: int = 1_024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. `lists`: None for the square root of the rows, 2,048 at most; `probes`: the share of lists a query visits."""
     spark = vectors.sparkSession
