@@ -21,14 +21,16 @@ def blank_if_null(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(blank_if_null(text), F.lit("(?s)" + TOKEN_PATTERN), F.lit(1))
+    return F.regexp_extract_all(blank_if_null(text), F.lit("(?s)" + TOKEN_PATTERN), F.lit(0))
 
 
 def token_type(token: Column) -> Column:
-    """V verse mark, S space, W word, P any other."""
+    """V verse mark, S space, W word, P any other. ASCII is told by its first character, without a regular expression."""
+    c = F.substring(token, 1, 1)
     return (
-        F.when(token.rlike(r"^\{[0-9]+\}"), "V").when(token.rlike(r"^[\s\p{Z}]"), "S").when(token.rlike(r"^[\p{L}\p{N}]"), "W").otherwise("P")
-    )
+        F.when(c.between("a", "z") | c.between("A", "Z") | c.between("0", "9"), "W").when(c.isin(" ", "\n", "\t", "\r"), "S").when(c == "{", F.when(F.length(token) > 1, "V").otherwise("P"))
+        .when(c < "\x7f", F.when(c.rlike(r"^\s"), "S").otherwise("P")).when(c.rlike(r"^[\p{L}\p{N}]"), "W").when(c.rlike(r"^[\s\p{Z}]"), "S").otherwise("P")
+    )
 
 
 def char_class(chars: str) -> str:

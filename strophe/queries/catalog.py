@@ -128,10 +128,10 @@ def first_file_times(spark, d):
     return first.join(table(spark, d, "customer").select("c_custkey"), "c_custkey").join(times, "first_file").select("c_custkey", "first_file", "n")
 
 
-@query("""WITH a AS (SELECT doc_id AS id, n_chars AS a FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS id, quality AS b FROM labels), c AS (SELECT item_id AS id, length(text) AS c FROM benchmark)
+@query("""WITH a AS (SELECT doc_id AS id, n_chars AS a FROM documents WHERE lang = 'en'), b AS (SELECT doc_id AS id, quality AS b FROM labels), c AS (SELECT item_id AS id, length(text) AS c FROM benchmark)
 SELECT coalesce(a.id, b.id, c.id) AS id, a.a, b.b, c.c FROM a FULL JOIN b ON a.id = b.id FULL JOIN c ON c.id = coalesce(a.id, b.id)""")
 def align_datasets(spark, d):
-    a = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("a"))
+    a = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("a"))
     b = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("b"))
     c = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("long").alias("c"))
     return a.join(b, "id", "full_outer").join(c, "id", "full_outer")

@@ -49,7 +49,7 @@ def asr_align(spark, d):
 
 @query()
 def asr_splice(spark, d):
-    s = scripts(spark, d).filter("verse_num = 0").select("script_id", F.substring("script_text", 1, 200).alias("t"))
+    s = scripts(spark, d).select("script_id", F.col("script_text").alias("t"))
     chars = s.select("script_id", F.regexp_replace("t", "[aeiou]", "$0$0").alias("asr_text"), F.posexplode(F.split("t", "")).alias("seq", "ch")).filter("ch != ''")
     timed = chars.select("script_id", "seq", "ch", (F.col("seq") * 0.1).alias("begin_ts"), (F.col("seq") * 0.1 + 0.08).alias("end_ts"), F.lit(0.5).alias("score"), F.lit(0.02).alias("gap"), (F.col("seq") % 3 == 0).alias("flag"), "asr_text")
     return align.splice_asr(timed, "script_id")

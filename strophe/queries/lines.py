@@ -26,9 +26,10 @@ def distinct_sources(spark, d):
     return table(spark, d, "documents").filter("source != ''").select("source", "lang").distinct()
 
 
-@query(f"WITH {SCRIPTS} SELECT script_id, verse_num, script_text FROM scripts WHERE chapter_num = 7 ORDER BY script_id")
+@query(f"WITH {SCRIPTS} SELECT chapter_num, list({{'id': script_id, 'text': script_text}} ORDER BY script_id) AS lines FROM scripts GROUP BY chapter_num")
 def chapter_lines(spark, d):
-    return scripts(spark, d).filter("chapter_num = 7").select("script_id", "verse_num", "script_text").orderBy("script_id")
+    line = F.struct(F.col("script_id").alias("id"), F.col("script_text").alias("text"))
+    return scripts(spark, d).groupBy("chapter_num").agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
 
 @query(f"WITH {SCRIPTS} SELECT script_id, script_text FROM scripts WHERE person IN ('system', 'assistant')")

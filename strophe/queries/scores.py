@@ -127,5 +127,5 @@ def speaker_lengths(spark, d):
 
 @query()
 def greedy_decode(spark, d):
-    frames = table(spark, d, "embeddings").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 8).alias("v")))), lambda s: s["v"]).alias("frames"))
+    frames = table(spark, d, "embeddings").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").alias("v")))), lambda s: s["v"]).alias("frames"))
     return frames.select("label", nx.greedy_path(F.col("frames")).alias("path"))
