@@ -53,6 +53,32 @@ def strip_verse_marks(text: Column) -> Column:
     return F.regexp_replace(text, r"\{[0-9\-,]+\}\s?", "")
 
 
+def verses(text: Column) -> Column:
+    """(verse, text) of each "{n} ..." or "{n}_{m} ..." piece of a script line; a joined mark reads "n-m"."""
+    mark = r"(\{[0-9]+\}(?:_\{[0-9]+\})*)([^{]*)"
+    marks, texts = (F.regexp_extract_all(text, F.lit(mark), F.lit(i)) for i in (1, 2))
+
+    def piece(m, t):
+        first, last = F.regexp_extract(m, r"^\{([0-9]+)", 1), F.regexp_extract(m, r"([0-9]+)\}$", 1)
+        return F.struct(F.when(first == last, first).otherwise(F.concat(first, F.lit("-"), last)).alias("verse"), F.trim(t).alias("text"))
+
+    return F.zip_with(marks, texts, piece)
+
+
+def normalize_for_alignment(text: Column) -> Column:
+    """Lower case without bracketed numbers, punctuation as spaces, words of digits alone gone, single spaces."""
+    out = F.regexp_replace(F.lower(text), r"\([^()]*[0-9][^()]*\)", " ")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}\p{M}' ]+", " ")
+    out = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(out, " +", "  "), F.lit(" ")), r" [0-9]+ ", " ")
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
+def size_code(code: Column) -> Column:
+    """A collection's size as C (complete), N (new part) or O (old part), "" for others."""
+    upper = F.upper(code)
+    return F.when(upper.startswith("C"), "C").when(upper.startswith("NT"), "N").when(upper.startswith("OT"), "O").otherwise("")
+
+
 def leading_int(text: Column) -> Column:
     """The number a string starts with, 0 without one ("6a" is 6)."""
     return F.coalesce(F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("int"), F.lit(0))

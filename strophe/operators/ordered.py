@@ -130,3 +130,17 @@ def line_groups(df: DataFrame, file: str, order: Sequence[str], starts: Column,
     grouped = df.withColumn("grp", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     parts = F.sort_array(F.collect_list(F.struct(*order, text)))
     return grouped.groupBy(file, "grp").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(parts, lambda s: s[text]), " ").alias("grouped_text"))
+
+
+def number_repeated_keys(df: DataFrame, keys: Sequence[str], verse: str, order: Sequence[str]) -> DataFrame:
+    """Adds verse_key and is_error: a second verse "0" of a key becomes "0s"; any other repeated verse is an error."""
+    n = F.row_number().over(Window.partitionBy(*keys, verse).orderBy(*order))
+    second = (F.col(verse) == "0") & (n == 2)
+    return df.withColumn("verse_key", F.when(second, "0s").otherwise(F.col(verse))).withColumn("is_error", (n > 1) & ~second)
+
+
+def segments_between(df: DataFrame, file: str, order: Sequence[str], t: str, offset: str) -> DataFrame:
+    """Adds duration and n_bytes to the next hit of the file; a file's last hit starts no segment."""
+    w = Window.partitionBy(file).orderBy(*order)
+    out = df.withColumn("duration", F.lead(t).over(w) - F.col(t)).withColumn("n_bytes", F.lead(offset).over(w) - F.col(offset))
+    return out.filter("duration is not null")
