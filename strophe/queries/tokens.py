@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import text as tx
@@ -12,16 +13,22 @@ from strophe.registry import query
 DOC_TOKENS = f"tok AS (SELECT lang, unnest({sql_tokens('text')}) AS word FROM documents), typed AS (SELECT lang, word, {SQL_TTYPE} AS ttype FROM tok)"
 
 
+def distinct_tokens(docs: DataFrame, *by: str) -> DataFrame:
+    """by, word, n: the different tokens of the texts with their counts."""
+    return docs.select(*by, F.explode(tx.tokens(F.col("text"))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {DOC_TOKENS} SELECT lang, ttype, count(*) AS n_tokens, count(DISTINCT word) AS n_distinct FROM typed GROUP BY lang, ttype")
 def token_counts(spark, d):
-    t = table(spark, d, "documents").select("lang", F.explode(tx.tokens(F.col("text"))).alias("word"))
-    return t.withColumn("ttype", tx.token_type(F.col("word"))).groupBy("lang", "ttype").agg(F.count("*").alias("n_tokens"), F.count_distinct("word").alias("n_distinct"))
+    # classified once for each different token, after the map-side counts
+    t = distinct_tokens(table(spark, d, "documents"), "lang").withColumn("ttype", tx.token_type(F.col("word")))
+    return t.groupBy("lang", "ttype").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
 
 
 @query(f"WITH {DOC_TOKENS} SELECT lang, lower(word) AS word, count(*) AS n FROM typed WHERE ttype = 'W' GROUP BY lang, lower(word) HAVING count(*) > 1")
 def word_vocab(spark, d):
-    t = table(spark, d, "documents").select("lang", F.explode(tx.tokens(F.col("text"))).alias("word")).filter(tx.token_type(F.col("word")) == "W")
-    return t.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")).filter("n > 1")
+    t = distinct_tokens(table(spark, d, "documents"), "lang").filter(tx.token_type(F.col("word")) == "W")
+    return t.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 @query("""WITH chars AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]')) AS ch FROM documents)
