@@ -6,8 +6,9 @@ frame for each document, so a short document is read and decompressed alone. The
 serialized id arrays of a bounded sample and stored once beside the shards. Files are written under a temporary name
 and renamed, with the same bytes on every attempt, so a lost executor's task can run again.
 
-Encoding keeps the ids of words, which are looked up instead of encoded again: the tokenizer's pre-tokenizer never joins
-across white space, nor across letters, digits and symbols in plain Latin texts. A tokenizer whose pre-tokenizer does
+Each different word of a batch is looked up once, and the ids of words, and of their letters, digits and symbols, are
+kept instead of encoded again: the tokenizer's pre-tokenizer never joins across white space, nor across letters, digits and symbols in
+plain Latin words. A tokenizer whose pre-tokenizer does
 otherwise needs WHOLE to match every text.
 
 Defined results: null text counts as empty (the end id alone); null ids come first and stay null; repeated ids are
@@ -20,24 +21,26 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import checkpoint, text_rows
+from strophe.llm.common import checkpoint, slices, text_rows
 
 MAGIC = b"STOK0001"
 HEAD = struct.Struct("<8sB32sI")
 #: Python's split() takes these for white space and the tokenizer may not, and special tokens hold this pair: such texts are encoded whole.
 WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|")
-#: Other texts fall apart at white space. Those of ASCII and Latin letters alone, without apostrophes (contractions), also
+#: Other texts fall apart at white space. Words of ASCII and Latin letters alone, without apostrophes (contractions), also
 #: fall into runs of letters, single digits and runs of symbols, as the pre-tokenizer cuts them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MIXED = re.compile(rf"[^\x00-\x7f{LETTERS}]|'")
@@ -51,24 +54,72 @@ def word_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    new_half: dict[str, bytes] = {}
+    old_half: dict[str, bytes] = {}
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    is_end = np.zeros(max(tokenizer.get_vocab().values(), default=0) + 1, dtype=bool)
+    if suffix:
+        is_end[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def units(text: str) -> list[str] | None:
-        if WHOLE.search(text):
-            return None
-        return text.split() if MIXED.search(text) else UNIT.findall(text.lower())
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_units(new: list[str]) -> list[bytes]:
+        """Ids of each unit: many in one text, told apart by the end-of-word tokens, one in each unit."""
+        out = []
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
+            ids = raw([" ".join(part)])[0]
+            ends = 4 * (np.flatnonzero(is_end[np.frombuffer(ids, "<u4")]) + 1)
+            if len(ends) == len(part):
+                out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            else:  # a tokenizer without such tokens
+                out += raw(part)
+        return out
+
+    def kept(of: list[str]) -> list[bytes | None]:
+        """What is known of these words; words still in use move on to the new half."""
+        got = list(map(new_half.get, of))
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if (x := old_half.get(of[i])) is not None:
+                got[i] = new_half[of[i]] = x
+        return got
+
+    def of_words(words: list[str]) -> list[bytes]:
+        """Ids of each different word: Latin words from their units, others encoded as they are."""
+        nonlocal new_half, old_half
+        if len(new_half) > WORDS_KEPT // 2:
+            new_half, old_half = {}, new_half
+        got = kept(words)
+        missing = [i for i, x in enumerate(got) if x is None]
+        split = [None if MIXED.search(words[i]) else UNIT.findall(words[i].lower()) for i in missing]
+        units = list({u for part in split if part for u in part})
+        known = dict(zip(units, kept(units), strict=True))
+        new = [u for u, x in known.items() if x is None]
+        known.update(zip(new, of_units(new), strict=True))
+        new_half.update((u, known[u]) for u in new)
+        mixed = iter(raw([words[i] for i, part in zip(missing, split, strict=True) if part is None]))
+        for i, part in zip(missing, split, strict=True):
+            got[i] = new_half[words[i]] = next(mixed) if part is None else known[part[0]] if len(part) == 1 else b"".join([known[u] for u in part])
+        return got
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [units(t) for t in texts]
-        new = list({w for words in split if words for w in words}.difference(known))
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = list({w for words in split if words for w in words})
-        known.update(zip(new, raw(new), strict=True))
-        return [raw([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        """Ids of each text as bytes; the different words of all texts are looked up once."""
+        whole = [WHOLE.search(t) is not None for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        of_word = of_words(coded.dictionary.to_pylist())
+        flat, sizes = np.frombuffer(b"".join(of_word), "<u4"), np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+        first, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
+        parts = []
+        for at in range(0, len(code), 1 << 18):
+            word = code[at : at + (1 << 18)]
+            n = sizes[word]
+            done = np.cumsum(n)
+            parts.append(flat[np.repeat(first[word] - done + n, n) + np.arange(done[-1])])
+        ids = np.concatenate(parts) if parts else flat
+        bounds = np.concatenate(([0], np.cumsum(sizes[code])))[lists.offsets.to_numpy()]
+        return [raw([t])[0] if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, bounds, bounds[1:], strict=False)]
 
     return encode, tokenizer.get_vocab_size()
 
@@ -157,14 +208,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             number, held, chars = number + 1, [], 0
             return row
 
-        for batch in batches:
+        for batch in slices(batches, limit=min(4 << 20, shard_chars)):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 64):
-                coded = encode(texts[at : at + 64])
-                held += [(i, c + end) for i, c in zip(ids[at : at + 64], coded, strict=True)]
-                chars += sum(map(len, texts[at : at + 64]))
-                if chars >= shard_chars:
-                    yield close()
+            coded = encode(texts)
+            held += [(i, c + end) for i, c in zip(ids, coded, strict=True)]
+            chars += sum(map(len, texts))
+            if chars >= shard_chars:
+                yield close()
         if held:
             yield close()
 
