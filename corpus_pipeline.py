@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import mixing, pii, quality, sentencepiece_scan, simhash
+from strophe.llm import mixing, near_copies, pii, quality, sentencepiece_scan
 from strophe.llm.common import new_folder
 from strophe.llm.queries import PII_KEY, documents, tokenizer_file
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows of one id stay or go together, and null ids stay."""
-    found = simhash.near_duplicates(docs).filter("doc_id is not null")
+    """The document with the smallest id of each group of near copies (five words, similarity of 0.8 or more); rows of one id stay or go together, and null ids stay."""
+    found = near_copies.components(docs)
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

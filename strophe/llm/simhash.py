@@ -31,18 +31,20 @@ from strophe.llm.common import checkpoint, slices, text_rows
 BITS = 64
 
 
-def fingerprint_of(words: list[bytes], shingle: int, seed: int) -> int:
-    """Majority bits of the shingles' hashes, as an unsigned integer."""
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """The hash of each shingle; fewer words than a shingle are one."""
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n < shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], dtype=np.uint64)
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as an unsigned integer."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -50,6 +52,11 @@ def fingerprint_of(words: list[bytes], shingle: int, seed: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(words: list[bytes], shingle: int, seed: int) -> int:
+    """Majority bits of the shingles' hashes, as an unsigned integer."""
+    return majority(shingle_hashes(words, shingle, seed)) if words else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for every row; only A-Z are lower-cased."""
 
