@@ -3,8 +3,10 @@
 Validated values (payment cards by Luhn, IBANs by mod 97, US social security and phone numbers, IPv4 addresses,
 calendar dates, mail addresses) are ranked inside the set of values of their kind, and the rank goes through a keyed
 Feistel permutation of that set with cycle walking. The result has the same format and passes the same validation;
-equal values get equal pseudonyms in every document, and a holder of the key can invert it. Numbers that fail
-validation stay as they are.
+equal values get equal pseudonyms in every document, and a holder of the key can invert each value. Numbers that fail
+validation stay as they are. Where the longest match of a card or an IBAN fails, because a number or capitals stand
+beside it, its parts are tried: shorter ends and later starts at the groups' edges, a card by its issuer's lengths, an
+IBAN by its country's length.
 
 Defined results: null text stays null, empty stays empty; null ids, repeated rows and all other columns stay as they
 are; an empty table stays empty. Input columns named like an added column are replaced. Texts are read whole.
@@ -24,18 +26,32 @@ from pyspark.sql import types as T
 ROUNDS = 8
 KINDS = ("date", "card", "iban", "ssn", "phone", "ip", "mail")
 FIRST_DAY, N_DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+#: ASCII letters and any digits bound a value; letters of other scripts need no space beside it.
+BEFORE, AFTER = r"(?<![A-Za-z_.@+-])(?<!\d)", r"(?![A-Za-z_@]|\d|[.-]\d)"
+CARD = r"\d(?:[ -]?\d){12,18}(?![A-Za-z_@]|\d|\.\d)"
 NUMBER = re.compile(
-    r"(?<![\w.@+-])(?:"
-    r"(?P<ymd>\d{4}([-/.])\d{2}\2\d{2})"
-    r"|(?P<dmy>\d{2}([-/.])\d{2}\4\d{4})"
+    BEFORE + r"(?:"
+    r"(?P<ymd>\d{4}([-/.])\d{2}\2\d{2}(?:(?=T\d\d)|" + AFTER + r"))"
+    r"|(?:"
+    r"(?P<dmy>\d{2}([-/.])\d{2}\4\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<phone>(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30})"
-    r")(?![\w@]|[.-]\d)"
+    r")" + AFTER + r"|(?P<card>" + CARD + r"))"
 )
-MAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
+INNER_CARD = re.compile(CARD)
+#: Characters of an IBAN by country (the registry's).
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+IBAN_LENGTH = {code: n for n, codes in IBAN_LENGTHS.items() for code in codes}
+MAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9_-])")
 
 
 def permute(x: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -155,22 +171,75 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return f"{unmixed(permute(rank, size, key, f'mail{shape}@{domain.lower()}', back), local)}@{domain}"
 
 
+def issued(digits: str) -> bool:
+    """Whether card issuers use this length with this start."""
+    n, two, four = len(digits), int(digits[:2]), int(digits[:4])
+    if two // 10 == 4:
+        return n in (13, 16, 19)
+    if two in (34, 37):
+        return n == 15
+    if two in (30, 36, 38, 39):
+        return n >= 14
+    if two == 35 or 2200 <= four <= 2204:
+        return n >= 16
+    if 51 <= two <= 55 or 2221 <= four <= 2720:
+        return n == 16
+    return two in (50, 56, 57, 58) or two // 10 == 6
+
+
+def ends(kind: str, value: str, inner: bool) -> list[int]:
+    """Where a value may end in this match: the whole first, but an IBAN's country tells its length; then shorter ones at a group's edge."""
+    found = [len(value)]
+    edges = [i for i in range(len(value) - 1, 0, -1) if value[i] in " -"]
+    if kind == "card":
+        found += [i for i in edges if sum(c.isdigit() for c in value[:i]) >= 13]
+        found = [i for i in found if (i == len(value) and not inner) or issued("".join(c for c in value[:i] if c.isdigit()))]
+    elif kind == "iban":
+        sizes = {i: len(value[:i].replace(" ", "")) for i in [*found, *edges]}
+        fixed = IBAN_LENGTH.get(value[:2])
+        found = [i for i, n in sizes.items() if n == fixed] + found if fixed else found + [i for i in edges if sizes[i] >= 15]
+    return found
+
+
 def replace_all(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind."""
     counts: dict[str, int] = {}
 
-    def swap(kind: str, value: str) -> str:
+    def swap(kind: str, value: str) -> str | None:
         new = pseudonym(kind, value, key, back)
         if new is None:
-            return value
+            return None
         name = "date" if kind in ("ymd", "dmy") else kind
         counts[name] = counts.get(name, 0) + 1
         return new
 
     if "@" in text:
-        text = MAIL.sub(lambda m: swap("mail", m[0]), text)
+        text = MAIL.sub(lambda m: swap("mail", m[0]) or m[0], text)
     if any(c in text for c in "0123456789"):
-        text = NUMBER.sub(lambda m: swap(m.lastgroup if m.lastgroup else "card", m[0]), text)
+        out, done, pos, inner = [], 0, 0, False
+        while True:
+            m = INNER_CARD.match(text, pos) if inner else None
+            inner = m is not None
+            m = m or NUMBER.search(text, pos)
+            if m is None:
+                break
+            kind = m.lastgroup or "card"
+            # a run of more groups than a card has is searched like one that failed
+            inner = inner or (kind == "card" and text.startswith("-", m.end()) and text[m.end() + 1 : m.end() + 2].isdigit())
+            for end in ends(kind, m[0], inner):
+                value = m[0][:end]
+                new = swap(kind, value)
+                if new is not None:
+                    out += [text[done : m.start()], new]
+                    done = pos = m.start() + end
+                    # what follows a card in its own run may start right after a hyphen
+                    pos += kind == "card" and end < len(m[0])
+                    inner = pos > done
+                    break
+            else:
+                edge = re.search("[ -]", m[0]) if kind in ("card", "iban") else None
+                pos, inner = (m.start() + edge.end(), kind == "card") if edge else (m.end(), False)
+        text = "".join([*out, text[done:]])
     return text, counts
 
 
