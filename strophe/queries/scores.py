@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strophe.functions import numbers as nx
@@ -127,5 +128,8 @@ def speaker_lengths(spark, d):
 
 @query()
 def greedy_decode(spark, d):
-    frames = table(spark, d, "embeddings").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").alias("v")))), lambda s: s["v"]).alias("frames"))
-    return frames.select("label", nx.greedy_path(F.col("frames")).alias("path"))
+    best = table(spark, d, "embeddings").select("label", "vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("best"))
+    w = Window.partitionBy("label").orderBy("vec_id", "best")
+    starts = (F.row_number().over(w) == 1) | (F.col("best") != F.lag("best").over(w))
+    marked = best.withColumn("starts", starts).withColumn("at", F.when(F.col("starts") & (F.col("best") != 0), F.struct("vec_id", "best")))
+    return marked.groupBy("label").agg(F.transform(F.sort_array(F.collect_list("at")), lambda s: s["best"]).alias("path"))
