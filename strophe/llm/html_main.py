@@ -1,87 +1,124 @@
 """HTML extraction with consensus host paths.
 
-Each page is read once into blocks of text, each with the containers around it. A container's score is the text of its
-own blocks less twice their link text, half of which its parent gets too. Pages vote, with each container's share of
-the page, for the generalised path of tags and classes (digits become #) from the root; the votes are summed by host
-and path in Spark, and the path with most votes wins the host. Pages are then read again with their host's path, and
-a page without that path falls back to its own best container.
+Each page is read once into a tree of containers with blocks of text. A container's score is the text of its own blocks
+less twice their link text, half of which its parent gets too; class words of menus, adverts or comments lower the
+scores below them and skip nothing. Pages vote, with each container's share of the page, for the generalised path of
+tags and classes (digits become #) from the root; votes, pages and different texts are summed by host and path in Spark,
+and the path with most votes wins the host. Paths are chained 64-bit hashes, so depth costs nothing.
+
+Pages are then read again. The winner's containers (where a page has none with text, its own best container) are
+widened: to the article or main element around them, else upward while the text beside them stands directly in the
+parent or under paths that most of the host's pages fill with texts of their own. Inside, what the tags or class words
+mark as no article goes, unless an article or main element is inside, and so do paths of 3 percent of the text or more
+that repeat the same texts over a host whose articles differ. A page's only h1 before the text is its title.
 
 Defined results: null html has no text; a null url belongs to the host ''; null ids and repeated rows stay, one row
-each; an empty table gives an empty result; extra columns are ignored.
+each; an empty table gives an empty result; extra columns are ignored. Texts are read whole, at any length and depth.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import checkpoint
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S,
-)
-CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-CLASS_ONLY = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe"}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 VOID = {"br", "hr", "img", "input", "meta", "link", "source", "track", "wbr", "area", "base", "col", "embed", "param"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "caption", "summary", "address"}
-CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "dl", "figure", "center", "details", "fieldset"}
-SKIPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "svg", "object", "menu", "canvas", "audio", "video"}
-BLOCKS = LEAVES | CONTAINERS | SKIPPED | {"header", "hr"}
-#: Words in a class, id or role that mark what is not the article.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|site-header|page-header|masthead|"
-    r"comments?|comment-list|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|"
-    r"widget|pagination|pager|search|login|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+#: Leaves that quote or tabulate: class words say nothing about them.
+QUOTES = {"dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "caption", "address"}
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "dl", "figure", "center", "details", "fieldset", "header", "form"}
+#: Elements that are never part of an article, and those that are none unless one is inside them.
+SKIPPED = {"head", "nav", "footer", "aside", "button", "select", "dialog", "svg", "object", "menu", "canvas", "audio", "video"}
+BLOCKS = LEAVES | CONTAINERS | SKIPPED | {"hr"}
+#: Words of a class, id or role that mark what is not the article, and words beside them that take the mark back
+#: ("has-sidebar", "search-page", "entry-header").
+NOT_ARTICLE = set(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies respond "
+    "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended widget pagination pager search login skip "
+    "complementary contentinfo hidden".split()
 )
-IS_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text)(?:$|[\s_-])", re.I)
-#: An opening tag ends these open elements, as browsers do.
-ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-BARRIERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote"}
+TAKEN_BACK = set("has no not with without is page layout template theme body content article entry post story main text wrapper container enabled open closed".split())
+IS_ARTICLE = set("article content entry post story main body text".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: An opening tag ends these open elements, up to the nearest of the second set.
+LIST_ITEM, TERM, CELL = ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"td", "th"}, {"table", "tr"})
+ENDS = {"li": LIST_ITEM, "dt": TERM, "dd": TERM, "td": CELL, "th": CELL, "tr": ({"tr", "td", "th"}, {"table"})}
+MARKED = 0.2
+SUBSTANTIAL = 0.03
+
+
+class Node(NamedTuple):
+    """A container, in page order; `path` is the hash of all labels from the root."""
+
+    parent: int
+    tag: str
+    path: int
+    named: bool
+    marked: bool
 
 
-def label(tag: str, attrs: str) -> str:
-    """Tag and sorted classes with digits generalised."""
-    names = sorted({n for m in CLASS_ONLY.finditer(attrs) for n in re.sub(r"\d+", "#", next(g for g in m.groups() if g is not None) or "").split()})
-    return ".".join([tag, *names])
+class Block(NamedTuple):
+    node: int
+    text: str
+    linked: int
+    tag: str
 
 
-def read_page(html: str) -> tuple[list[tuple[str, str, float]], list[tuple[tuple[int, ...], str, int]]]:
-    """Containers (path, tag, bonus) and blocks (containers around it from the outside, text, characters in links)."""
-    containers: list[tuple[str, str, float]] = [("", "", 1.0)]  # the page itself
-    blocks: list[tuple[tuple[int, ...], str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, container or -1, skipped from here
-    around: tuple[int, ...] = (0,)
+def attributes(attrs: str) -> tuple[str, bool, bool]:
+    """Sorted classes with digits generalised; whether a class, id or role names an article; whether one marks something else."""
+    names, article, marked = set(), False, False
+    for kind, *values in ATTRIBUTE.findall(attrs):
+        for token in next((v for v in values if v), "").split():
+            words = {w.lower() for w in WORD.findall(token)}
+            article |= not IS_ARTICLE.isdisjoint(words)
+            marked |= not NOT_ARTICLE.isdisjoint(words) and TAKEN_BACK.isdisjoint(words)
+            if kind.lower() == "class":
+                names.add(re.sub(r"\d+", "#", token))
+    return ".".join(sorted(names)), article, marked
+
+
+def read_page(html: str) -> tuple[list[Node], list[Block]]:
+    """Containers and blocks of a page; container 0 is the page itself."""
+    nodes = [Node(-1, "", 0, False, False)]
+    blocks: list[Block] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, container that it makes or -1, skipped from here
+    opened: dict[str, int] = {}
     buffer: list[str] = []
-    linked = in_link = 0
-    skipping = 0
-    at = 0
+    own, linked, in_link, skipping, at = 0, 0, 0, 0, 0
 
     def flush():
         nonlocal linked
         if buffer:
             text = re.sub(r"\s+", " ", "".join(buffer)).strip()
             if text:
-                blocks.append((around, text, min(linked, len(text))))
+                blocks.append(Block(own, text, min(linked, len(text)), stack[-1][0] if stack else ""))
             buffer.clear()
         linked = 0
 
     def pop_to(depth: int):
-        nonlocal around, skipping
+        nonlocal own, skipping
         while len(stack) > depth:
-            _, own, skips = stack.pop()
+            tag, made, skips = stack.pop()
+            opened[tag] -= 1
             skipping -= skips
-            if own >= 0:
-                around = around[:-1]
+            if made >= 0:
+                own = nodes[made].parent
 
     def text_of(raw: str):
         nonlocal linked
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop_to(len(stack) - 1)
         if raw and not skipping:
             text = unescape(raw) if "&" in raw else raw
             buffer.append(text)
@@ -99,21 +136,18 @@ def read_page(html: str) -> tuple[list[tuple[str, str, float]], list[tuple[tuple
                 in_link = 0
             if tag in BLOCKS:
                 flush()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    pop_to(depth)
+                if opened.get(tag):
+                    pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        attrs = m["attrs"]
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             if tag not in ("script", "style"):
                 text_of(" ")
             continue
         if tag == "br":
             text_of(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             in_link = 1
         if tag not in BLOCKS:
             continue
@@ -121,75 +155,204 @@ def read_page(html: str) -> tuple[list[tuple[str, str, float]], list[tuple[tuple
         in_link = 0
         if tag in VOID:
             continue
-        ended = ENDS.get(tag, {"p"})
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ended:
-                pop_to(i)
-                break
-            if stack[i][0] in BARRIERS:
-                break
-        names = " ".join(next(g for g in c.groups() if g is not None) for c in CLASS.finditer(attrs)) if attrs.strip() else ""
-        skips = tag in SKIPPED or (tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)) or (tag not in ("html", "body") and bool(names) and NOT_ARTICLE.search(names) is not None)
-        own = -1
-        if tag in CONTAINERS and not skips and not skipping:
-            own = len(containers)
-            parent = containers[around[-1]][0]
-            bonus = 1.5 if tag in ("article", "main") or names and IS_ARTICLE.search(names) else 1.0
-            containers.append((f"{parent}/{label(tag, attrs)}", tag, bonus))
-            around = (*around, own)
+        if stack and stack[-1][0] in ("p", "head"):
+            pop_to(len(stack) - 1)
+        if tag in ENDS:
+            ended, within = ENDS[tag]
+            last = None
+            if any(opened.get(t) for t in ended):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ended:
+                        last = i
+                    if stack[i][0] in within and not (tag == "tr" and stack[i][0] == "tr"):
+                        break
+            if last is not None:
+                pop_to(last)
+        names, article, marked = attributes(m["attrs"]) if "=" in m["attrs"] else ("", False, False)
+        if tag in ("html", "body"):
+            marked = False
+        elif tag == "form" or (tag == "header" and not article and not opened.get("article") and not opened.get("main")):
+            marked = True
+        elif tag in QUOTES:
+            marked = False
+        skips, made = tag in SKIPPED, -1
+        if not skips and not skipping and (tag in CONTAINERS or marked):
+            made = len(nodes)
+            path = xxhash.xxh3_64_intdigest(f"{nodes[own].path}/{tag}.{names}".encode()) >> 1
+            nodes.append(Node(own, tag, path, tag in ("article", "main") or article, marked))
+            own = made
         skipping += skips
-        stack.append((tag, own, skips))
+        stack.append((tag, made, skips))
+        opened[tag] = opened.get(tag, 0) + 1
     text_of(html[at:])
     flush()
-    return containers, blocks
+    return nodes, blocks
+
+
+def subtree_ends(nodes: list[Node]) -> list[int]:
+    """For each container the number after its last descendant's."""
+    ends = list(range(1, len(nodes) + 1))
+    for i in range(len(nodes) - 1, 0, -1):
+        ends[nodes[i].parent] = max(ends[nodes[i].parent], ends[i])
+    return ends
 
 
-def scores(containers: list, blocks: list) -> list[float]:
-    out = [0.0] * len(containers)
-    for around, text, linked in blocks:
-        worth = max(0, len(text) - 2 * linked)
-        for i, share in zip(reversed(around), (1.0, 0.5), strict=False):
-            out[i] += worth * share * containers[i][2]
+def is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") and not node.marked
+
+
+def marks(nodes: list[Node]) -> list[bool]:
+    """Which containers are marked as no article. An article or main element inside takes the mark back, but one that lies under marks itself only where the page has no other."""
+    under = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        under[i] = n.marked or under[n.parent]
+    articles = [i for i, n in enumerate(nodes) if is_article(n)]
+    holds = [False] * len(nodes)
+    for i in [i for i in articles if not under[i]] or articles:
+        holds[i] = True
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    return [n.marked and not h for n, h in zip(nodes, holds, strict=True)]
+
+
+def scores(nodes: list[Node], blocks: list[Block], marked: list[bool]) -> list[float]:
+    factor = [1.0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        factor[i] = min(factor[n.parent], MARKED if marked[i] else 1.0)
+    out = [0.0] * len(nodes)
+    for b in blocks:
+        worth = max(0, len(b.text) - 2 * b.linked)
+        i = b.node
+        for share in (1.0, 0.5):
+            if i >= 0:
+                out[i] += worth * share * factor[i] * (1.5 if nodes[i].named else 1.0)
+                i = nodes[i].parent
     return out
 
 
-def votes(html: str) -> dict[str, int]:
-    """Each path's share of the page's container scores, in millionths."""
-    containers, blocks = read_page(html)
-    found: dict[str, float] = {}
-    for (path, _, _), s in zip(containers, scores(containers, blocks), strict=True):
-        found[path] = found.get(path, 0.0) + s
-    total = sum(found.values())
-    return {p: round(1e6 * s / total) for p, s in found.items() if s > 0} if total else {}
+def votes(html: str) -> list[tuple[int, int, int | None]]:
+    """(path, share of the page's scores in millionths, hash of its text where that is a substantial part of the page) of each path."""
+    nodes, blocks = read_page(html)
+    own = scores(nodes, blocks, marks(nodes))
+    total = sum(own)
+    if not total:
+        return []
+    sizes, texts = [0] * len(nodes), [0] * len(nodes)
+    for b in blocks:
+        sizes[b.node] += len(b.text)
+        texts[b.node] = xxhash.xxh3_64_intdigest(b.text.encode(), seed=texts[b.node])
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i].parent
+        sizes[up] += sizes[i]
+        texts[up] = xxhash.xxh3_64_intdigest(texts[i].to_bytes(8, "little"), seed=texts[up])
+    found: dict[int, list] = {}
+    for n, score, size, text in zip(nodes, own, sizes, texts, strict=True):
+        one = found.setdefault(n.path, [0.0, 0, 0])
+        one[0] += score
+        one[1] += size
+        one[2] = xxhash.xxh3_64_intdigest(text.to_bytes(8, "little"), seed=one[2])
+    return [(p, round(1e6 * s / total), t >> 1 if size >= SUBSTANTIAL * sizes[0] else None) for p, (s, size, t) in found.items() if s > 0 or size >= SUBSTANTIAL * sizes[0]]
+
 
+def widened(start: int, nodes: list[Node], blocks: list[list[Block]], ends: list[int], out: list[bool], good: set[int]) -> int:
+    """The article or main element around a container, else the widest parent whose other text belongs to it. blocks: those of each container."""
+    around = [start]
+    while nodes[around[-1]].parent > 0:
+        around.append(nodes[around[-1]].parent)
+    for wanted in ("article", "main"):
+        for i in around:
+            if nodes[i].tag == wanted and is_article(nodes[i]):
+                return i
+    inside = start
+    for i in around[1:]:
+        if nodes[i].tag in ("html", "body"):
+            break
+        beside = [b for j in (*range(i, inside), *range(ends[inside], ends[i])) if not out[j] for b in blocks[j]]
+        if not all(2 * b.linked < len(b.text) and (b.node == i or nodes[b.node].path in good) for b in beside):
+            break
+        inside = i
+    return inside
 
-def main_text(html: str, path: str | None) -> str:
-    """The text of the blocks under the path, or under the page's best container where no block is."""
-    containers, blocks = read_page(html)
-    picked = [t for around, t, _ in blocks if any(containers[i][0] == path for i in around)]
-    if not picked:
-        own = scores(containers, blocks)
+
+def main_text(html: str, path: int | None, good: set[int], repeated: set[int]) -> str:
+    """The text of the page's article, given the winning path of its host and the host's paths with own and with repeated texts."""
+    nodes, blocks = read_page(html)
+    if not blocks:
+        return ""
+    marked, ends = marks(nodes), subtree_ends(nodes)
+    gone = [m or (n.path in repeated and n.path != path) for n, m in zip(nodes, marked, strict=True)]
+
+    def left(tops: set[int]) -> list[bool]:
+        """Which containers are cut off from the nearest of the tops around them, or from the page."""
+        out = [False] * len(nodes)
+        for i, n in enumerate(nodes[1:], 1):
+            out[i] = i not in tops and (gone[i] or out[n.parent])
+        return out
+
+    by_node: list[list[Block]] = [[] for _ in nodes]
+    for b in blocks:
+        by_node[b.node].append(b)
+    filled = [len(x) for x in by_node]
+    for i in range(len(nodes) - 1, 0, -1):
+        filled[nodes[i].parent] += filled[i]
+    start = {i for i, n in enumerate(nodes) if n.path == path and filled[i]}
+    if not start:
+        own = scores(nodes, blocks, marked)
         best = max(range(len(own)), key=lambda i: (own[i], -i))
-        picked = [t for around, t, _ in blocks if best in around and own[best] > 0]
-    return "\n".join(picked)
+        if own[best] <= 0:
+            return ""
+        start = {best}
+    out, tops, done = left(start), set(), 0
+    for i in sorted(start):
+        if i >= done:
+            top = widened(i, nodes, by_node, ends, out, good)
+            tops.add(top)
+            done = ends[top]
+    out, inside = left(tops), [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        inside[i] = i in tops or (i > 0 and inside[n.parent])
+    picked = [inside[b.node] and not out[b.node] for b in blocks]
+    whole = left(set())
+    titles = [i for i, b in enumerate(blocks) if b.tag == "h1" and (picked[i] or not whole[b.node])]
+    first = next((i for i, p in enumerate(picked) if p), 0)
+    if len(titles) == 1 and titles[0] < first:
+        picked[titles[0]] = True
+    return "\n".join(b.text for b, p in zip(blocks, picked, strict=True) if p)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the winner of each host. pages: host, html."""
+    """host, path (the winner), good and repeated (path sets, at most some hundred) of each host. pages: host, html.
+
+    A path is good when it is substantial on half as many pages as the winner, and its texts differ as a rule; it is
+    repeated when five pages or more share each of its texts while the winner's texts differ. Both need four pages, and
+    a twentieth of the host's, which bounds the sets: a page has at most some 33 substantial containers side by side.
+    """
 
     def run(batches):
         for batch in batches:
-            hosts, paths, worth = [], [], []
+            found: dict[tuple, list[int]] = {}
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, share in votes(html).items():
-                    hosts.append(host)
-                    paths.append(path)
-                    worth.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(worth, pa.int64())], names=["host", "path", "votes"])
+                for path, share, text in votes(html):
+                    one = found.setdefault((host, path, text), [0, 0])
+                    one[0] += share
+                    one[1] += 1
+            keys = list(found)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64())]
+            columns += [pa.array([found[k][i] for k in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "text", "votes", "pages"])
 
-    cast = pages.select("host", "html").mapInArrow(run, "host string, path string, votes long")
-    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
+    cast = pages.select("host", "html").mapInArrow(run, "host string, path long, text long, votes long, pages long")
+    by_text = cast.groupBy("host", "path", "text").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
+    filled = F.col("text").isNotNull()
+    paths = checkpoint(by_text.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.coalesce(F.sum(F.when(filled, F.col("pages"))), F.lit(0)).alias("pages"), F.count_if(filled).alias("texts")))
+    winner = F.min_by(F.struct("path", "pages", "texts"), F.struct(-F.col("votes"), F.col("path")))
+    hosts = paths.groupBy("host").agg(winner.alias("w"), F.max("pages").alias("all_pages"))
+    often = F.expr("pages >= 4 and 20 * pages >= all_pages")
+    sets = paths.join(hosts, "host").filter(often & (F.col("path") != F.col("w.path"))).select(
+        "host", "path", F.expr("2 * pages >= w.pages and 2 * texts >= pages").alias("is_good"), F.expr("5 * texts <= pages and 2 * w.texts >= w.pages and w.pages >= 4").alias("is_repeated")
+    )
+    sets = sets.filter("is_good or is_repeated").groupBy("host").agg(F.collect_set(F.when(F.col("is_good"), F.col("path"))).alias("good"), F.collect_set(F.when(F.col("is_repeated"), F.col("path"))).alias("repeated"))
+    return hosts.join(sets, "host", "left").select("host", "w.path", "good", "repeated")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 10_000) -> DataFrame:
@@ -202,9 +365,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("html", "path", "good", "repeated"))
+            texts = [main_text(h, p, set(g or ()), set(r or ())) for h, p, g, r in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    return rows.join(side, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(side, "host", "left").select("page_id", "url", "html", "path", "good", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
