@@ -18,12 +18,14 @@ IS_SPACE[list(SPACE)] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a local master, and an error on a cluster, whose machines share no temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="strophe-")
         spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()

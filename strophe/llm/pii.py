@@ -3,13 +3,14 @@
 Validated values (payment cards by Luhn, IBANs by mod 97, US social security and phone numbers, IPv4 addresses,
 calendar dates, mail addresses) are ranked inside the set of values of their kind, and the rank goes through a keyed
 Feistel permutation of that set with cycle walking. The result has the same format and passes the same validation;
-equal values get equal pseudonyms in every document, and a holder of the key can invert each value. Numbers that fail
-validation stay as they are. Where the longest match of a card or an IBAN fails, because a number or capitals stand
+equal values get equal pseudonyms in every document, and a holder of the key can invert each value. Phone numbers of
+the North American plan become such numbers; other numbers written like one become numbers outside the plan. Numbers
+that fail validation stay as they are. Where the longest match of a card or an IBAN fails, because a number or capitals stand
 beside it, its parts are tried: shorter ends and later starts at the groups' edges, a card by its issuer's lengths, an
 IBAN by its country's length.
 
 Defined results: null text stays null, empty stays empty; null ids, repeated rows and all other columns stay as they
-are; an empty table stays empty. Input columns named like an added column are replaced. Texts are read whole.
+are; an empty table stays empty. Texts are read whole. The key is the caller's: whoever has it can invert every value.
 """
 
 from __future__ import annotations
@@ -117,6 +118,11 @@ def a_date(text: str, at: tuple[int, int, int]) -> date | None:
     return day if 0 <= (day - FIRST_DAY).days < N_DAYS else None
 
 
+def dialled(digits: str) -> bool:
+    """Whether ten digits are a number of the North American plan: area and exchange start with 2 to 9 and do not end in 11."""
+    return all(d[0] > "1" and d[1:] != "11" for d in (digits[:3], digits[3:6]))
+
+
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The value's pseudonym, or None when it fails the kind's validation."""
     digits = "".join(c for c in value if c.isdigit())
@@ -148,8 +154,11 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
         own = digits[-10:]
-        new = f"{permute(int(own), 10**10, key, 'phone', back):010d}"
-        return refill(value, digits[:-10] + new)
+        new = own
+        while True:
+            new = f"{permute(int(new), 10**10, key, 'phone', back):010d}"
+            if dialled(new) == dialled(own):
+                return refill(value, digits[:-10] + new)
     if kind == "ip":
         octets = [int(p) for p in value.split(".")]
         if max(octets) > 255 or any(p != str(int(p)) for p in value.split(".")):
@@ -243,11 +252,9 @@ def replace_all(text: str, key: bytes, back: bool = False) -> tuple[str, dict[st
     return text, counts
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """All columns, the text with pseudonyms, and n_date, n_card, ... with how many values of each kind were replaced."""
-    added = [f"n_{k}" for k in KINDS]
-    kept = [c for c in docs.columns if c.lower() not in added]
-    secret = key.encode()[:64]
+def replaced(docs: DataFrame, key: str, text_col: str, added: dict[str, str]) -> DataFrame:
+    """All columns, the text with pseudonyms, and for each kind in `added` a column of that name with how many of its values were replaced."""
+    secret, names = key.encode()[:64], docs.columns
 
     def run(batches):
         for batch in batches:
@@ -256,8 +263,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
                 new, n = replace_all(t, secret) if t else (t, {})
                 texts.append(new)
                 counts.append(n)
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([n.get(k, 0) for n in counts], pa.int64()) for k in KINDS)], names=[*kept, *added])
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([n.get(k, 0) for n in counts], pa.int64()) for k in added)], names=[*names, *added.values()])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in added.values())]))
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """All columns, the text with pseudonyms, and n_date, n_card, ... with how many values of each kind were replaced. An input column named like one of these is replaced."""
+    added = {k: f"n_{k}" for k in KINDS}
+    kept = [c for c in docs.columns if c.lower() not in added.values()]
+    return replaced(docs.select(*[f"`{c}`" for c in kept]), key, text_col, added)
+
 
-    frame = docs.select(*[f"`{c}`" for c in kept])
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *(T.StructField(name, T.LongType()) for name in added)]))
+def pseudonymise_text(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """The same columns, whatever their names; only the text changes."""
+    return replaced(docs, key, text_col, {})

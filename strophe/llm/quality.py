@@ -160,8 +160,10 @@ def repetition(
 
 def filter_kept(docs: DataFrame, text_col: str = "text", min_repeat: int = 10, **limits: int) -> DataFrame:
     """The rows of docs that repetition() keeps, with all their columns: the text is measured where it lies, without a join."""
-    added = {"doc_id": "__row", **{c: f"__{c}" for c in COLUMNS}}
-    names = docs.columns
+    names, mark = docs.columns, "_"
+    while any(c.startswith(mark) for c in names):
+        mark += "_"
+    added = {c: f"{mark}{c}" for c in COLUMNS}
 
     def run(batches):
         for whole in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,20 @@ from pyspark.sql import functions as F
 from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_files
 from strophe.llm.common import new_folder
 
+#: The setting with the key of the pseudonyms, and the key of tests, which anyone can read here: it hides nothing.
+PII_KEY_SETTING, PII_TEST_KEY = "spark.strophe.pii.key", "test-key-that-hides-nothing"
 
-#: Vocabulary files stay where they are installed; the path is a parameter of the operators.
-PII_KEY = "strophe-production-key-1"
+
+def pii_key(spark: SparkSession) -> str:
+    """The key in the session's settings; where it is unset, as in tests and checks, the test key with a warning."""
+    key = spark.conf.get(PII_KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{PII_KEY_SETTING} is unset: pseudonyms use the public test key", stacklevel=2)
+    return key or PII_TEST_KEY
 
 
 def tokenizer_file(name: str) -> str:
+    """Vocabulary files stay where they are installed; the path is a parameter of the operators."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -60,7 +69,7 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
+    return pii.pseudonymise(documents(spark, sf_dir), pii_key(spark))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

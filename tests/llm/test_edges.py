@@ -19,13 +19,13 @@ ROWS = [
     (5, " \n\t ", "en", "b", 4),
     (6, "é́ \U0001f600 日本語 \x00 \x1c", "ja", "c", 10),
 ]
-EXTRA = ["fp", "ids", "row", "copy", "rate", "kept", "bucket", "grp", "n_words", "n_card", "component_id", "shuffle_key", "Text2"]
+EXTRA = ["fp", "ids", "row", "copy", "rate", "kept", "bucket", "grp", "n_words", "n_card", "component_id", "shuffle_key", "Text2", "mix_n", "mix_key", "mix_cdf", "mix_salt", "doc", "own_id", "u", "cdf", "n", "key", "salt", "_n_words", "__n_words", "node"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def table(spark, rows=ROWS):
     schema = SCHEMA + "".join(f", {c} string" for c in EXTRA)
-    return spark.createDataFrame([(*r, *["x"] * len(EXTRA)) for r in rows], schema)
+    return spark.createDataFrame([(*r, *[f"{c} {r[0]}" for c in EXTRA]) for r in rows], schema)
 
 
 def tokens(spark, docs):
@@ -62,12 +62,21 @@ def test_empty_table(spark, name):
 
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_stages(spark, rows):
-    docs = table(spark, rows)
+    """No stage changes or drops a column: what is left are rows of the input, but for the texts of the PII stage."""
+    long = (7, "words " + " ".join(f"w{i}" for i in range(80)) + " call 212-555-0142", "en", "a", 600)
+    docs = table(spark, [*rows, long] if rows else rows)
+    given = {tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, "")
-        assert got.columns == docs.columns, name
-        got.collect()
-    corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        found = [tuple(r) for r in got.collect()]
+        if name == "PII pseudonyms":
+            assert len(found) == docs.count() and {r[:1] + r[2:] for r in found} == {r[:1] + r[2:] for r in given}
+            assert all((r[1] in {g[1] for g in given}) == (r[0] != 7) for r in found)
+        else:
+            assert set(found) <= given and bool(found) == bool(rows), name
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert got.count() == docs.count()
 
 
 def test_null_and_empty_are_linked(spark):

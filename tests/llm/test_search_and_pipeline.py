@@ -134,7 +134,7 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, k in verdict.items() if k}
     single = stages["SimHash near-dedup"](spark, kept, DIR)
     private = {r["doc_id"]: r["text"] for r in stages["PII pseudonyms"](spark, single, DIR).collect()}
-    assert private == {r["doc_id"]: pii.replace_all(r["text"], queries.PII_KEY.encode())[0] for r in single.collect()}
+    assert private == {r["doc_id"]: pii.replace_all(r["text"], queries.PII_TEST_KEY.encode())[0] for r in single.collect()}
     final = corpus_pipeline.run(spark, DIR).collect()
     assert final and {r["doc_id"] for r in final} <= set(private) and all(r["ids"] for r in final)
 

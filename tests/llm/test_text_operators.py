@@ -265,12 +265,14 @@ def test_mixing_rates_and_counts(spark):
 
 
 def test_poisson_distribution(spark):
-    from pyspark.sql import functions as F
     from math import exp, factorial
 
-    for rate in (0.3, 4.0, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first()["c"]
-        assert abs(cdf[-1] - 1) < 1e-9 and all(x <= y for x, y in zip(cdf, cdf[1:], strict=False))
+    rates = [0.3, 4.0, 900.0, 20_000.0]
+    got = {r["key"]: r["cdf"] for r in mixing.poisson_cdf(spark.createDataFrame(list(enumerate(rates)), "key long, rate double"), "key").collect()}
+    for i, rate in enumerate(rates):
+        cdf = got[i]
+        assert abs(cdf[-1] - 1) < 1e-8 and all(x <= y for x, y in zip(cdf, cdf[1:], strict=False))
+        assert 0.45 < cdf[int(rate)] < 1
         if rate < 10:
             assert abs(cdf[3] - sum(exp(-rate) * rate**k / factorial(k) for k in range(4))) < 1e-12
 
@@ -304,6 +306,24 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.replace_all(text, b"k2")[0] != new
 
 
+def test_phones_stay_numbers_of_their_plan():
+    for value in ("212-555-0142", "(415) 555-2671", "+1 650.253.0000", "017-555-7713", "911-555-1234"):
+        new = pii.pseudonym("phone", value, b"k")
+        assert new != value and pii.pseudonym("phone", new, b"k", back=True) == value
+        own, other = ("".join(c for c in x if c.isdigit())[-10:] for x in (value, new))
+        assert pii.dialled(own) == pii.dialled(other)
+
+
+def test_key_is_a_setting(spark, monkeypatch):
+    from strophe.llm import queries
+
+    with pytest.warns(UserWarning, match="test key"):
+        assert queries.pii_key(spark) == queries.PII_TEST_KEY
+    spark.conf.set(queries.PII_KEY_SETTING, "mine")
+    assert queries.pii_key(spark) == "mine"
+    spark.conf.unset(queries.PII_KEY_SETTING)
+
+
 @pytest.mark.parametrize("size", [2, 7, 100, 1_000])
 def test_permutation(size):
     got = [pii.permute(x, size, b"k", "t") for x in range(size)]
