@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strophe.llm import mixing, near_copies, pii, quality, sentencepiece_scan
 from strophe.llm.common import new_folder
-from strophe.llm.queries import PII_KEY, documents, tokenizer_file
+from strophe.llm.queries import documents, pii_key, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    """Every document with pseudonyms for its validated numbers, dates and addresses; null texts stay null, all other columns stay as they are."""
+    return pii.pseudonymise_text(docs, pii_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    """Poisson copies of the documents at the square-root weights of their sources; a null source is one of its own, and no column changes."""
+    return mixing.replicate(docs)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
