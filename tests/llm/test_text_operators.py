@@ -1,8 +1,11 @@
 """Operators on texts against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -172,15 +175,52 @@ def test_suffix_dedup(spark, docs, texts):
     assert got == brute_dedup(texts, 50)
 
 
+@pytest.mark.parametrize("hot", [4_096, 3])
 @pytest.mark.parametrize("alphabet", ["a", "ab", "abcé "])
-def test_suffix_dedup_on_repetitive_texts(spark, alphabet):
+def test_suffix_dedup_on_repetitive_texts(spark, alphabet, hot):
     rng = random.Random(len(alphabet))
     texts = {i: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) for i in range(40)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, length=30, piece_bytes=500).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, length=30, piece_bytes=500, hot_strings=hot).collect()}
     assert got == brute_dedup(texts, 30)
 
 
+def one_line_in_many_contexts(n, rng):
+    """Documents that share a 44-byte line, each with text of its own around it, some with the text of another."""
+    line = "published under the terms of a free licence."
+    own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(n)]
+    return {i: f"{own[i]} {line} {own[i if i % 7 else i // 2]}" for i in range(n)}
+
+
+def test_suffix_dedup_of_a_hot_line(spark):
+    texts = one_line_in_many_contexts(1_500, random.Random(4))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_dedup(texts, 50)
+    assert sum(n > 0 for _, n, _, _ in want.values()) > 100
+    for hot in (4_096, 50):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, hot_strings=hot).collect()}
+        assert got == want
+
+
+def test_a_hot_line_of_many_documents_is_dealt_evenly(spark, monkeypatch):
+    """50,000 documents with the line: no call of the merge gets more than a small share of their strings."""
+    texts = one_line_in_many_contexts(50_000, random.Random(6))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    folder = tempfile.mkdtemp()
+    kept = suffix_dedup.least_owner
+
+    def counted(strings, *rest):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(strings)))
+        return kept(strings, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "least_owner", counted)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(df).select("doc_id", "n_removed", "kept_sha256").collect()}
+    assert got == {i: (n, digest) for i, (_, n, _, digest) in brute_dedup(texts, 50).items()}
+    sizes = [int(open(f"{folder}/{f}").read()) for f in os.listdir(folder)]
+    assert max(sizes, default=0) < 5_000
+
+
 def test_merged_transforms_order_suffixes():
     rng = random.Random(5)
     for length in (1, 3, 6):
@@ -200,7 +240,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     offsets = np.array([0, 1_700, 1_700, 5_000])
 
     def windows():
-        row, start, last, seed = suffix_dedup.segments(raw, offsets, 50)
+        row, start, last, seed, _ = suffix_dedup.segments(raw, offsets, 50)
         return {(r, s): h for r, a, b, h in zip(row, start, last, seed, strict=True) for s in range(a, b + 1)}
 
     whole = windows()
