@@ -6,9 +6,13 @@ their first n - ceil(share * n) + 1 shingles in common, and in fact so many of t
 that common passages seldom make a key; results are the same for every order.
 
 1. Copies (equal words) collapse. SimHash groups and prefix keys give stars (least id, member); these are verified on
-   the whole shingle sets, and what they connect needs no further pair, so a large cluster stays linear.
-2. Members of a prefix key that are still in different components are paired and verified. This is quadratic only in
-   different, unconnected documents of near-equal size under one infrequent shingle.
+   the whole shingle sets.
+2. Where members of a prefix key are still in different components, pivots are compared with all members of their keys
+   in other components: a few random ones at first, four times as many each round. Two nodes in different components
+   are not both in the largest one of a key, so only nodes outside it ever need to be pivots; the rounds end when each of
+   these has been one. Then every pair of a key that may be similar was verified or lies in one component, so nothing
+   is lost; a large cluster connects within a few rounds of a few pivots, and its pairs are never made. Work grows
+   with the square of a group only for different texts under one infrequent shingle that are not near copies.
 
 Shingles are equal when their 64-bit hashes are. Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle; null ids take no part; rows of one id are one node.
@@ -125,7 +129,36 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
+def pivot_pairs(members: DataFrame, done: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pivots (node) and the possible pairs (u, v) of them and the members of their keys in other components.
+
+    members: key, node, n, part of keys with several parts. About `most` pivots a key, of the nodes outside their
+    largest part that are not done yet; None for all of these.
+    """
+    parts = members.groupBy("key", "part").agg(F.count("*").alias("c"))
+    keys = parts.groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("major"), F.sum("c").alias("m"))
+    chosen = members.join(keys, "key").groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("major")).alias("minor"))
+    chosen = chosen.filter("minor").join(done, "node", "left_anti")
+    if most is not None:
+        # a number in [0, 1) of the node itself: in its largest key about `most` of the m members fall below
+        chosen = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < most)
+    pivots = checkpoint(chosen.select("node"))
+    flagged = members.join(pivots.withColumn("pivot", F.lit(True)), "node", "left")
+    a = flagged.filter("pivot").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
+    b = flagged.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
+    met = a.join(b, "key").filter("px != py and (not pivot or x < y)").filter(f"nx * 100 >= ny * {percent} and ny * 100 >= nx * {percent}")
+    small, large = F.least(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx"))), F.greatest(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx")))
+    met = met.select(small.alias("a"), large.alias("b")).select(F.col("a.x").alias("u"), F.col("a.nx").alias("nu"), F.col("b.x").alias("v"), F.col("b.nx").alias("nv"))
+    return pivots, possible(met, percent)
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The rows of keys whose members lie in more than one part."""
+    apart = members.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
+    return members.join(apart, "key", "left_semi")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 4) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `percent` similarity or more) of every row with an id."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
     own = checkpoint(profiles(rows, shingle, seed, percent))
@@ -142,15 +175,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = met.filter("least < node").select(F.col("least").alias("u"), F.col("m").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
     stars = checkpoint(proposed.unionByName(possible(stars, percent)).distinct())
     texts = packed_texts(rows.join(ends(stars), "doc_id", "left_semi"))
-    edges = checkpoint(verified(stars, texts, shingle, seed, percent))
-
-    first = connected_components(edges)
-    left = checkpoint(met.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
-    apart = left.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    a = left.join(apart, "key").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
-    b = left.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-    pairs = checkpoint(possible(a.join(b, "key").filter("u < v and pu != pv"), percent))
-    texts = packed_texts(rows.join(ends(pairs), "doc_id", "left_semi"))
-    found = connected_components(edges.unionByName(verified(pairs, texts, shingle, seed, percent)))
-    tagged = nodes.join(found, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
+    labels = checkpoint(connected_components(verified(stars, texts, shingle, seed, percent)))
+    members = checkpoint(several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))))
+    largest = members.groupBy("key").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    done, most = members.select("node").limit(0), pivots
+    while not members.isEmpty():
+        tried, pairs = pivot_pairs(members, done, most if most < largest else None, percent)
+        if tried.isEmpty():
+            if most >= largest:
+                break
+            most *= 4
+            continue
+        pairs, done = checkpoint(pairs), checkpoint(done.unionByName(tried))
+        most *= 4
+        if pairs.isEmpty():
+            continue
+        texts = packed_texts(rows.join(ends(pairs), "doc_id", "left_semi"))
+        edges = verified(pairs, texts, shingle, seed, percent)
+        part_of = members.select("node", "part").distinct()
+        between = edges.join(part_of.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(part_of.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
+        merged = checkpoint(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")))
+        if merged.isEmpty():
+            continue
+        known = labels.unionByName(merged.join(labels.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
+        labels = checkpoint(known.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        members = checkpoint(several(members.join(merged, "part", "left").select("key", "node", "n", F.coalesce("to", "part").alias("part"))))
+    tagged = nodes.join(labels, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
     return own.select("doc_id", "tag").join(tagged, "tag").select("doc_id", "component_id")
