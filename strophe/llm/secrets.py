@@ -2,12 +2,18 @@
 
 Patterns find assignments, access keys and long hex runs. The battery looks at every run of 20 or more token
 characters: the encoding is inferred as the smallest alphabet that holds the run; a chi-squared test of alphabet
-uniformity, a runs test about the alphabet's middle and a lag-1 serial-correlation test are joined by Fisher's method
-to one p-value of "drawn at random" (high for keys, low for prose, paths and words).
-
-Short runs tell little, so thresholds depend on length: each run has a decoy, the same number of token characters from
-the prose of its own document; within a length class a run is reported when, among the runs that score as high, the
-share estimated by the decoys is at most `fdr`. Counts by class and score come from all documents.
+uniformity, a runs test about the alphabet's middle and a lag-1 serial-correlation test are joined by Fisher's method.
+Expected counts are below one here, so no test uses its limit distribution: each alphabet and length on a grid has a
+table of the statistics of random strings, made once a worker, which turns a run into its share of random strings that
+look less random (the score: even over 0 to 100 for keys, near 0 for prose, paths and words).
+
+Short runs tell little, so the control depends on length: every document gives a decoy of its prose, of a length drawn
+by the hash of its text, and every run one of its own length. Decoys and runs are counted by alphabet kind, length
+class and score over all documents. A run's p-value is the share of decoys of its kind and class that score as high;
+a class with fewer than `least_decoys` borrows from its neighbours, shorter ones first, then from the other kind. The
+Benjamini-Hochberg step over all runs of the table outside the patterns' spans then bounds the expected share of false ones by `fdr`. So a rare
+class reports by what the common ones have shown, and single-case letters, which prose has too, only at lengths that
+tell. Runs of digits alone are numbers and not reported.
 
 Defined results: null and empty texts have no spans; null ids and repeated rows stay, one row each; an empty table
 gives an empty result; extra columns are ignored. Spans are in code points, end exclusive.
@@ -16,11 +22,13 @@ gives an empty result; extra columns are ignored. Spans are in code points, end
 from __future__ import annotations
 
 import re
-from math import erfc, log, sqrt
+from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import checkpoint, slices, text_buffers, text_rows
@@ -34,7 +42,8 @@ IS_HEX[list(b"0123456789abcdef")] = True
 TOKEN_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 IS_TOKEN = np.zeros(256, dtype=bool)
 IS_TOKEN[list(TOKEN_CHARS)] = True
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: By their frequency in prose, so that prose stays in the first half and fails the runs test; random strings have no such order.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 #: Alphabets from the smallest; the first that holds all symbols is the encoding.
 ALPHABETS = [
     ("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", LETTERS), ("upper", LETTERS.upper()),
@@ -42,42 +51,68 @@ ALPHABETS = [
     ("base62", LETTERS + LETTERS.upper() + "0123456789"), ("base64", LETTERS + LETTERS.upper() + "0123456789+/"), ("base64url", LETTERS + LETTERS.upper() + "0123456789_-"),
     ("any", TOKEN_CHARS.decode()),
 ]
-INDEX = [(frozenset(a), {c: i for i, c in enumerate(a)}) for _, a in ALPHABETS]
-#: Least lengths of the length classes.
+INDEX = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
+SINGLE_CASE = ("lower", "upper")
+#: Least lengths of the length classes, and the lengths of the documents' decoys.
 CLASSES = (20, 24, 32, 40, 64, 128)
+DECOYS = (21, 27, 35, 48, 88, 160)
+#: Lengths with a table of random strings; others use the next shorter one.
+GRID = (8, 12, 16, 20, 22, 24, 26, 28, 32, 36, 40, 48, 56, 64, 80, 96, 128, 192, 256, 512)
+STRINGS = 2_000
 
 
 def length_class(n: int) -> int:
     return sum(n >= c for c in CLASSES)
 
 
-def chi2_tail(x: float, dof: int) -> float:
-    """Upper tail of chi-squared by the Wilson-Hilferty cube root."""
-    z = ((x / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / sqrt(2 / (9 * dof))
-    return 0.5 * erfc(z / sqrt(2))
+def statistics(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of symbol numbers below k: chi-squared of uniformity, runs about the middle and lag-1 serial products, standardised by length."""
+    rows, n = at.shape
+    counts = np.bincount((at + k * np.arange(rows)[:, None]).ravel(), minlength=k * rows).reshape(rows, k)
+    chi = ((counts - n / k) ** 2).sum(1) / (n / k)
+    high = at >= k / 2
+    share = (k - (k + 1) // 2) / k
+    flip = 2 * share * (1 - share)
+    runs = ((high[:, 1:] != high[:, :-1]).sum(1) - flip * (n - 1)) / (n - 1) ** 0.5
+    centred = at - (k - 1) / 2
+    serial = (centred[:, 1:] * centred[:, :-1]).sum(1) / (n - 1) ** 0.5
+    return (chi - (k - 1)) / (2 * k) ** 0.5, np.abs(runs), np.abs(serial)
+
+
+@lru_cache(maxsize=512)
+def random_strings(k: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted statistics of random strings of n symbols out of k, and their sorted Fisher sums."""
+    found = statistics(np.random.default_rng(1_000 * k + n).integers(k, size=(STRINGS, n)), k)
+    tables = [np.sort(x) for x in found]
+    return tables, np.sort(sum(-np.log(tail(t, x)) for t, x in zip(tables, found, strict=True)))
+
+
+def tail(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The share of the table that is as great, never 0."""
+    return (len(table) - np.searchsorted(table, x - 1e-9) + 1) / (len(table) + 1)
+
+
+def alphabet_of(body: str) -> tuple[str, dict[str, int]]:
+    used = set(body)
+    return next((name, i) for name, symbols, i in INDEX if used <= symbols)
 
 
 def randomness(token: str) -> float:
-    """Fisher's p-value that the symbols are independent and uniform over the inferred alphabet."""
+    """The share of random strings of the inferred alphabet that look less random than the token."""
     body = token.rstrip("=")
-    if len(body) < 8:
+    if len(body) < GRID[0]:
         return 0.0
-    used = set(body)
-    index = next(i for symbols, i in INDEX if used <= symbols)
-    k, n = len(index), len(body)
-    at = np.fromiter((index[c] for c in body), dtype=np.float64, count=n)
-    expected = n / k
-    chi = float(((np.bincount(at.astype(np.int64), minlength=k) - expected) ** 2).sum() / expected)
-    high = at >= k / 2
-    share = 0.5 if k % 2 == 0 else (k // 2) / k
-    flip = 2 * share * (1 - share)
-    runs = float((high[1:] != high[:-1]).sum())
-    z_runs = (runs - flip * (n - 1)) / sqrt((n - 1) * flip * (1 - flip))
-    centred = at - (k - 1) / 2
-    z_serial = float((centred[1:] * centred[:-1]).sum()) / (sqrt(n - 1) * (k * k - 1) / 12)
-    ps = (chi2_tail(chi, k - 1), erfc(abs(z_runs) / sqrt(2)), erfc(abs(z_serial) / sqrt(2)))
-    half = -sum(log(max(p, 1e-300)) for p in ps)
-    return float(np.exp(-half) * (1 + half + half * half / 2))
+    _, index = alphabet_of(body)
+    at = np.fromiter((index[c] for c in body), dtype=np.int64, count=len(body))
+    tables, sums = random_strings(len(index), max(g for g in GRID if g <= len(body)))
+    fisher = sum(-log(tail(t, x)[0]) for t, x in zip(tables, statistics(at[None], len(index)), strict=True))
+    return float(tail(sums, np.array([fisher]))[0])
+
+
+def kind_of(token: str) -> int:
+    """0 for letters of one case, which prose has too, 1 for other encodings, -1 for digits alone."""
+    name, _ = alphabet_of(token.rstrip("=") or "=")
+    return -1 if name == "decimal" else int(name not in SINGLE_CASE)
 
 
 def runs_of(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,17 +131,22 @@ def runs_of(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
-def decoy(raw: bytes, start: int, end: int) -> str:
-    """As many token characters as the run has, from the text after it and then before it."""
-    want, reach = end - start, 8 * (end - start) + 64
-    near = raw[end : end + reach] + b" " + raw[max(0, start - reach) : start]
-    return bytes(b for b in near if IS_TOKEN[b])[:want].decode()
+def decoy(raw: np.ndarray, prose: np.ndarray, at: int, want: int) -> str | None:
+    """As many token characters as wanted from the prose after a place and then before it; None where there are too few."""
+    reach = 8 * want + 64
+    near = np.concatenate((np.arange(at, min(at + reach, len(raw))), np.arange(max(0, at - reach), at)))
+    found = raw[near[prose[near]]][:want]
+    return found.tobytes().decode() if len(found) == want else None
+
+
+def scored(token: str) -> dict:
+    return {"kind": kind_of(token), "class": length_class(len(token)), "score": int(100 * randomness(token))}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id; base: pattern spans (start, rank, end); runs: (start, end, class, score in hundredths, score of the decoy or null)."""
+    """doc_id; base: pattern spans (start, rank, end); runs outside these: (start, end, kind, class, score in hundredths); decoys: (kind, class, score)."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("score", pa.int32()), ("decoy", pa.int32())]))
+    score_type = [("kind", pa.int32()), ("class", pa.int32()), ("score", pa.int32())]
 
     def run(batches):
         for batch in slices(batches):
@@ -114,6 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             offsets, raw = text_buffers(column)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             tokens: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            decoys: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, text in enumerate(column.to_pylist()):
                 low = text.lower()
                 if any(w in low for w in WORDS):
@@ -125,43 +166,70 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for i, a, b in zip(*runs_of(IS_HEX[raw], offsets, 32), strict=True):
                 at = int(wide[a] - wide[offsets[i]])
                 found[i].append({"start": at, "rank": 2, "end": at + int(b - a)})
-            for i, a, b in zip(*runs_of(IS_TOKEN[raw], offsets, CLASSES[0]), strict=True):
+            prose = IS_TOKEN[raw]
+            where = list(zip(*runs_of(prose, offsets, CLASSES[0]), strict=True))
+            prose = prose.copy()
+            for _, a, b in where:
+                prose[a:b] = False
+            for i, a, b in where:
                 at = int(wide[a] - wide[offsets[i]])
-                own = data[offsets[i] : offsets[i + 1]]
-                other = decoy(own, int(a - offsets[i]), int(b - offsets[i]))
-                tokens[i].append({
-                    "start": at, "end": at + int(b - a), "class": length_class(int(b - a)), "score": int(100 * randomness(data[a:b].decode())),
-                    "decoy": int(100 * randomness(other)) if len(other) == b - a else None,
-                })
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, span), pa.array(tokens, run_type)], names=["doc_id", "base", "runs"])
-
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, base array<struct<start int, rank int, end int>>, runs array<struct<start int, end int, class int, score int, decoy int>>")
-
-
-def thresholds(scanned: DataFrame, fdr: float) -> dict[int, int]:
-    """For each length class, the least score whose estimated false-discovery share is at most `fdr`. Classes and scores are few, whatever the input."""
-    one = scanned.select(F.inline("runs"))
-    counts = one.select("class", "score", F.lit(1).alias("run"), F.lit(0).alias("false")).unionByName(
-        one.filter("decoy is not null").select("class", F.col("decoy").alias("score"), F.lit(0).alias("run"), F.lit(1).alias("false"))
-    )
-    counts = counts.groupBy("class", "score").agg(F.sum("run").alias("run"), F.sum("false").alias("false"))
-    above = Window.partitionBy("class").orderBy(F.desc("score"))
-    share = (1 + F.sum("false").over(above)) / F.greatest(F.sum("run").over(above), F.lit(1))
-    best = counts.withColumn("share", share).filter(F.col("share") <= fdr).groupBy("class").agg(F.min("score").alias("score"))
-    return {r["class"]: r["score"] for r in best.collect()}
+                token = data[a:b].decode()
+                if kind_of(token) >= 0:
+                    tokens[i].append({"start": at, "end": at + int(b - a), **scored(token)})
+                    decoys[i].append((b, int(b - a)))
+            for i in range(batch.num_rows):
+                first, last = int(offsets[i]), int(offsets[i + 1])
+                draw = xxhash.xxh3_64_intdigest(data[first:last])
+                places = [*decoys[i], (first + draw // 8 % max(last - first, 1), DECOYS[draw % len(DECOYS)])]
+                strings = [decoy(raw[first:last], prose[first:last], int(at) - first, want) for at, want in places]
+                decoys[i] = [scored(t) for t in strings if t is not None]
+            # what a pattern has found already is not at stake
+            tokens = [[t for t in own if not any(f["start"] < t["end"] and t["start"] < f["end"] for f in base)] for own, base in zip(tokens, found, strict=True)]
+            columns = [batch.column("doc_id"), pa.array(found, span), pa.array(tokens, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *score_type]))), pa.array(decoys, pa.list_(pa.struct(score_type)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "runs", "decoys"])
+
+    schema = "doc_id long, base array<struct<start int, rank int, end int>>, runs array<struct<start int, end int, kind int, class int, score int>>, decoys array<struct<kind int, class int, score int>>"
+    return text_rows(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def significant(runs: dict[tuple[int, int], np.ndarray], decoys: dict[tuple[int, int], np.ndarray], fdr: float, least_decoys: int) -> dict[tuple[int, int], int]:
+    """The least score reported in each (kind, class), from the counts by score of runs and of decoys: Benjamini-Hochberg over all runs."""
+    p_values = {}
+    for kind, cls in runs:
+        near = sorted(range(len(CLASSES) + 1), key=lambda c: (c > cls, abs(c - cls)))
+        pooled = np.zeros(101, np.int64)
+        for key in [(k, c) for k in (kind, 1 - kind) for c in near]:
+            if pooled.sum() < least_decoys and key in decoys:
+                pooled = pooled + decoys[key]
+        p_values[kind, cls] = (1 + np.cumsum(pooled[::-1])[::-1]) / (1 + pooled.sum())
+    total = sum(int(n.sum()) for n in runs.values())
+    cells = sorted((p, int(n)) for key, counts in runs.items() for p, n in zip(p_values[key], counts, strict=True) if n)
+    limit, rank = -1.0, 0
+    for p, n in cells:
+        rank += n
+        # equal p-values have the last one's rank
+        if p <= fdr * rank / total:
+            limit = p
+    return {key: int(np.argmax(p <= limit)) for key, p in p_values.items() if (p <= limit).any()}
+
+
+def thresholds(scanned: DataFrame, fdr: float, least_decoys: int = 1_000) -> dict[tuple[int, int], int]:
+    """The least reported score of each (kind, class). Counts cover all documents; kinds, classes and scores are few, whatever the input."""
+    one = scanned.select(F.inline("runs")).select("kind", "class", "score", F.lit(True).alias("run"))
+    other = scanned.select(F.inline("decoys")).filter("kind >= 0").select("kind", "class", "score", F.lit(False).alias("run"))
+    found: tuple[dict, dict] = ({}, {})
+    for r in one.unionByName(other).groupBy("kind", "class", "score", "run").agg(F.count("*").alias("n")).collect():
+        found[not r["run"]].setdefault((r["kind"], r["class"]), np.zeros(101, np.int64))[r["score"]] = r["n"]
+    return significant(*found, fdr, least_decoys) if found[0] else {}
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random; a random run that overlaps a pattern's span is not listed again."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random; runs that overlap a pattern's span are not tested."""
     scanned = checkpoint(scan(docs, id_col, text_col))
-    least = thresholds(scanned, fdr)
-    wanted = F.lit(False)
-    picked = F.filter(
-        "runs",
-        lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), r["class"]) <= r["score"], F.lit(False)) if least else wanted,
-    )
-    free = F.filter(picked, lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    added = F.transform(free, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("rank"), r["end"].alias("end")))
+    least = {10 * kind + cls: score for (kind, cls), score in thresholds(scanned, fdr).items()}
+    known = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else None
+    picked = F.filter("runs", lambda r: F.coalesce(F.element_at(known, 10 * r["kind"] + r["class"]) <= r["score"], F.lit(False)) if least else F.lit(False))
+    added = F.transform(picked, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("rank"), r["end"].alias("end")))
 
     def joined(spans):
         names = F.array(*[F.lit(k) for k in KINDS])

@@ -279,6 +279,47 @@ def test_random_keys_are_found_and_prose_is_not(spark):
     assert sum(got[1_000 + i] for i in range(30)) <= 2
 
 
+PROSE = "The quick committee considered several reasonable proposals before lunch and decided that none of the 14 projects could continue without further money from a large fund"
+SYMBOLS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+SYMBOLS["base64url"] = SYMBOLS["base62"] + "-_"
+
+
+def test_recall_and_false_share_of_planted_keys(spark):
+    """Keys by encoding and length among prose with long words, paths and identifiers: recall of each and the share of reported spans that are no keys."""
+    rng = random.Random(12)
+    words = re.findall(r"\w+", PROSE)
+    rows, planted = [], {}
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    for encoding, symbols in SYMBOLS.items():
+        for length in (20, 24, 31, 40, 64):
+            for _ in range(20):
+                planted[len(rows)] = (encoding, length)
+                rows.append(f"{prose(60)} {''.join(rng.choice(symbols) for _ in range(length))} {prose(60)}")
+    for _ in range(1_500):
+        parts = [rng.choice(words) for _ in range(5)]
+        rows.append(f"{prose(80)} {'/'.join(parts)}/index {'_'.join(parts)} {''.join(w.capitalize() for w in parts)} {''.join(parts).lower()} {prose(40)}")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    recall = defaultdict(float)
+    for i, key in planted.items():
+        recall[key] += (got[i]["n_random"] + got[i]["n_hex"] > 0) / 20
+    false = sum(r["n_random"] for i, r in got.items() if i not in planted)
+    share = false / max(sum(r["n_random"] for r in got.values()), 1)
+    print({f"{e} {n}": round(x, 2) for (e, n), x in recall.items()}, "false share", share)
+    assert share <= 0.08
+    assert all(x >= 0.75 for (_, n), x in recall.items() if n >= 24) and np.mean(list(recall.values())) >= 0.85
+
+
+def test_a_rare_class_reports():
+    decoys = {(1, c): np.bincount([0] * 4_000 + [3] * 5, minlength=101) for c in (1, 2, 3)}
+    runs = {(1, 1): np.bincount([0] * 50, minlength=101), (1, 6): np.bincount([60], minlength=101)}
+    found = secrets.significant(runs, decoys, 0.05, 1_000)
+    assert found[1, 6] <= 60 and found[1, 1] > 0
+    assert secrets.significant({(1, 1): np.bincount([0] * 50, minlength=101)}, decoys, 0.05, 1_000) == {}
+
+
 def test_random_tokens_look_random():
     rng = random.Random(1)
     p = [secrets.randomness("".join(rng.choice("0123456789abcdef") for _ in range(40))) for _ in range(400)]
