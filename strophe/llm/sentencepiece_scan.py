@@ -8,10 +8,11 @@ line feed, the place before a space mark, or a change between ASCII letters and
 checked), so ordinary documents fall into words whose best paths are found once each and kept; a vocabulary without
 that property is searched over whole texts.
 
-Giant documents are exploded into chunks of characters. The state at a boundary is the number of characters by which
-a piece reaches over it. Each chunk yields a matrix (entry state x exit state -> best score); matrices compose by
-max-plus products, and a scan per document gives each chunk the scores at its entry. Then every chunk walks back from
-each exit state by itself, and the chain of states picks one walk for each.
+Giant documents are cut into chunks of characters in one pass. The state at a boundary is the number of characters by
+which a piece reaches over it. Each chunk yields a matrix (entry state x exit state -> best score). Matrices compose by
+max-plus products, which are associative: runs of RUN chunks are multiplied in parallel, a scan over the products gives
+each run the scores at its entry, and a scan inside each run those of its chunks. Then every chunk walks back from each
+exit state by itself; the states alone are chained back per document, and each chunk's walk is picked by its state.
 
 Defined results: null text counts as empty and has no ids; null ids and repeated rows stay, one row each; an empty
 table gives an empty result; extra columns are ignored. No text is cut or capped.
@@ -36,6 +37,8 @@ NEG = -np.inf
 #: What an unknown character scores below the least normal piece; fixed in the library.
 UNKNOWN_PENALTY = 10.0
 WORDS_KEPT = 400_000
+#: Chunks whose matrices are multiplied together before the scan.
+RUN = 64
 ASCII_RUN = r"(?:[A-Za-z]+|[\x00-\x09\x0b-@\[-`{-\x7f]+)"
 OTHERS = rf"[^\x00-\x7f{MARK}]+"
 #: A line feed, or space marks with what follows up to the next mark, line feed or change between ASCII letters and other ASCII.
@@ -239,17 +242,27 @@ def encode_small(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def after(entry: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Best scores at the exit states, given those at the entry states (a row) or of several entries (rows)."""
+    return (entry[..., :, None] + matrix).max(axis=-2)
+
+
 def encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
     """doc_id, ids by the scan; rows of docs are told apart by a row key, so repeated ids stay apart."""
     reach = vocabulary(model).reach
-    marked = F.concat(F.lit(MARK), F.regexp_replace("text", " ", MARK))
-    keyed = docs.select(F.expr("uuid()").alias("row"), "doc_id", marked.alias("text"))
-    keyed = checkpoint(
-        keyed.select("row", "doc_id", "text", F.char_length("text").alias("n"))
-        .select("row", "doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk"))
-        .select("row", "doc_id", "chunk", F.least(F.lit(chunk), F.col("n") - F.col("chunk") * chunk).cast("int").alias("size"), F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + reach})").alias("part"))
-        .repartition("row", "chunk")
-    )
+
+    def cut(batches):
+        for batch in batches:
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                marked = MARK + text.replace(" ", MARK)
+                for at in range(0, len(marked), 64 * chunk):
+                    starts = range(at, min(at + 64 * chunk, len(marked)), chunk)
+                    columns = [pa.array([row] * len(starts)), pa.array([doc_id] * len(starts), pa.int64()), pa.array([i // chunk for i in starts], pa.int32())]
+                    columns += [pa.array([min(chunk, len(marked) - i) for i in starts], pa.int32()), pa.array([marked[i : i + chunk + reach] for i in starts])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "chunk", "size", "part"])
+
+    keyed = docs.select(F.expr("uuid()").alias("row"), "doc_id", "text").mapInArrow(cut, "row string, doc_id long, chunk int, size int, part string")
+    keyed = checkpoint(keyed.repartition("row", "chunk"))
 
     def matrices(batches):
         words = vocabulary(model)
@@ -257,15 +270,32 @@ def encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
             cells = [words.transfer(p.as_py(), n.as_py()).ravel() for p, n in zip(batch.column("part"), batch.column("size"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(cells, pa.list_(pa.float64()))], names=["row", "chunk", "cells"])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        at = np.full(reach, NEG)
-        at[0] = 0.0
+    def in_order(group: pd.DataFrame, by: str) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        group = group.sort_values(by)
+        return group, [np.array(c).reshape(reach, reach) for c in group["cells"]]
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        group, own = in_order(group, "chunk")
+        total = own[0]
+        for m in own[1:]:
+            total = after(total, m)
+        return pd.DataFrame({"row": group["row"].iloc[:1], "run": group["run"].iloc[:1], "cells": [total.ravel()]})
+
+    def scanned(group: pd.DataFrame, by: str, entry: np.ndarray) -> pd.DataFrame:
+        group, own = in_order(group, by)
         entries = []
-        for cells in group["cells"]:
-            entries.append(at)
-            at = (at[:, None] + np.array(cells).reshape(reach, reach)).max(axis=0)
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "entry": entries})
+        for m in own:
+            entries.append(entry)
+            entry = after(entry, m)
+        return pd.DataFrame({"row": group["row"], by: group[by], "entry": entries})
+
+    def scan_runs(group: pd.DataFrame) -> pd.DataFrame:
+        start = np.full(reach, NEG)
+        start[0] = 0.0
+        return scanned(group, "run", start)
+
+    def scan_chunks(group: pd.DataFrame) -> pd.DataFrame:
+        return scanned(group, "chunk", np.array(group["entry"].iloc[0]))
 
     walk_type = "struct<common: array<int>, exits: array<struct<exit: int, entry: int, tail: array<int>>>>"
 
@@ -279,22 +309,29 @@ def encode_giant(docs: DataFrame, model: str, chunk: int) -> DataFrame:
                 walks = pa.array([shared_start(words.walks(part, n, np.array(entry)))], kind)
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("row", "doc_id", "chunk")), walks], names=["row", "doc_id", "chunk", "walks"])
 
-    cells = keyed.select("row", "chunk", "size", "part").mapInArrow(matrices, "row string, chunk int, cells array<double>")
-    entries = cells.groupBy("row").applyInPandas(scan, "row string, chunk int, entry array<double>")
-    walked = keyed.join(entries, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "part", "entry").mapInArrow(back, f"row string, doc_id long, chunk int, walks {walk_type}")
-    # from the last chunk back, each chunk's entry state is the exit state of the one before
-    walked = walked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.reverse(F.array_sort(F.collect_list(F.struct("chunk", "walks")))).alias("chunks"))
-    start = F.expr("named_struct('state', 0, 'parts', cast(array() as array<array<int>>))")
-
-    def step(acc, c):
-        walk = F.element_at(F.filter(c["walks"]["exits"], lambda w: w["exit"] == acc["state"]), 1)
-        return F.struct(walk["entry"].alias("state"), F.concat(F.array(c["walks"]["common"], walk["tail"]), acc["parts"]).alias("parts"))
-
-    return walked.select("doc_id", F.flatten(F.aggregate("chunks", start, step)["parts"]).alias("ids"))
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        """From the last chunk back, each chunk's exit state is the entry state of the one after it; the last one's is 0."""
+        group = group.sort_values("chunk", ascending=False)
+        state, states = 0, []
+        for exits in group["exits"]:
+            states.append(state)
+            state = next(e["entry"] for e in exits if e["exit"] == state)
+        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "state": states})
+
+    cells = checkpoint(keyed.select("row", "chunk", "size", "part").mapInArrow(matrices, "row string, chunk int, cells array<double>")).withColumn("run", F.floor(F.col("chunk") / RUN).cast("int"))
+    runs = cells.groupBy("row", "run").applyInPandas(product, "row string, run int, cells array<double>").groupBy("row").applyInPandas(scan_runs, "row string, run int, entry array<double>")
+    entries = cells.join(runs, ["row", "run"]).groupBy("row", "run").applyInPandas(scan_chunks, "row string, chunk int, entry array<double>")
+    walked = checkpoint(keyed.join(entries, ["row", "chunk"]).select("row", "doc_id", "chunk", "size", "part", "entry").mapInArrow(back, f"row string, doc_id long, chunk int, walks {walk_type}"))
+    steps = walked.select("row", "chunk", F.transform("walks.exits", lambda e: F.struct(e["exit"].alias("exit"), e["entry"].alias("entry"))).alias("exits"))
+    states = steps.groupBy("row").applyInPandas(chain, "row string, chunk int, state int")
+    picked = walked.join(states, ["row", "chunk"])
+    tail = F.element_at(F.filter("walks.exits", lambda e: e["exit"] == F.col("state")), 1)["tail"]
+    picked = picked.select("row", "doc_id", "chunk", F.concat("walks.common", tail).alias("ids")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    return picked.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
-    """doc_id, ids (array<int>) of every row; documents of more than `giant` characters go through the parallel scan in chunks of `chunk`."""
+    """doc_id, ids (array<int>) of every row; documents of more than `giant` characters go through the parallel scan in chunks of `chunk`; one row has a document's ids, so they must fit one array."""
     rows = text_rows(docs, id_col, text_col)
     small = encode_small(rows.filter(F.char_length("text") <= giant), model)
     return small.unionByName(encode_giant(rows.filter(F.char_length("text") > giant), model, chunk))

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import tempfile
+import time
 import uuid
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -476,6 +477,26 @@ def test_sentencepiece(spark, docs, texts):
     assert all(back[i] == t for i, t in short.items() if "▁" not in t)
 
 
+def test_giant_text_in_bounded_time(spark):
+    """5 MB in one document, unbroken stretches included: the same ids as word by word, and the text comes back."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 12))) for _ in range(3_000)]
+    text = " ".join(rng.choice(words) for _ in range(720_000)) + "x" * 100_000
+    assert len(text) > 5_000_000
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in sps.encode(df, MODEL).collect()}
+    assert got[1] == np.frombuffer(sps.vocabulary(MODEL).encode(text), "<i4").tolist() and got[3] == []
+    assert time.perf_counter() - began < 240
+    back = sps.decode(spark.createDataFrame([(1, got[1]), (2, None), (None, []), (4, [])], "doc_id long, ids array<int>"), MODEL).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == {1: text, 2: "", None: "", 4: ""}
+
+
+def test_whole_table_round_trip(spark, docs, texts):
+    encoded = sps.encode(docs, MODEL, giant=20_000)
+    assert {r["doc_id"]: r["text"] for r in sps.decode(encoded, MODEL).collect()} == texts
+
+
 def test_transfer_matrices_compose():
     v = sps.vocabulary(MODEL)
     text = "▁the▁quick▁brown▁fox▁jumps▁over▁the▁lazy▁dog▁again▁and▁again"
