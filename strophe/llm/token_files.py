@@ -7,9 +7,9 @@ serialized id arrays of a bounded sample and stored once beside the shards. File
 and renamed, with the same bytes on every attempt, so a lost executor's task can run again.
 
 Each different word of a batch is looked up once, and the ids of words, and of their letters, digits and symbols, are
-kept instead of encoded again: the tokenizer's pre-tokenizer never joins across white space, nor across letters, digits and symbols in
-plain Latin words. A tokenizer whose pre-tokenizer does
-otherwise needs WHOLE to match every text.
+kept instead of encoded again. That holds for tokenizers that lower-case and cut texts as APART says, never across white
+space, nor across letters, digits and symbols in plain Latin words. A file's own declaration is compared with it when it
+is loaded; the texts of any other tokenizer are encoded whole.
 
 Defined results: null text counts as empty (the end id alone); null ids come first and stay null; repeated ids are
 ordered by their text; an empty table gives no shards and an empty result; extra columns are ignored.
@@ -18,9 +18,11 @@ ordered by their text; an empty table gives no shards and an empty result; extra
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
+import uuid
 from array import array
 from functools import lru_cache
 from zlib import crc32
@@ -46,6 +48,23 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MIXED = re.compile(rf"[^\x00-\x7f{LETTERS}]|'")
 UNIT = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 WORDS_KEPT = 800_000
+#: How a tokenizer file declares that its words are apart: normaliser and pre-tokenizer. Fixed values.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def words_apart(declared: dict) -> bool:
+    """Whether a tokenizer's declaration is APART, without truncation, and its special tokens hold the pair that WHOLE looks for."""
+    special = [t["content"] for t in declared.get("added_tokens") or []]
+    return all(declared.get(k) == v for k, v in APART.items()) and not declared.get("truncation") and all("<|" in t for t in special)
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +73,7 @@ def word_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    apart = words_apart(json.loads(tokenizer.to_str()))
     new_half: dict[str, bytes] = {}
     old_half: dict[str, bytes] = {}
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
@@ -105,6 +125,8 @@ def word_encoder(path: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; the different words of all texts are looked up once."""
+        if not apart:
+            return raw(texts)
         whole = [WHOLE.search(t) is not None for t in texts]
         lists = pc.ascii_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
         coded = lists.values.dictionary_encode()
@@ -135,7 +157,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     fit = docs.filter(F.char_length("text") <= sample_chars)
     # ids first: each partition sends its best ids alone to the driver
     chosen = [r["doc_id"] for r in fit.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_docs).collect()]
-    sample = sorted(r["text"] for r in fit.filter(F.col("doc_id").isin(chosen)).select("text").limit(2 * sample_docs).collect()) if chosen else []
+    sample = sorted(r["text"] for r in fit.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample_docs).collect()) if chosen else []
     arrays = [narrow(ids + struct.pack("<I", end_id), width) for ids in encode(sample)]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes(), width
@@ -150,7 +172,7 @@ def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict | None:
 def put(uri: str, data: bytes) -> None:
     """Write a file whole or not at all."""
     system, path = fs.FileSystem.from_uri(uri)
-    part = f"{path}.{os.getpid()}.part"
+    part = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(part) as out:
         out.write(data)
     system.move(part, path)

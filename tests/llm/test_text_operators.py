@@ -441,6 +441,25 @@ def test_token_files(spark, docs, texts):
         start += len(ids)
 
 
+def test_other_tokenizers_encode_whole_texts(texts, tmp_path):
+    """A tokenizer that keeps case, and one of bytes: the ids are the library's, not those of words by themselves."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    own = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    assert token_files.words_apart(own)
+    own["normalizer"]["normalizers"].pop()
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(own))
+    for path in (str(cased), public_tokenizers.path("byte_bpe_50k.json")):
+        tokenizer = Tokenizer.from_file(path)
+        assert not token_files.words_apart(json.loads(tokenizer.to_str()))
+        sample = [*list(texts.values())[:20], "MiXed Case  and  spaces\n"]
+        got = token_files.word_encoder(path)[0](sample)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
+
+
 def test_shard_random_access():
     rows = [(5, np.arange(70_000, dtype="<u4").tobytes()), (None, b""), (7, np.array([3, 2], "<u4").tobytes())]
     shard = token_files.Shard(token_files.shard_bytes(rows, 4, b"", 3), b"")
