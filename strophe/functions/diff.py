@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strophe.lineage import checkpoint
+
 DIFF_TYPE = "array<struct<op: int, text: string>>"
 #: The same type for functions that workers import.
 DIFFS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -89,6 +91,13 @@ def totals(diffs: Column) -> dict[str, Column]:
     return {"n_inserted": total(1), "n_deleted": total(-1), "longest": longest}
 
 
+def error_percent(diffs: Column, base: Column, comp: Column) -> Column:
+    """Inserted and deleted characters as a percentage of the mean length of both texts in bytes; null where both are empty."""
+    n = totals(diffs)
+    length = (F.octet_length(base) + F.octet_length(comp)) / 2
+    return F.when(length > 0, (n["n_inserted"] + n["n_deleted"]) * 100 / length)
+
+
 def html(diffs: Column) -> Column:
     def tag(d):
         safe = F.replace(F.replace(F.replace(d["text"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -113,14 +122,21 @@ def patterns(pieces: DataFrame, key: str) -> DataFrame:
 
 
 def frequency_filter(pairs: DataFrame, words: DataFrame, key: str, threshold: int, diffs: str = "diffs") -> DataFrame:
-    """key, diffs: runs whose pattern occurs more than `threshold` times and is no known word (words: word) are taken as no difference.
+    """key, diffs: runs whose pattern occurs more than `threshold` times and is no known word (words: word, in any number) are taken as no difference.
 
     What they delete becomes equal text and what they insert goes; a pair without differences keeps its equal text.
     """
+    # the differences come from Python and are read four times
+    pairs = checkpoint(pairs.select(key, diffs))
     pieces = runs(pairs, key, diffs)
     found = patterns(pieces, key)
-    known = words.select(F.explode(F.array(F.concat(F.lit("-"), "word", F.lit("+")), F.concat(F.lit("-+"), F.col("word")))).alias("pattern")).distinct()
-    common = found.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") > threshold).select("pattern").join(known, "pattern", "left_anti")
+    common = found.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") > threshold).select("pattern")
+    common = checkpoint(common)
+    # the words that could excuse a common pattern; only these are looked for among all words
+    one_sided = common.select("pattern", F.coalesce(F.nullif(F.regexp_extract("pattern", r"(?s)^-(.+)\+$", 1), F.lit("")), F.regexp_extract("pattern", r"(?s)^-\+(.+)$", 1)).alias("word")).filter("word != ''")
+    wanted = one_sided.select("word").distinct()
+    met = words.select("word").join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "word", "left_semi").distinct()
+    common = common.join(one_sided.join(met, "word").select("pattern"), "pattern", "left_anti")
     usual = found.join(common, "pattern", "left_semi").select(key, "run", F.lit(True).alias("usual"))
     kept = pieces.join(usual, [key, "run"], "left").filter("not (op = 1 and usual is not null)")
     op = F.when((F.col("op") == -1) & F.col("usual").isNotNull(), 0).otherwise(F.col("op"))

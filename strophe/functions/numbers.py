@@ -50,3 +50,15 @@ def greedy_path(emissions: Column) -> Column:
     best = F.transform(emissions, lambda frame: F.array_position(frame, F.array_max(frame)) - 1)
     marked = F.transform(best, lambda x, i: F.when((i == 0) | (x != F.get(best, i - 1)), x).otherwise(F.lit(0)))
     return F.filter(marked, lambda x: x != 0)
+
+
+def pad_mask(values: Column, n: Column | int) -> Column:
+    """1 for each element of the padded array: padding is not masked out."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.array_repeat(F.lit(1), F.greatest(F.size(values), n))
+
+
+def expected_minutes(timestamps: Column, training: Column, speech: Column, queued: Column) -> Column:
+    """When a run is over time: its estimate by the work that is asked for, less for runs that a queue waits for."""
+    total = F.lit(10.0) + F.when(timestamps, 20.0).otherwise(0.0) + F.when(training, 240.0).otherwise(0.0) + F.when(speech, 20.0).otherwise(0.0)
+    return total * F.when(queued, 0.3).otherwise(2.0)

@@ -153,3 +153,88 @@ def v4_name(name: Column) -> dict[str, Column]:
     """Parts of FILESET_BOOK_CHAPTER[_rest].ext names."""
     parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "[_-]")
     return {"fileset": F.get(parts, F.lit(0)), "book_id": F.get(parts, F.lit(1)), "chapter": leading_int(F.coalesce(F.get(parts, F.lit(2)), F.lit("")))}
+
+
+#: Books of both testaments in canonical order. Fixed values.
+OT_BOOKS = "GEN EXO LEV NUM DEU JOS JDG RUT 1SA 2SA 1KI 2KI 1CH 2CH EZR NEH EST JOB PSA PRO ECC SNG ISA JER LAM EZK DAN HOS JOL AMO OBA JON MIC NAM HAB ZEP HAG ZEC MAL COV".split()
+NT_BOOKS = "MAT MRK LUK JHN ACT ROM 1CO 2CO GAL EPH PHP COL 1TH 2TH 1TI 2TI TIT PHM HEB JAS 1PE 2PE 1JN 2JN 3JN JUD REV".split()
+
+
+def stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def by_letter(letter: Column) -> Column:
+    """The testament that a file name's letter stands for."""
+    return F.when(letter == "A", "OT").when(letter == "B", "NT").otherwise("")
+
+
+def testament_of(book_id: Column) -> Column:
+    return F.when(book_id.isin(OT_BOOKS), "OT").when(book_id.isin(NT_BOOKS), "NT").otherwise("")
+
+
+def v2_name(name: Column) -> dict[str, Column]:
+    """Parts of names of fixed width: letter, sequence, chapter, book name and media id, filled up with underscores."""
+    base = stem(name)
+
+    def part(first, n):
+        return F.trim(F.substring(base, first, n), F.lit("_"))
+
+    return {
+        "testament": by_letter(F.substring(base, 1, 1)), "book_seq": part(2, 3), "chapter": part(6, 3).try_cast("int"), "book_name": part(10, 12),
+        "media_id": F.substring(base, 22, 1_000),
+    }
+
+
+def v4_audio_name(name: Column) -> dict[str, Column]:
+    """Parts of MEDIA_B01_BOOK_chapter_verse_chapterEnd_verseEnd names; "-" divides like "_", and missing parts are '' or 0."""
+    parts = F.split(F.replace(stem(name), F.lit("-"), F.lit("_")), "_")
+
+    def part(i):
+        return F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+
+    return {
+        "media_id": part(0), "testament": by_letter(F.substring(part(1), 1, 1)), "book_seq": F.substring(part(1), 2, 1_000), "book_id": part(2), "chapter": leading_int(part(3)),
+        "verse": part(4), "chapter_end": leading_int(part(5)), "verse_end": part(6),
+    }
+
+
+def vox_name(name: Column) -> dict[str, Column]:
+    """Parts of DRAMA_LANGUAGE_VERSION_seq_BOOK_chapter_rest names; N and O name the testament, P leaves it to the book. Other numbers of parts give nulls."""
+    parts = F.split(name, "_")
+    good = F.size(parts) == 7
+    letter = F.substring(parts[0], 1, 1)
+    testament = F.when(letter == "N", "NT").when(letter == "O", "OT").when(letter == "P", testament_of(parts[4]))
+    own = {"testament": testament, "book_seq": parts[3], "book_id": parts[4], "chapter": parts[5].try_cast("int"), "media_id": F.concat(parts[1], parts[2], parts[0], F.lit("DA"))}
+    return {n: F.when(good, c) for n, c in own.items()}
+
+
+def requested(testament: Column, book_id: Column, ot: bool | list[str] = False, nt: bool | list[str] = False) -> Column:
+    """Whether a file of this testament and book was asked for: a whole testament, or books of it; an empty book always counts."""
+    def asked(of):
+        return F.lit(True) if of is True else book_id.isin(list(of)) if of else F.lit(False)
+
+    return (book_id == "") | F.when(testament == "NT", asked(nt)).otherwise(asked(ot))
+
+
+def parse_reference(ref: Column) -> dict[str, Column]:
+    """Book, chapter and verse, and the end of a range, of references as reference() writes them; missing parts are '' or 0."""
+    got = {n: F.regexp_extract(ref, r"^(\S+)(?: (\d+)(?::([^-\s]*)(?:-(?:(\d+):)?([^:\s]*))?)?)?$", i) for i, n in enumerate(("book_id", "chapter", "verse", "chapter_end", "verse_end"), 1)}
+    return got | {n: leading_int(got[n]) for n in ("chapter", "chapter_end")}
+
+
+def yaml_value(text: Column, name: str) -> Column:
+    """What follows the first "name:" up to the line's end, "unknown-name" without one."""
+    at = F.instr(text, f"{name}:")
+    rest = F.substring_index(F.substr(text, at + F.lit(len(name) + 1)), "\n", 1)
+    return F.when(at > 0, F.trim(rest)).otherwise(f"unknown-{name}")
+
+
+def fileset_id(text: Column) -> Column:
+    """The first fileset id in a text, null without one."""
+    return F.nullif(F.regexp_extract(text, "[A-Z][0-9][A-Z]{6}", 0), F.lit(""))
+
+
+def bitrate_of(fileset: Column) -> Column:
+    """The bitrate that an id's end names; 64 where it names none."""
+    return F.coalesce(F.nullif(F.substring(fileset, 11, 100), F.lit("")), F.lit("64"))

@@ -33,21 +33,48 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, lo: str,
     return points.join(r, (F.col(key) == F.col("_key")) & F.col(at).between(F.col(lo), F.col(hi))).drop("_key")
 
 
-def keyed_update(target: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], expect_all: bool = False) -> DataFrame:
-    """The target with the columns of matching changes; with expect_all, every change must meet one row."""
+def one_each(changes: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
+    """Changes with one row for each key: the last in `order`; without an order, repeated keys raise."""
+    if order is not None:
+        return last_wins(changes, keys, order).select(*changes.columns)
+    if not changes.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError("changes repeat a key; name the column that orders them")
+    return changes
+
+
+def keyed_update(target: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], expect_all: bool = False, order: str | None = None) -> DataFrame:
+    """The target with the columns of matching changes; with expect_all, every change must meet one row of the target."""
+    changes = one_each(changes, keys, order)
+    if expect_all:
+        met = changes.select(*keys).join(target.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys), "left")
+        if not met.filter("_n is null or _n != 1").isEmpty():
+            raise ValueError("an update did not meet exactly one row")
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-    out = target.join(new, list(keys), "left")
-    if expect_all and out.filter("_hit").count() != changes.count():
-        raise ValueError("an update did not meet exactly one row")
     kept = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
-    return out.withColumns(kept).select(*target.columns)
+    return target.join(new, list(keys), "left").withColumns(kept).select(*target.columns)
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """Rows of changes replace rows with their keys."""
+    changes = one_each(changes, keys, order)
     return target.join(changes.select(*keys), list(keys), "left_anti").unionByName(changes)
 
 
+def upsert_if_changed(target: DataFrame, changes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value and action of every key: "insert" where it is new, "update" where the value differs, "" where nothing is done."""
+    new = one_each(changes, keys, None).select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_change"))
+    both = target.select(*keys, F.col(value).alias("_old"), F.lit(True).alias("_there")).join(new, list(keys), "full_outer")
+    action = F.when(F.col("_there").isNull(), "insert").when(F.col("_change") & ~F.col("_old").eqNullSafe(F.col("_new")), "update").otherwise("")
+    return both.select(*keys, F.when(F.col("_change"), F.col("_new")).otherwise(F.col("_old")).alias(value), action.alias("action"))
+
+
+def insert_new(target: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The rows whose key is 0 with new keys from the target's greatest on, in order; rows with a key are there already. Few rows are inserted at a time."""
+    top = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    numbered = rows.filter(F.col(key) == 0).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return numbered.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(target.schema[key].dataType)).select(*rows.columns)
+
+
 def cascade_delete(parent: DataFrame, child: DataFrame, key: str, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parent and child without the doomed keys."""
     return parent.join(doomed, key, "left_anti"), child.join(doomed, key, "left_anti")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lead_gap(df: DataFrame, file: str, order: Sequence[str], begin: str, end: str, durations: DataFrame | None = None) -> DataFrame:
@@ -119,9 +121,78 @@ def order_statistic(df: DataFrame, group: str, value: str, share: float) -> Data
 
 
 def duplicate_suffix(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Adds unique_name: the first of a duplicated name stays, later ones get a, b, c ..."""
+    """Adds unique_name: the name, or where the group has given it away the first free of name + a, b, ... z; none free raises.
+
+    Only where another row of the group is named like a suffixed name ("6a" beside a second "6") does one row's choice
+    hang on another's: these groups are folded in order, all others numbered by a window.
+    """
     n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    return df.withColumn("unique_name", F.concat(F.col(name).cast("string"), F.when(n == 1, "").otherwise(F.chr((n + 95).cast("long")))))
+    own = F.col(name).cast("string")
+    longer = df.select(*keys, own.alias("_n")).filter(F.col("_n").rlike("[a-z]$")).select(*keys, F.expr("substring(_n, 1, length(_n) - 1)").alias("_short"))
+    mixed = longer.join(df.select(*keys, own.alias("_short")), [*keys, "_short"], "left_semi").select(*keys).distinct()
+    too_many = F.raise_error(F.concat(F.lit("too many copies of "), own)).cast("string")
+    plain = F.when(n == 1, own).when(n <= 27, F.concat(own, F.chr((n + 95).cast("long")))).otherwise(too_many)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, out = pdf.sort_values(list(order)), set(), []
+        for value in pdf[name].astype(str):
+            free = next((value + c for c in ["", *"abcdefghijklmnopqrstuvwxyz"] if value + c not in taken), None)
+            if free is None:
+                raise ValueError(f"too many copies of {value}")
+            taken.add(free)
+            out.append(free)
+        return pdf.assign(unique_name=out)
+
+    folded = df.join(mixed, list(keys), "left_semi").groupBy(*keys).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())]))
+    return df.join(mixed, list(keys), "left_anti").withColumn("unique_name", plain).unionByName(folded)
+
+
+def merge_timestamps(scripts: DataFrame, heard: DataFrame, by: str, verse: str, missing: float = -1.0) -> DataFrame:
+    """by, verse, begin_ts, end_ts of both sides in the order of verse numbers, one row a verse; scripts count first.
+
+    Times of `heard` are relative: they start where the row before ends. A script's missing begin or end is taken from
+    the heard row of its verse. The running end is the last absolute end plus the relative ends since.
+    """
+    s = scripts.select(by, verse, F.col("begin_ts").alias("_sb"), F.col("end_ts").alias("_se"), F.lit(True).alias("_s"))
+    h = heard.select(by, verse, F.col("begin_ts").alias("_hb"), F.col("end_ts").alias("_he"), F.lit(True).alias("_h"))
+    both = s.join(h, [by, verse], "full_outer")
+    fixed = F.col("_s").isNotNull() & ((F.col("_se") != missing) | F.col("_h").isNull())
+    w = Window.partitionBy(by).orderBy(verse)
+    both = both.withColumn("_fixed", fixed).withColumn("_run", F.sum(F.col("_fixed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("_run", F.coalesce("_run", F.lit(0))).withColumn("_base", F.coalesce(F.last(F.when(F.col("_fixed"), F.col("_se")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    inside = Window.partitionBy(by, "_run").orderBy(verse).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_base") + F.coalesce(F.sum(F.when(~F.col("_fixed"), F.col("_he"))).over(inside), F.lit(0.0))
+    both = both.withColumn("_at", at)
+    begin = F.when(F.col("_s").isNull() | ((F.col("_sb") == missing) & F.col("_h").isNotNull()), F.col("_hb") + F.col("_at")).otherwise(F.col("_sb"))
+    return both.select(by, verse, begin.alias("begin_ts"), F.when(F.col("_fixed"), F.col("_se")).otherwise(F.col("_he") + F.col("_at")).alias("end_ts"))
+
+
+def label_spans(segments: DataFrame, tokens: DataFrame, by: str, blank: str = "<blank>") -> DataFrame:
+    """by, token, begin, end of tokens spelled by the labels between blanks, with half of the blank on each side (all of it at both ends).
+
+    segments: by, seg, label, start, stop in order; tokens: by, token (from 0), n_labels. No label repeats across a token's
+    end: labels fall to tokens by their running number.
+    """
+    w = Window.partitionBy(by).orderBy("seg")
+    s = segments.select(by, "seg", "label", "start", "stop", *[f(c).over(w).alias(n) for f, c, n in ((F.lag, "label", "_pl"), (F.lag, "start", "_ps"), (F.lag, "stop", "_pe"), (F.lead, "label", "_nl"), (F.lead, "start", "_ns"), (F.lead, "stop", "_ne"))])
+    s = s.filter(F.col("label") != blank).withColumn("_i", F.row_number().over(w))
+    order = Window.partitionBy(by).orderBy("token")
+    t = tokens.withColumn("_last", F.sum("n_labels").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_first", F.col("_last") - F.col("n_labels") + 1)
+    t = t.withColumn("_n", F.max("token").over(Window.partitionBy(by))).filter("n_labels > 0")
+    head = s.select(by, F.col("_i").alias("_first"), "start", "_pl", "_ps", "_pe")
+    tail = s.select(by, F.col("_i").alias("_last"), "stop", "_nl", "_ns", "_ne")
+    both = t.join(head, [by, "_first"]).join(tail, [by, "_last"])
+    begin = F.when(F.col("_pl") == blank, F.when(F.col("token") == 0, F.col("_ps")).otherwise(F.floor((F.col("_ps") + F.col("_pe")) / 2))).otherwise(F.col("start"))
+    end = F.when(F.col("_nl") == blank, F.when(F.col("token") == F.col("_n"), F.col("_ne")).otherwise(F.floor((F.col("_ns") + F.col("_ne")) / 2))).otherwise(F.col("stop"))
+    return both.select(by, "token", begin.cast("long").alias("begin"), end.cast("long").alias("end"))
+
+
+def spaces_at_word_starts(chars: DataFrame, line: str, order: str, char_seq: str, ch: str) -> DataFrame:
+    """line, order, part (0 a space that was put in, 1 a character), ch, score (1 for a space): a space before each word but the line's first."""
+    first = F.row_number().over(Window.partitionBy(line).orderBy(order)) == 1
+    own = F.struct(F.lit(1).alias("part"), F.col(ch).alias("ch"), F.col("score").alias("score"))
+    space = F.struct(F.lit(0).alias("part"), F.lit(" ").alias("ch"), F.lit(1.0).alias("score"))
+    return chars.withColumn("_first", first).select(line, order, F.inline(F.when((F.col(char_seq) == 0) & ~F.col("_first"), F.array(space, own)).otherwise(F.array(own))))
 
 
 def line_groups(df: DataFrame, file: str, order: Sequence[str], starts: Column, text: str) -> DataFrame:

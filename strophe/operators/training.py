@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,20 +27,37 @@ def prune(lines: DataFrame, words: DataFrame, line_score: float = 0.2, word_scor
 def pack_batches(samples: DataFrame, group: str, key: str, size: str, target: float, most: int) -> DataFrame:
     """group, batch, n_samples, total (largest size x samples), keys: samples in ascending size fill a batch until `most` of them, or until one more would pass the target.
 
-    The packing is a left fold, so it runs once for each group; only sizes and keys take part.
+    The packing is a left fold over sizes. It needs no rows, only how many samples of each size a group has, and equal
+    sizes fill equal batches: so the fold runs over different sizes, and gives for each at most three stretches of
+    ranks; rows then find their batch by their rank among equal sizes.
     """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, key])
-        batches: list[list[int]] = [[]]
-        for k, s in zip(pdf[key], pdf[size], strict=True):
-            n = len(batches[-1])
-            if n and (n >= most or s * (n + 1) >= target):
-                batches.append([])
-            batches[-1].append(int(k))
-        sizes = dict(zip(pdf[key], pdf[size], strict=True))
-        rows = [(pdf[group].iat[0], i, len(b), float(max(sizes[k] for k in b) * len(b)), b) for i, b in enumerate(batches) if b]
-        return pd.DataFrame(rows, columns=[group, "batch", "n_samples", "total", "keys"])
-
     kind = samples.schema[group].dataType.simpleString()
-    return samples.select(group, key, F.col(size).cast("double").alias(size)).groupBy(group).applyInPandas(pack, f"{group} {kind}, batch long, n_samples long, total double, keys array<long>")
+    rows = samples.select(group, key, F.col(size).cast("double").alias(size))
+
+    def stretches(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, batch, n = [], 0, 0
+        for s, left in sorted(zip(pdf[size], pdf["n"], strict=True)):
+            rank = 0
+            room = max(1, min(most, math.ceil(target / s) - 1 if s > 0 else most))
+            while left:
+                if n >= room:
+                    batch, n = batch + 1, 0
+                if n == 0 and left >= room:
+                    full = left // room
+                    out.append((s, rank, rank + full * room, batch, room))
+                    batch, rank, left = batch + full, rank + full * room, left - full * room
+                else:
+                    take = min(left, room - n)
+                    out.append((s, rank, rank + take, batch, take))
+                    n, rank, left = n + take, rank + take, left - take
+        found = pd.DataFrame(out, columns=[size, "first", "end", "batch", "width"])
+        found.insert(0, group, pdf[group].iat[0])
+        return found
+
+    counts = rows.groupBy(group, size).agg(F.count("*").alias("n"))
+    spans = counts.groupBy(group).applyInPandas(stretches, f"{group} {kind}, {size} double, first long, end long, batch long, width long")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group, size).orderBy(key)) - 1)
+    same = ranked[group].eqNullSafe(spans[group]) & (ranked[size] == spans[size]) & (ranked["rank"] >= spans["first"]) & (ranked["rank"] < spans["end"])
+    dealt = ranked.join(spans, same).select(ranked[group], ranked[size], ranked[key], (F.col("batch") + F.floor((F.col("rank") - F.col("first")) / F.col("width"))).alias("batch"))
+    packed = dealt.groupBy(group, "batch").agg(F.count("*").alias("n_samples"), (F.max(size) * F.count("*")).alias("total"), F.sort_array(F.collect_list(F.struct(size, key))).alias("k"))
+    return packed.select(group, "batch", "n_samples", "total", F.transform("k", lambda s: s[key]).alias("keys"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strophe.functions import diff, text as tx
 from strophe.operators import align, joins
-from strophe.queries.tokens import distinct_tokens
 from strophe.queries.views import scripts, table
 from strophe.registry import query
 
@@ -34,7 +33,8 @@ def compare_report(spark, d):
 
 @query()
 def gordon(spark, d):
-    known = distinct_tokens(table(spark, d, "documents")).filter(tx.token_type(F.col("word")) == "W").select(F.lower("word").alias("word")).distinct()
+    tokens = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+    known = tokens.filter(tx.token_type(F.col("word")) == "W").select(F.lower("word").alias("word"))
     kept = diff.frequency_filter(pairs(spark, d), known, "pair_id", 20)
     return kept.select("pair_id", *[c.alias(n) for n, c in diff.totals(F.col("diffs")).items()])
 

@@ -115,7 +115,11 @@ def training_select(spark, d):
     return docs.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars::DOUBLE AS s, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
+f AS (SELECT source, i, doc_id, s, 0::BIGINT AS batch, 1 AS n FROM o WHERE i = 1 UNION ALL
+  SELECT o.source, o.i, o.doc_id, o.s, CASE WHEN f.n >= 16 OR o.s * (f.n + 1) >= 60000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 16 OR o.s * (f.n + 1) >= 60000 THEN 1 ELSE f.n + 1 END
+  FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1)
+SELECT source, batch, count(*) AS n_samples, max(s) * count(*) AS total, list(doc_id ORDER BY s, doc_id) AS keys FROM f GROUP BY source, batch""")
 def batch_pack(spark, d):
     return training.pack_batches(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 60_000, 16)
 
@@ -126,7 +130,8 @@ def speaker_lengths(spark, d):
     return scripts(spark, d).groupBy("person").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("sigma"), F.max(n).alias("longest"))
 
 
-@query()
+@query("""WITH b AS (SELECT label, vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings), m AS (SELECT *, lag(best) OVER (PARTITION BY label ORDER BY vec_id, best) AS p FROM b)
+SELECT label, coalesce(list(best ORDER BY vec_id, best) FILTER (best <> 0 AND (p IS NULL OR best <> p)), []) AS path FROM m GROUP BY label""")
 def greedy_decode(spark, d):
     best = table(spark, d, "embeddings").select("label", "vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("best"))
     w = Window.partitionBy("label").orderBy("vec_id", "best")
