@@ -9,8 +9,8 @@ that common passages seldom make a key; results are the same for every order.
    the whole shingle sets.
 2. Where members of a prefix key are still in different components, pivots are compared with all members of their keys
    in other components: a few random ones at first, four times as many each round. Two nodes in different components
-   are not both in the largest one of a key, so only nodes outside it ever need to be pivots; the rounds end when each of
-   these has been one. Then every pair of a key that may be similar was verified or lies in one component, so nothing
+   are not both in a key's first one, so only nodes outside it ever need to be pivots. A pivot's pairs are complete, so it leaves its keys after its round;
+   the rounds end when no key has several components left. Then every pair of a key that may be similar was verified or lies in one component, so nothing
    is lost; a large cluster connects within a few rounds of a few pivots, and its pairs are never made. Work grows
    with the square of a group only for different texts under one infrequent shingle that are not near copies.
 
@@ -129,22 +129,20 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
 
-def pivot_pairs(members: DataFrame, done: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
+def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pivots (node) and the possible pairs (u, v) of them and the members of their keys in other components.
 
-    members: key, node, n, part of keys with several parts. About `most` pivots a key, of the nodes outside their
-    largest part that are not done yet; None for all of these.
+    members: key, node, n, part of keys with several parts, and the first part and number m of the key's members. About
+    `most` pivots a key, of the nodes outside its first part; None for all of these.
     """
-    parts = members.groupBy("key", "part").agg(F.count("*").alias("c"))
-    keys = parts.groupBy("key").agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("major"), F.sum("c").alias("m"))
-    chosen = members.join(keys, "key").groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("major")).alias("minor"))
-    chosen = chosen.filter("minor").join(done, "node", "left_anti")
+    chosen = members.groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("first")).alias("other")).filter("other")
     if most is not None:
         # a number in [0, 1) of the node itself: in its largest key about `most` of the m members fall below
         chosen = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < most)
     pivots = checkpoint(chosen.select("node"))
-    flagged = members.join(pivots.withColumn("pivot", F.lit(True)), "node", "left")
-    a = flagged.filter("pivot").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
+    side = F.broadcast(pivots) if pivots.count() <= 1_000_000 else pivots
+    flagged = members.join(side.withColumn("pivot", F.lit(True)), "node", "left")
+    a = members.join(side, "node", "left_semi").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
     b = flagged.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
     met = a.join(b, "key").filter("px != py and (not pivot or x < y)").filter(f"nx * 100 >= ny * {percent} and ny * 100 >= nx * {percent}")
     small, large = F.least(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx"))), F.greatest(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx")))
@@ -152,13 +150,28 @@ def pivot_pairs(members: DataFrame, done: DataFrame, most: int | None, percent:
     return pivots, possible(met, percent)
 
 
-def several(members: DataFrame) -> DataFrame:
-    """The rows of keys whose members lie in more than one part."""
-    apart = members.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    return members.join(apart, "key", "left_semi")
+def apart(members: DataFrame) -> DataFrame:
+    """key, node, n, part of keys whose members lie in more than one part, with the first part and the number m of members."""
+    members = members.select("key", "node", "n", "part")
+    keys = members.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("m"))
+    return members.join(keys.filter("first < last").drop("last"), "key")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 4) -> DataFrame:
+def several(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of apart() of nodes that can have a partner: of some size, in enough of their keys.
+
+    A pair needs a number of common keys that its two sizes tell (see possible). A key counts for a node and a size when
+    it holds a member of that size in another part; too few such keys for every size rule all partners out.
+    """
+    rows = apart(members)
+    sizes = rows.groupBy("key", F.col("n").alias("nv")).agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    met = rows.select("key", "node", "n", "part").join(sizes, "key").filter(f"n * 100 >= nv * {percent} and nv * 100 >= n * {percent} and (a != part or b != part)")
+    behind = f"greatest((n * {percent} + 99) div 100, (nv * {percent} + 99) div 100) - 1"
+    counted = met.groupBy("node", "n", "nv").agg(F.count("*").alias("common")).filter(f"(common + {behind}) * (100 + {percent}) >= (n + nv) * {percent}")
+    return apart(rows.join(counted.select("node").distinct(), "node", "left_semi"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 8) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `percent` similarity or more) of every row with an id."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
     own = checkpoint(profiles(rows, shingle, seed, percent))
@@ -176,29 +189,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = checkpoint(proposed.unionByName(possible(stars, percent)).distinct())
     texts = packed_texts(rows.join(ends(stars), "doc_id", "left_semi"))
     labels = checkpoint(connected_components(verified(stars, texts, shingle, seed, percent)))
-    members = checkpoint(several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))))
-    largest = members.groupBy("key").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
-    done, most = members.select("node").limit(0), pivots
-    while not members.isEmpty():
-        tried, pairs = pivot_pairs(members, done, most if most < largest else None, percent)
-        if tried.isEmpty():
-            if most >= largest:
-                break
-            most *= 4
-            continue
-        pairs, done = checkpoint(pairs), checkpoint(done.unionByName(tried))
+    members = checkpoint(several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), percent))
+    most = pivots
+    while (largest := members.agg(F.max("m")).first()[0]) is not None:
+        tried, pairs = pivot_pairs(members, most if most < largest else None, percent)
         most *= 4
-        if pairs.isEmpty():
+        if tried.isEmpty():
             continue
+        pairs = checkpoint(pairs)
         texts = packed_texts(rows.join(ends(pairs), "doc_id", "left_semi"))
         edges = verified(pairs, texts, shingle, seed, percent)
-        part_of = members.select("node", "part").distinct()
+        part_of = members.join(ends(pairs).withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "part").distinct()
         between = edges.join(part_of.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(part_of.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
         merged = checkpoint(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")))
-        if merged.isEmpty():
-            continue
         known = labels.unionByName(merged.join(labels.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
         labels = checkpoint(known.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")))
-        members = checkpoint(several(members.join(merged, "part", "left").select("key", "node", "n", F.coalesce("to", "part").alias("part"))))
+        left = members.join(tried, "node", "left_anti").join(merged, "part", "left")
+        members = checkpoint(several(left.select("key", "node", "n", F.coalesce("to", "part").alias("part")), percent))
     tagged = nodes.join(labels, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
     return own.select("doc_id", "tag").join(tagged, "tag").select("doc_id", "component_id")
