@@ -140,3 +140,50 @@ def add_headings(lines: DataFrame, titles: DataFrame, headings: DataFrame) -> Da
     heads = headings.join(chapters, ["book_id", "chapter_num"]).select("book_id", "chapter_num", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("old_num"), "script_text")
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_num", "kind", "old_num"))
     return own.unionByName(title).unionByName(heads).select("book_id", "chapter_num", number.alias("script_num"), "script_text")
+
+
+def read_known_errors(spark: SparkSession, path: str) -> DataFrame:
+    """reference, word_seq, word, kind of a list of known errors (CSV without a header); a number that is none is 0."""
+    rows = spark.read.csv(path, schema="reference string, word_seq string, word string, kind string", multiLine=True, escape='"')
+    return rows.select(F.trim("reference").alias("reference"), F.coalesce(F.trim("word_seq").try_cast("int"), F.lit(0)).alias("word_seq"), F.trim("word").alias("word"), F.trim("kind").alias("kind"))
+
+
+PAIR = (
+    "ref struct<book_id: string, chapter_num: int, verse_str: string, chapter_end: int, verse_end: string>, script_num string, audio_file string, begin_ts double, end_ts double, "
+    "base struct<script_id: long, text: string, uroman: string>, comp struct<script_id: long, text: string, uroman: string>, diffs array<struct<Type: int, Text: string>>"
+)
+
+
+def read_pairs(spark: SparkSession, path: str, book: str = "", chapter: int = 0) -> DataFrame:
+    """Compared pairs of a JSON array, of one book or one chapter of it, by script_id: the base's, else the compared side's."""
+    rows = spark.read.schema(PAIR).json(path, multiLine=True)
+    if book:
+        rows = rows.filter(F.col("ref.book_id") == book)
+        rows = rows.filter(F.col("ref.chapter_num") == chapter) if chapter else rows
+    own = F.coalesce(F.nullif(F.col("base.script_id"), F.lit(0).cast("long")), F.col("comp.script_id"))
+    return rows.withColumn("script_id", own)
+
+
+def fileset_globs(root: str, dataset: str, kind: str, old: str = "", new: str = "") -> list[str]:
+    """Path patterns of a dataset's filesets of both testaments for spark.read: JSON files, USX folders, or audio whose names begin with A or B."""
+    found = []
+    for fileset, letter in ((old, "A"), (new, "B")):
+        if fileset and kind in ("text_plain", "text_plain_edit"):
+            found.append(f"{root}/{dataset}/{fileset}.json")
+        elif fileset:
+            found.append(f"{root}/{dataset}/{fileset}/" + ("*.usx" if kind == "text_usx_edit" else f"{letter}*.mp3"))
+    return found
+
+
+#: Folders of artefacts under a media id. Fixed values.
+ARTEFACTS = {"script_path": "core_script/", "script_ts_path": "cue_info_text/", "line_ts_path": "aeneas_line_timings/", "verse_ts_path": "aeneas_verse_timings/"}
+
+
+def artefact_paths(listing: DataFrame, media: DataFrame) -> DataFrame:
+    """media_id, a path column for each kind of artefact ('' where nothing lies under it) and n, the files under the last kind. listing: path ("prefix/media_id/kind/..."); one pass over it."""
+    parts = F.split("path", "/")
+    kind = F.concat(F.element_at(parts, -2), F.lit("/"))
+    folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    files = listing.select(F.element_at(parts, -3).alias("media_id"), kind.alias("kind"), F.concat(folder, F.lit("/")).alias("folder")).filter(kind.isin(list(ARTEFACTS.values())))
+    found = files.groupBy("media_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("folder"))).alias(n) for n, k in ARTEFACTS.items()], F.count_if(F.col("kind") == ARTEFACTS["verse_ts_path"]).alias("n"))
+    return media.join(found, "media_id", "left").select("media_id", *[F.coalesce(n, F.lit("")).alias(n) for n in ARTEFACTS], F.coalesce("n", F.lit(0)).alias("n"))

@@ -38,3 +38,32 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     chars = words.select("file", "ratio", "names", "word", F.posexplode("chars").alias("seq", "c"))
     t = F.col("c")
     return chars.select("file", "word", "seq", F.col("names")[t[0].cast("int")].alias("label"), (t[1] * F.col("ratio")).alias("begin_ts"), (t[2] * F.col("ratio")).alias("end_ts"), t[3].alias("score"))
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """file, audio_file, verse_str, text, uroman, begin_ts, end_ts of an aligner's [{audio_file, sections}] files: the first chapter of each file. A section without both times raises."""
+    section = "struct<verse_id: string, timings: array<double>, text: string, uroman_tokens: string>"
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<audio_file: string, sections: array<{section}>>>")[0].alias("c"))
+    rows = raw.select("file", F.col("c.audio_file").alias("audio_file"), F.inline("c.sections"))
+
+    def time(i):
+        return F.when(F.size("timings") > 1, F.col("timings")[i]).otherwise(F.raise_error(F.concat(F.lit("missing timestamps for "), F.col("verse_id"))).cast("double"))
+
+    return rows.select("file", "audio_file", F.col("verse_id").alias("verse_str"), "text", F.col("uroman_tokens").alias("uroman"), time(0).alias("begin_ts"), time(1).alias("end_ts"))
+
+
+def read_manifest(spark: SparkSession, path: str, references: DataFrame) -> DataFrame:
+    """script_id, begin_ts, end_ts (milliseconds rounded) of an aligner's file of JSON lines, which stand in the order of references (seq from 0, script_id). Other numbers of lines raise."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value", F.lit("\n")), "\n")).alias("seq", "line"))
+    rows = lines.select("seq", F.from_json("line", "audio_start_sec double, duration double").alias("r"))
+    n, wanted = rows.count(), references.count()
+    if n != wanted:
+        raise ValueError(f"{n} lines for {wanted} references")
+    start = F.col("r.audio_start_sec")
+    return rows.join(references, "seq").select("script_id", nx.round_ms(start).alias("begin_ts"), nx.round_ms(start + F.col("r.duration")).alias("end_ts"))
+
+
+def verse_pieces(segments: DataFrame, pieces: DataFrame) -> DataFrame:
+    """file, verse_str, texts, begin_ts, end_ts: the segments heard in each piece of a recording, moved by the piece's begin. segments: file, id, begin_ts, end_ts, text; pieces: file, verse_str, piece_begin."""
+    heard = segments.groupBy("file").agg(F.min_by("begin_ts", "id").alias("b"), F.max_by("end_ts", "id").alias("e"), F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]).alias("texts"))
+    return pieces.join(heard, "file").select("file", "verse_str", "texts", (F.col("b") + F.col("piece_begin")).alias("begin_ts"), (F.col("e") + F.col("piece_begin")).alias("end_ts"))
