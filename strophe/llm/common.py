@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,33 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.lineage import checkpoint, shared_dir
+
+__all__ = ["checkpoint", "new_folder", "shared_dir", "slices", "sums", "text_buffers", "text_rows"]
+
 #: Words are runs of characters other than these six ASCII white-space characters.
 SPACE = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE)] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a local master, and an error on a cluster, whose machines share no temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        configured = "file://" + tempfile.mkdtemp(prefix="strophe-")
-        spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return configured
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute once, into the folder that all executors share, and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
