@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Compute once, into the folder that all executors share, and cut the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect, so that Spark deletes the shuffle files of frames that nothing refers to any more; for loops whose rounds each leave some."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
