@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.lineage import release
 from strophe.llm.common import checkpoint, slices, text_rows
 from strophe.llm.simhash import connected_components, links, majority, shingle_hashes
 
@@ -129,11 +130,11 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
 
-def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
+def pivot_pairs(members: DataFrame, allowed: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pivots (node) and the possible pairs (u, v) of them and the members of their keys in other components.
 
-    members: key, node, n, part of keys with several parts, and the first part and number m of the key's members. About
-    `most` pivots a key, of the nodes outside its first part; None for all of these.
+    members and allowed as several() gives them. About `most` pivots a key, of the nodes outside its first part; None
+    for all of these.
     """
     chosen = members.groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("first")).alias("other")).filter("other")
     if most is not None:
@@ -142,9 +143,9 @@ def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[Dat
     pivots = checkpoint(chosen.select("node"))
     side = F.broadcast(pivots) if pivots.count() <= 1_000_000 else pivots
     flagged = members.join(side.withColumn("pivot", F.lit(True)), "node", "left")
-    a = members.join(side, "node", "left_semi").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
+    a = members.join(side, "node", "left_semi").join(allowed, "node").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("nv").alias("ny"))
     b = flagged.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
-    met = a.join(b, "key").filter("px != py and (not pivot or x < y)").filter(f"nx * 100 >= ny * {percent} and ny * 100 >= nx * {percent}")
+    met = a.join(b, ["key", "ny"]).filter("px != py and (not pivot or x < y)").filter(f"nx * 100 >= ny * {percent} and ny * 100 >= nx * {percent}")
     small, large = F.least(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx"))), F.greatest(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx")))
     met = met.select(small.alias("a"), large.alias("b")).select(F.col("a.x").alias("u"), F.col("a.nx").alias("nu"), F.col("b.x").alias("v"), F.col("b.nx").alias("nv"))
     return pivots, possible(met, percent)
@@ -157,18 +158,19 @@ def apart(members: DataFrame) -> DataFrame:
     return members.join(keys.filter("first < last").drop("last"), "key")
 
 
-def several(members: DataFrame, percent: int) -> DataFrame:
-    """The rows of apart() of nodes that can have a partner: of some size, in enough of their keys.
+def several(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of apart() of nodes that can have a partner of some size, and these sizes (node, nv).
 
     A pair needs a number of common keys that its two sizes tell (see possible). A key counts for a node and a size when
-    it holds a member of that size in another part; too few such keys for every size rule all partners out.
+    it holds a member of that size in another part; too few such keys rule out all partners of the size.
     """
-    rows = apart(members)
+    rows = checkpoint(apart(members))
     sizes = rows.groupBy("key", F.col("n").alias("nv")).agg(F.min("part").alias("a"), F.max("part").alias("b"))
     met = rows.select("key", "node", "n", "part").join(sizes, "key").filter(f"n * 100 >= nv * {percent} and nv * 100 >= n * {percent} and (a != part or b != part)")
     behind = f"greatest((n * {percent} + 99) div 100, (nv * {percent} + 99) div 100) - 1"
     counted = met.groupBy("node", "n", "nv").agg(F.count("*").alias("common")).filter(f"(common + {behind}) * (100 + {percent}) >= (n + nv) * {percent}")
-    return apart(rows.join(counted.select("node").distinct(), "node", "left_semi"))
+    allowed = checkpoint(counted.select("node", "nv"))
+    return checkpoint(apart(rows.join(allowed.select("node").distinct(), "node", "left_semi"))), allowed
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 8) -> DataFrame:
@@ -189,10 +191,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = checkpoint(proposed.unionByName(possible(stars, percent)).distinct())
     texts = packed_texts(rows.join(ends(stars), "doc_id", "left_semi"))
     labels = checkpoint(connected_components(verified(stars, texts, shingle, seed, percent)))
-    members = checkpoint(several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), percent))
+    members, allowed = several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), percent)
     most = pivots
     while (largest := members.agg(F.max("m")).first()[0]) is not None:
-        tried, pairs = pivot_pairs(members, most if most < largest else None, percent)
+        release(rows.sparkSession)
+        tried, pairs = pivot_pairs(members, allowed, most if most < largest else None, percent)
         most *= 4
         if tried.isEmpty():
             continue
@@ -205,6 +208,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = labels.unionByName(merged.join(labels.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
         labels = checkpoint(known.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")))
         left = members.join(tried, "node", "left_anti").join(merged, "part", "left")
-        members = checkpoint(several(left.select("key", "node", "n", F.coalesce("to", "part").alias("part")), percent))
+        members, allowed = several(left.select("key", "node", "n", F.coalesce("to", "part").alias("part")), percent)
     tagged = nodes.join(labels, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
     return own.select("doc_id", "tag").join(tagged, "tag").select("doc_id", "component_id")
