@@ -513,10 +513,13 @@ def chunk_starts(rows: DataFrame, path: str, chunk: int) -> tuple[DataFrame, Dat
         runs = runs.unionByName(dealt.select("row", "run").distinct().select("row", "run", F.lit("").alias("entry"), F.lit("").alias("left"), F.lit(0).cast("long").alias("n")))
         starts = runs.groupBy("row").applyInPandas(scan_runs, "row string, run int, start string, before long")
         states = checkpoint(dealt.join(starts, ["row", "run"]).groupBy("row", "run").applyInPandas(scan_chunks, "row string, chunk int, entry string, before long"))
-        holes = states.filter("entry is not null").join(known.select("row", "chunk", "entry"), ["row", "chunk", "entry"], "left_anti").join(fields, ["row", "chunk"])
-        more = checkpoint(holes.select("row", "chunk", "head", "part", "last", F.array("entry").alias("wanted")).mapInArrow(maps, MAP))
-        if more.isEmpty():
+        lacking = [states.filter("entry is not null").select("row", "chunk", "entry"), known.select("row", F.col("chunk") + 1, F.col("left"))]
+        holes, exits = (x.toDF("row", "chunk", "entry").join(known, ["row", "chunk", "entry"], "left_anti").join(fields, ["row", "chunk"]) for x in lacking)
+        if holes.isEmpty():
             break
+        # with the entry that the scan lacks come all that the chunk before can leave, as the next scan may lack those
+        holes = holes.unionByName(exits).distinct()
+        more = checkpoint(holes.select("row", "chunk", "head", "part", "last", F.array("entry").alias("wanted")).mapInArrow(maps, MAP))
         known = known.unionByName(more)
     # the last chunk of a run also gives the first place of the next one
     states = states.groupBy("row", "chunk").agg(F.max("entry").alias("entry"), F.max("before").alias("before"))

@@ -71,7 +71,7 @@ def test_giant_texts_by_the_scan(spark, library, monkeypatch):
 
 def test_a_lacking_entry_is_added(spark, library, monkeypatch):
     """Maps whose guesses are all wrong: the scan finds the holes and fills them."""
-    text = "q" * 700 + "uest" * 100
+    text = "q" * 170 + "uest" * 20
     monkeypatch.setattr(token_counts, "LOOK_BACK", 1)
     df = spark.createDataFrame([(7, text)], "doc_id long, text string")
     rows = df.selectExpr("'r' as row", "doc_id", "text")
