@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_counts, token_files
+from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_counts, token_files, whitening
 from strophe.llm.common import new_folder
 
 #: The setting with the key of the pseudonyms, and the key of tests, which anyone can read here: it hides nothing.
@@ -77,6 +77,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.digests(sentencepiece_scan.encode(documents(spark, sf_dir), model), model)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_main_text,
         op9_pii_pseudonyms,
         op10_sentencepiece,
+        op11_embedding_whitening,
         op12_token_counts,
     )
 }
