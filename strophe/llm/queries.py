@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import ann, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_counts, token_files, whitening
+from strophe.llm import ann, divergence, html_main, mixing, pii, quality, secrets, sentencepiece_scan, simhash, suffix_dedup, token_counts, token_files, whitening
 from strophe.llm.common import new_folder
 
 #: The setting with the key of the pseudonyms, and the key of tests, which anyone can read here: it hides nothing.
@@ -85,6 +85,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece,
         op11_embedding_whitening,
         op12_token_counts,
+        op13_source_divergence,
     )
 }
 
@@ -135,4 +140,41 @@ SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(copy AS
 FROM copied
 """
 
-ORACLES: dict[str, str] = {"op3_poisson_mixing": MIXING_SQL}
+#: Words as divergence.py has them, exact integer proportions of every group and of every language.
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+),
+w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+gp AS (
+  SELECT lang, source, term, n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p
+  FROM cells
+),
+lt AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term),
+lp AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM lt
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce((
+    SELECT sum(abs(x.p - y.p)) FROM gp x JOIN gp y ON y.lang = x.lang AND y.term = x.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+),
+terms AS (SELECT gp.lang, gp.source, gp.term AS item, gp.p - lp.q AS value FROM gp JOIN lp ON lp.lang = gp.lang AND lp.term = gp.term WHERE gp.n > 0 AND gp.p > lp.q),
+ranked AS (
+  SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_poisson_mixing": MIXING_SQL, "op13_source_divergence": DIVERGENCE_SQL}
