@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """A frame computed once, as Parquet in a folder of its own in the shared folder; `drop` deletes the folder when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, kind: str):
+        self.spark = df.sparkSession
+        self.folder = f"{shared_dir(self.spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(self.folder)
+        self.df = self.spark.read.schema(df.schema).parquet(self.folder)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver's JVM collect, so that Spark deletes the shuffle files of frames that nothing refers to any more; for loops whose rounds each leave some."""
     gc.collect()
