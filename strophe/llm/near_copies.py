@@ -1,18 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles (five words and 80 percent), with SimHash as first proposal.
+"""Near copies by the Jaccard similarity of word shingles (five words and 80 percent), with SimHash as first proposal.
 
-64 bits cannot tell 0.8 from less without loss at any radius that can be paired, so SimHash only proposes. The rest
-comes from the prefix filter: with one order over all shingles, two sets whose similarity reaches the share have one of
-their first n - ceil(share * n) + 1 shingles in common, and in fact so many of them that few pairs are left to verify. The order puts shingles that are frequent in a sample last, so
-that common passages seldom make a key; results are the same for every order.
+64 bits cannot tell 0.8 from less without loss at any radius that can be paired, so SimHash only proposes, and whole
+shingle sets decide. Every text has the same number of further keys: BANDS digests of ROWS min-hashes each over its
+shingles. Two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.80, 0.99999 at 0.85;
+what a pair fails to share, the links of others mostly connect. Sharing a key only proposes too.
 
-1. Copies (equal words) collapse. SimHash groups and prefix keys give stars (least id, member); these are verified on
-   the whole shingle sets.
-2. Where members of a prefix key are still in different components, pivots are compared with all members of their keys
-   in other components: a few random ones at first, four times as many each round. Two nodes in different components
+1. Copies (equal words) collapse. SimHash groups and keys give stars (least id, member); these are verified on the
+   whole shingle sets.
+2. Where members of a key are still in different components, pivots are compared with all members of their keys in
+   other components: a few random ones at first, four times as many each round. Two nodes in different components
    are not both in a key's first one, so only nodes outside it ever need to be pivots. A pivot's pairs are complete, so it leaves its keys after its round;
-   the rounds end when no key has several components left. Then every pair of a key that may be similar was verified or lies in one component, so nothing
-   is lost; a large cluster connects within a few rounds of a few pivots, and its pairs are never made. Work grows
-   with the square of a group only for different texts under one infrequent shingle that are not near copies.
+   the rounds end when no key has several components left. Then every pair of a key that may be similar was verified or lies in one component; a
+   large cluster connects within a few rounds of a few pivots, and its pairs are never made.
+
+Pairs whose sizes rule out the similarity are not made, nor those of more than FAR differing SimHash bits (at 0.8 the
+mean is 10 and the deviation 3) unless one set is smaller than FEW. Each text travels to its verification once for each
+pair at most, compressed; tables of a round are deleted when the next one stands.
 
 Shingles are equal when their 64-bit hashes are. Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle; null ids take no part; rows of one id are one node.
@@ -25,59 +28,52 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.lineage import release
-from strophe.llm.common import checkpoint, slices, text_rows
+from strophe.lineage import Written, release
+from strophe.llm.common import slices, text_rows
 from strophe.llm.simhash import connected_components, links, majority, shingle_hashes
 
-#: The sample that orders the shingles, and the number of frequent ones that are told apart.
-SAMPLE, FREQUENT = 4_000, 200_000
-
-
-def frequent_shingles(rows: DataFrame, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the shingles that more than one sampled document has."""
+#: Keys of a text and min-hashes in each; SimHash bits beyond which two texts are not compared, and the set size from which that holds.
+BANDS, ROWS, FAR, FEW = 24, 6, 22, 20
+#: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST = 1_000_000
 
-    def run(batches):
-        for batch in slices(batches):
-            for t in batch.column("text").cast(pa.binary()):
-                found = np.unique(shingle_hashes(t.as_py().lower().split(), shingle, seed))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    step = max(1, rows.count() // SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def band_keys(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """The BANDS keys of a set of 64-bit hashes."""
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(1 << 62, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flips = rng.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4_096):
+        least = np.minimum(least, ((hashes[at : at + 4_096] ^ flips) * factors).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
-def profiles(rows: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
-    """doc_id, tag (digest of the words), fp (SimHash), n (different shingles), prefix (the shingles that are keys)."""
-    known, times = frequent_shingles(rows, shingle, seed)
+def profiles(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, tag (digest of the words), fp (SimHash), n (different shingles), keys."""
 
     def run(batches):
         for batch in slices(batches):
-            tags, fps, sizes, prefixes = [], [], [], []
+            tags, fps, sizes, keys = [], [], [], []
             for t in batch.column("text").cast(pa.binary()):
                 words = t.as_py().lower().split()
                 hashes = shingle_hashes(words, shingle, seed)
                 own = np.unique(hashes)
-                n = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    n = np.where(known[at] == own, times[at], 0)
-                most = len(own) + percent * len(own) // -100 + 1
                 tags.append(xxhash.xxh3_128_digest(b" ".join(words), seed))
                 fps.append(majority(hashes))
                 sizes.append(len(own))
-                prefixes.append(own[np.lexsort((own, n))[:most]].view(np.int64))
-            columns = [batch.column("doc_id"), pa.array(tags, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "n", "prefix"])
+                keys.append(band_keys(own, seed))
+            columns = [batch.column("doc_id"), pa.array(tags, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "fp", "n", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, tag binary, fp long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, tag binary, fp long, n long, keys array<long>")
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -115,99 +111,89 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, percen
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def possible(met: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of meetings (u, nu, v, nv), one for each common key, that can be similar enough.
-
-    What two sets have in common beyond common keys lies behind the prefix of the set whose prefix ends first.
-    """
-    sizes = f"nu * 100 >= nv * {percent} and nv * 100 >= nu * {percent}"
-    behind = f"greatest((nu * {percent} + 99) div 100, (nv * {percent} + 99) div 100) - 1"
-    counted = met.filter(sizes).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("common"))
-    return counted.filter(f"(common + {behind}) * (100 + {percent}) >= (nu + nv) * {percent}").select("u", "v").distinct()
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids; few ids are broadcast, so that no text is shuffled that is not wanted."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
 
 
-def pivot_pairs(members: DataFrame, allowed: DataFrame, most: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots (node) and the possible pairs (u, v) of them and the members of their keys in other components.
+def may_match(a: str, b: str, percent: int) -> str:
+    """SQL condition on the sizes and SimHashes of two sides."""
+    return (
+        f"n{a} * 100 >= n{b} * {percent} and n{b} * 100 >= n{a} * {percent} and (bit_count(fp{a} ^ fp{b}) <= {FAR} or least(n{a}, n{b}) < {FEW})"
+    )
 
-    members and allowed as several() gives them. About `most` pivots a key, of the nodes outside its first part; None
-    for all of these.
-    """
-    chosen = members.groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("first")).alias("other")).filter("other")
-    if most is not None:
-        # a number in [0, 1) of the node itself: in its largest key about `most` of the m members fall below
-        chosen = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < most)
-    pivots = checkpoint(chosen.select("node"))
-    side = F.broadcast(pivots) if pivots.count() <= 1_000_000 else pivots
-    flagged = members.join(side.withColumn("pivot", F.lit(True)), "node", "left")
-    a = members.join(side, "node", "left_semi").join(allowed, "node").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("nv").alias("ny"))
-    b = flagged.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
-    met = a.join(b, ["key", "ny"]).filter("px != py and (not pivot or x < y)").filter(f"nx * 100 >= ny * {percent} and ny * 100 >= nx * {percent}")
-    small, large = F.least(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx"))), F.greatest(F.struct("x", "nx"), F.struct(F.col("y").alias("x"), F.col("ny").alias("nx")))
-    met = met.select(small.alias("a"), large.alias("b")).select(F.col("a.x").alias("u"), F.col("a.nx").alias("nu"), F.col("b.x").alias("v"), F.col("b.nx").alias("nv"))
-    return pivots, possible(met, percent)
+
+def renamed(df: DataFrame, suffix: str, *more: str) -> DataFrame:
+    return df.select(*more, F.col("node").alias(suffix), F.col("n").alias(f"n{suffix}"), F.col("fp").alias(f"fp{suffix}"))
 
 
 def apart(members: DataFrame) -> DataFrame:
-    """key, node, n, part of keys whose members lie in more than one part, with the first part and the number m of members."""
-    members = members.select("key", "node", "n", "part")
+    """key, node, n, fp, part of keys whose members lie in more than one part, with the first part and the number m of members."""
+    members = members.select("key", "node", "n", "fp", "part")
     keys = members.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("m"))
     return members.join(keys.filter("first < last").drop("last"), "key")
 
 
-def several(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of apart() of nodes that can have a partner of some size, and these sizes (node, nv).
+def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[Written, DataFrame]:
+    """Pivots (node) and the pairs (u, v) of them and the members of their keys in other parts.
 
-    A pair needs a number of common keys that its two sizes tell (see possible). A key counts for a node and a size when
-    it holds a member of that size in another part; too few such keys rule out all partners of the size.
+    members as apart() gives them. About `most` pivots a key, of the nodes outside its first part; None for all of these.
     """
-    rows = checkpoint(apart(members))
-    sizes = rows.groupBy("key", F.col("n").alias("nv")).agg(F.min("part").alias("a"), F.max("part").alias("b"))
-    met = rows.select("key", "node", "n", "part").join(sizes, "key").filter(f"n * 100 >= nv * {percent} and nv * 100 >= n * {percent} and (a != part or b != part)")
-    behind = f"greatest((n * {percent} + 99) div 100, (nv * {percent} + 99) div 100) - 1"
-    counted = met.groupBy("node", "n", "nv").agg(F.count("*").alias("common")).filter(f"(common + {behind}) * (100 + {percent}) >= (n + nv) * {percent}")
-    allowed = checkpoint(counted.select("node", "nv"))
-    return checkpoint(apart(rows.join(allowed.select("node").distinct(), "node", "left_semi"))), allowed
+    chosen = members.groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("first")).alias("other")).filter("other")
+    if most is not None:
+        # a number in [0, 1) of the node itself: in its largest key about `most` of the m members fall below
+        chosen = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < most)
+    pivots = Written(chosen.select("node"), "pivots")
+    side = F.broadcast(pivots.df) if pivots.df.count() <= BROADCAST else pivots.df
+    flagged = members.join(side.withColumn("pivot", F.lit(True)), "node", "left")
+    a = renamed(flagged.filter("pivot"), "x", "key", F.col("part").alias("px"))
+    b = renamed(flagged, "y", "key", F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
+    a, b = a.withColumnRenamed("key", "kx"), b.withColumnRenamed("key", "ky")
+    met = a.join(b, F.expr(f"kx = ky and px != py and (not pivot or x < y) and {may_match('x', 'y', percent)}"))
+    return pivots, met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 8) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `percent` similarity or more) of every row with an id."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
-    own = checkpoint(profiles(rows, shingle, seed, percent))
-    nodes = own.groupBy("tag").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    prints = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    own = Written(profiles(rows, shingle, seed), "profiles").df
+    nodes = Written(own.groupBy("tag").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes").df
+    prints = Written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints").df
     groups = connected_components(links(prints)).withColumnRenamed("node", "first")
     proposed = nodes.select("fp", F.col("node").alias("v")).join(prints.withColumnRenamed("node", "first"), "fp").join(groups, "first", "left")
     proposed = proposed.select(F.coalesce("component", "first").alias("u"), "v").filter("u < v")
 
-    keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    w = Window.partitionBy("key")
-    met = keys.withColumn("least", F.min(F.struct("node", "n")).over(w)).withColumn("most", F.max("node").over(w)).filter("least.node < most")
-    met = checkpoint(met.select("key", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("m")))
-    stars = met.filter("least < node").select(F.col("least").alias("u"), F.col("m").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
-    stars = checkpoint(proposed.unionByName(possible(stars, percent)).distinct())
-    texts = packed_texts(rows.join(ends(stars), "doc_id", "left_semi"))
-    labels = checkpoint(connected_components(verified(stars, texts, shingle, seed, percent)))
-    members, allowed = several(met.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), percent)
+    keys = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("least"), F.max("node").alias("most")).filter("least.node < most")
+    met = Written(keys.join(shared.select("key", F.col("least.node").alias("u"), F.col("least.n").alias("nu"), F.col("least.fp").alias("fpu")), "key"), "met")
+    stars = met.df.filter("u < node").select("u", "nu", "fpu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fpv")).filter(may_match("u", "v", percent))
+    stars = Written(proposed.unionByName(stars.select("u", "v")).distinct(), "stars")
+    edges = verified(stars.df, packed_texts(among(rows, ends(stars.df))), shingle, seed, percent)
+    labels = Written(connected_components(edges), "labels")
+    parted = met.df.select("key", "node", "n", "fp").join(labels.df, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    members = Written(apart(parted), "members")
+    met.drop()
+    stars.drop()
     most = pivots
-    while (largest := members.agg(F.max("m")).first()[0]) is not None:
+    while (largest := members.df.agg(F.max("m")).first()[0]) is not None:
         release(rows.sparkSession)
-        tried, pairs = pivot_pairs(members, allowed, most if most < largest else None, percent)
+        tried, found = pivot_pairs(members.df, most if most < largest else None, percent)
         most *= 4
-        if tried.isEmpty():
-            continue
-        pairs = checkpoint(pairs)
-        texts = packed_texts(rows.join(ends(pairs), "doc_id", "left_semi"))
-        edges = verified(pairs, texts, shingle, seed, percent)
-        part_of = members.join(ends(pairs).withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "part").distinct()
-        between = edges.join(part_of.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(part_of.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
-        merged = checkpoint(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")))
-        known = labels.unionByName(merged.join(labels.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
-        labels = checkpoint(known.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")))
-        left = members.join(tried, "node", "left_anti").join(merged, "part", "left")
-        members, allowed = several(left.select("key", "node", "n", F.coalesce("to", "part").alias("part")), percent)
-    tagged = nodes.join(labels, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
+        pairs = Written(found, "pairs")
+        edges = verified(pairs.df, packed_texts(among(rows, ends(pairs.df))), shingle, seed, percent)
+        part_of = among(members.df.select(F.col("node").alias("doc_id"), "part"), ends(pairs.df)).distinct()
+        between = edges.join(part_of.select(F.col("doc_id").alias("u"), F.col("part").alias("pu")), "u").join(part_of.select(F.col("doc_id").alias("v"), F.col("part").alias("pv")), "v")
+        merged = Written(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")), "merged")
+        known = labels.df.unionByName(merged.df.join(labels.df.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
+        after = Written(known.join(merged.df, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        left = members.df.join(tried.df, "node", "left_anti").join(merged.df, "part", "left")
+        rest = Written(apart(left.select("key", "node", "n", "fp", F.coalesce("to", "part").alias("part"))), "members")
+        for old in (labels, members, tried, pairs, merged):
+            old.drop()
+        labels, members = after, rest
+    tagged = nodes.join(labels.df, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
     return own.select("doc_id", "tag").join(tagged, "tag").select("doc_id", "component_id")

@@ -42,3 +42,33 @@ def test_near_dedup_reaches_the_similarity(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], SCHEMA)
     assert {r["doc_id"]: r["component_id"] for r in near_copies.components(df).collect()} == want
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {i for i, c in want.items() if c == i}
+
+
+def test_recall_by_similarity(spark):
+    """Isolated pairs of one similarity each: at least 0.9 of every band is linked (all but a thousandth by the keys), and nothing below 0.8."""
+    rng = random.Random(11)
+    rows, bands = [], {}
+    for i in range(900):
+        words = [f"{i}_{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 300))]
+        other = list(words)
+        for _ in range(rng.randrange(1, max(2, len(words) // 40))):
+            other[rng.randrange(len(other))] = f"{i}_x{rng.randrange(10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        s = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        bands.setdefault("below" if s < 0.8 else 0.8 if s < 0.85 else 0.85 if s < 0.9 else 0.9, []).append(2 * i)
+        rows += [(2 * i, a, "en", "a", 0), (2 * i + 1, b, "en", "a", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {k: sum(got[i + 1] == i for i in v) / len(v) for k, v in bands.items()}
+    assert all(len(v) > 50 for v in bands.values())
+    assert found.pop("below") == 0 and min(found.values()) >= 0.98
+
+
+def test_a_common_passage_and_a_long_text(spark):
+    """Thousands of texts that share a passage but are no near copies, and very long texts."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"{i}_{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 40))]), "en", "a", 0) for i in range(2_000)]
+    long = [f"l{rng.randrange(5_000)}" for _ in range(60_000)]
+    rows += [(5_000, " ".join(long), "en", "a", 0), (5_001, " ".join(long[:-50] + ["x"] * 50), "en", "a", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i for i in range(2_000)} | {5_000: 5_000, 5_001: 5_000}
