@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.lineage import Written
 from strophe.llm import mixing, near_copies, pii, quality, sentencepiece_scan
 from strophe.llm.common import new_folder
 from strophe.llm.queries import documents, pii_key, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; null and empty texts have too few words and go, all columns stay as they are."""
     return quality.filter_kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, similarity of 0.8 or more); rows of one id stay or go together, and null ids stay."""
     found = near_copies.components(docs)
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Written(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id"), "gone").df
+    # few enough ids are broadcast, so that no text is shuffled
+    side = F.broadcast(gone) if gone.count() <= near_copies.BROADCAST else gone
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of every document, one row for each copy."""
+    """doc_id and the ids of every document, one row for each copy; null and empty texts have an empty array."""
     return sentencepiece_scan.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
