@@ -29,7 +29,7 @@ from strophe.llm.common import checkpoint, new_folder, slices, text_buffers
 from strophe.operators.numbering import number
 
 #: Sources times words of a chunk; the least words of a chunk; bytes of text that are counted at a time.
-CELLS, LEAST, BATCH = 1 << 20, 64, 16 << 20
+CELLS, LEAST, BATCH = 1 << 16, 64, 16 << 20
 BILLION_STEPS = (1_000, 1_000, 1_000)
 
 #: Bytes of words as they are, A-Z lowered, all other ASCII as a space; bytes of longer characters stay.
