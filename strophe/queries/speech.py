@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from strophe.operators import ctc
+from strophe.operators import ctc, lexicon
 from strophe.operators.numbering import number
 from strophe.queries.views import table
 from strophe.registry import query
@@ -48,3 +48,25 @@ def windowed_frames(spark, d):
     placed = number(table(spark, d, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 2).alias("value")), ["vec_id"], "seq", keys=["label"], start=0)
     out = ctc.in_windows(placed, "label", "seq", "value", 16, 3, smooth)
     return out.select("label", "seq", F.round(F.get("out", F.lit(0)), 5).alias("a"), F.round(F.get("out", F.lit(1)), 5).alias("b"))
+
+
+def short_words(spark, d):
+    """Words of up to three letters of the conversations, spelled with seven labels, and the lines of them alone."""
+    lines = table(spark, d, "conversations").select(F.filter(F.split(F.lower("text"), " "), lambda w: w.rlike("^[a-z]{1,3}$")).alias("words"))
+    words = lines.select(F.explode("words").alias("word")).distinct()
+    return words.select("word", F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.ascii(c) % 7 + 1).alias("labels")), lines
+
+
+@query("""WITH l AS (SELECT list_concat(list_concat(['<s>'], list_filter(string_split(lower(text), ' '), lambda x: regexp_full_match(x, '[a-z]{1,3}'))), ['</s>']) AS w FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT w[i - k : i - 1] AS history, w[i] AS word FROM (SELECT w, i, unnest(generate_series(0, least(3, i) - 1)) AS k FROM (SELECT w, unnest(generate_series(2, len(w))) AS i FROM l))),
+c AS (SELECT history, word, count(*) AS n FROM g GROUP BY history, word)
+SELECT array_to_string(history, ' ') AS history, word, n, round(log10(n / sum(n) OVER (PARTITION BY history)), 6) AS score FROM c""")
+def word_ngrams(spark, d):
+    return lexicon.ngrams(short_words(spark, d)[1], "words").select(F.array_join("history", " ").alias("history"), "word", "n", F.round("score", 6).alias("score"))
+
+
+@query()
+def lexicon_decode(spark, d):
+    """Eight frames read as short words; no SQL, tests go through all word sequences."""
+    words, lines = short_words(spark, d)
+    return lexicon.decode(frames(spark, d), "vec_id", "frames", words, lexicon.ngrams(lines, "words"), width=200).withColumn("score", F.round("score", 6))

@@ -4,9 +4,8 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from strophe.operators import ctc
+from strophe.operators import ctc, lexicon
 from strophe.queries import speech
 
 DIR = "/root/testdata/sf0.001"
@@ -104,3 +103,71 @@ def test_window_plan_of_one_recording(spark):
     df = spark.createDataFrame([("a", 65.0), ("b", 0.0), ("c", None)], "k string, s double")
     got = [tuple(r) for r in ctc.window_plan(df, "k", "s").orderBy("window").collect()]
     assert got == [("a", 0, 0, 1500, 0, 1650), ("a", 1, 1500, 3000, 1350, 3150), ("a", 2, 3000, 3250, 2850, 3250)]
+
+
+def reading(frames, spellings, table, order, weight=1.0, bonus=0.0):
+    """Best (score, words) over all sequences of words and all their paths (by best_paths, itself tested above)."""
+    scores = {(tuple(h), w): s for h, w, s in table}
+
+    def score(history, word):
+        for cut in range(len(history) + 1):
+            if (history[cut:], word) in scores:
+                return cut * lexicon.BACK_OFF + scores[history[cut:], word]
+        return len(history) * lexicon.BACK_OFF + lexicon.UNSEEN
+
+    found = []
+    for n in range(1, len(frames) + 1):
+        for words in itertools.product(sorted(spellings), repeat=n):
+            labels = [x for w in words for x in spellings[w]]
+            if len(labels) > len(frames):
+                continue
+            total = ctc.best_paths(np.array([frames]), np.array([labels]), 0)[0][0]
+            if total > -np.inf:
+                history = ["<s>", *words]
+                said = sum(score(tuple(history[: i + 1][-(order - 1) :]) if order > 1 else (), w) for i, w in enumerate([*words, "</s>"]))
+                found.append((-(total + weight * said + bonus * n), list(words)))
+    return min(found, default=None)
+
+
+def test_lexicon_over_all_word_sequences(spark):
+    rng = np.random.default_rng(7)
+    spellings = {"a": [1], "b": [2], "ab": [1, 2], "aa": [1, 1], "ba": [2, 1], "too": [3, 3, 3, 3, 3, 3]}
+    lines = spark.createDataFrame([(x.split(),) for x in ("a b", "ab a", "b a b", "aa", "a a b")] + [(None,), ([],), ([None, "b"],)], "words array<string>")
+    rows = [(i, np.log(rng.dirichlet(np.ones(4), 1 + i % 5)).tolist()) for i in range(40)]
+    df = spark.createDataFrame([*rows, (98, None), (99, []), (None, rows[3][1])], "id int, f array<array<double>>")
+    known = spark.createDataFrame([*spellings.items(), ("x", []), ("y", [0, 1]), (None, [1]), ("a", [1])], "word string, labels array<int>")
+    for order in (1, 2, 3):
+        table = lexicon.ngrams(lines, "words", order)
+        plain = [(r["history"], r["word"], r["score"]) for r in table.collect()]
+        got = {r["id"]: r for r in lexicon.decode(df, "id", "f", known, table, order, 0.7, 0.3).collect()}
+        assert len(got) == 43 and got[98]["words"] is got[99]["score"] is None
+        for i, f in rows:
+            want = reading(f, spellings, plain, order, 0.7, 0.3)
+            assert got[i]["words"] == want[1] and got[i]["score"] == pytest.approx(-want[0])
+        assert got[None]["words"] == got[3]["words"]
+
+
+def test_lexicon_query_scores_are_reached(spark):
+    """Over the whole small table no reading scores above the best path of its words; a narrower beam may lose that path, seldom."""
+    words, lines = speech.short_words(spark, DIR)
+    spelled = {r["word"]: list(r["labels"]) for r in words.collect()}
+    own = lexicon.Decoder(list(spelled.items()), [(tuple(r["history"]), r["word"], r["score"]) for r in lexicon.ngrams(lines, "words").collect()], 3, 1.0, 0.0, 1, 0)
+    given = {r["vec_id"]: r["frames"] for r in speech.frames(spark, DIR).collect()}
+    got = speech.lexicon_decode(spark, DIR).collect()
+    assert len(got) == len(given)
+    short = []
+    for r in got:
+        if r["words"]:
+            labels = [x for w in r["words"] for x in spelled[w]]
+            history = ["<s>", *r["words"]]
+            said = sum(own.score(tuple(history[: i + 1][-2:]), w) for i, w in enumerate([*r["words"], "</s>"]))
+            short.append(ctc.best_paths(np.array([given[r["vec_id"]]]), np.array([labels]), 0)[0][0] + said - r["score"])
+    assert len(short) > 400 and min(short) > -2e-6 and sum(x < 2e-6 for x in short) > 0.9 * len(short)
+
+
+def test_too_large_a_lexicon_raises(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "MOST_WORDS", 1)
+    known = spark.createDataFrame([("a", [1]), ("b", [2])], "word string, labels array<int>")
+    lines = spark.createDataFrame([(["a"],)], "words array<string>")
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        lexicon.decode(known.selectExpr("1 as id", "array(array(0.0D)) as f"), "id", "f", known, lexicon.ngrams(lines, "words"))
