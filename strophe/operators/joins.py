@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.operators import numbering
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row for each key, the one with the greatest order value."""
@@ -69,9 +71,9 @@ def upsert_if_changed(target: DataFrame, changes: DataFrame, keys: Sequence[str]
 
 
 def insert_new(target: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The rows whose key is 0 with new keys from the target's greatest on, in order; rows with a key are there already. Few rows are inserted at a time."""
+    """The rows whose key is 0 with new keys from the target's greatest on, in order; rows with a key are there already. Numbered by ranges, so any number of rows can be new."""
     top = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = rows.filter(F.col(key) == 0).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    numbered = numbering.number(rows.filter(F.col(key) == 0), order, "_n")
     return numbered.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(target.schema[key].dataType)).select(*rows.columns)
 
 

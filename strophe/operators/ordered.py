@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strophe.operators import numbering
+
 
 def lead_gap(df: DataFrame, file: str, order: Sequence[str], begin: str, end: str, durations: DataFrame | None = None) -> DataFrame:
     """Adds gap: time to the next row of the file, at a file's end to its duration (0 where none is known)."""
@@ -114,10 +116,8 @@ def byte_ranges(df: DataFrame, file: str, offset: str, size: str) -> DataFrame:
 
 
 def order_statistic(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """group, value at 0-based position floor(n x share) in ascending order."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    return ranked.filter(F.col("_i") == F.floor(F.col("_n") * share)).select(group, value)
+    """group, value at 0-based position floor(n x share) in ascending order; a share of 1 has no row."""
+    return numbering.at_ranks(df, value, lambda n: [F.floor(n * F.lit(share)) + 1], [group]).select(group, value)
 
 
 def duplicate_suffix(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.operators import numbering
+
 
 def moments(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sample deviation, minimum, maximum (0 at least), bias-corrected skew and excess kurtosis."""
@@ -22,11 +25,17 @@ def moments(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Nearest-rank quantiles, one row for each share."""
-    named = [F.expr(f"percentile_disc({p}) within group (order by `{value}`)").alias(f"_{i}") for i, p in enumerate(shares)]
-    agged = df.groupBy(*by).agg(*named)
-    rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"_{i}").cast("double").alias("q")) for i, p in enumerate(shares)])
-    return agged.select(*by, F.inline(rows))
+    """Nearest-rank quantiles, one row for each share: the first value that `p` of the group's values reach; nulls do not count, and a group without values has null.
+
+    Ranges of the values are counted, so no task sees all values of a group.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    found = numbering.at_ranks(known, value, lambda n: [n * F.lit(float(p)) for p in shares], by).select(*by, "i", F.col(value).cast("double").alias("q"))
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)])
+    groups = df.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.inline(rows))
+    keys = [*by, "i"]
+    other = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return groups.join(other, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").select(*by, "p", "q")
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import numbers as nx
 from strophe.operators import joins
+from strophe.operators.numbering import number
 from strophe.queries.views import SCRIPTS, TIMELINE, WORDS, scripts, table, timeline, words
 from strophe.registry import query
 
@@ -46,13 +47,13 @@ def point_lookups(spark, d):
 
 @query("""WITH r AS (SELECT l_orderkey, 'GEN ' || (l_orderkey % 50) || ':' || (l_partkey % 30) || ' ' || l_linenumber AS ref, l_comment_len FROM (SELECT *, length(l_returnflag) AS l_comment_len FROM lineitem)),
 p AS (SELECT CAST(split_part(split_part(ref, ':', 2), ' ', 1) AS BIGINT) AS verse, CAST(split_part(split_part(ref, ':', 2), ' ', 2) AS BIGINT) AS word, l_orderkey FROM r WHERE starts_with(ref, 'GEN 1:'))
-SELECT verse, list(l_orderkey ORDER BY word, l_orderkey) AS orders FROM p GROUP BY verse""")
+SELECT verse, word, l_orderkey, row_number() OVER (PARTITION BY verse ORDER BY word, l_orderkey) AS place FROM p""")
 def prefix_scan(spark, d):
     li = table(spark, d, "lineitem")
     ref = F.concat(F.lit("GEN "), F.col("l_orderkey") % 50, F.lit(":"), F.col("l_partkey") % 30, F.lit(" "), "l_linenumber")
     at = F.split(F.split("ref", ":")[1], " ")
     p = li.select("l_orderkey", ref.alias("ref")).filter(F.col("ref").startswith("GEN 1:")).select(at[0].cast("long").alias("verse"), at[1].cast("long").alias("word"), "l_orderkey")
-    return p.groupBy("verse").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "l_orderkey"))), lambda s: s["l_orderkey"]).alias("orders"))
+    return number(p, ["word", "l_orderkey"], "place", keys=["verse"])
 
 
 @query("SELECT max(o_totalprice <> 0) AS o_totalprice, max(o_shippriority <> 0) AS o_shippriority, max(o_orderpriority <> '') AS o_orderpriority FROM (SELECT *, 0 AS o_shippriority FROM orders)")

@@ -26,6 +26,13 @@ def insert_new(spark, d):
     return joins.insert_new(s, rows, "s_suppkey", ["s_name"])
 
 
+@query("SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 0) + row_number() OVER (ORDER BY o_custkey, o_totalprice, o_orderdate) AS o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 2 = 1")
+def insert_many(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    new = o.filter("o_orderkey % 2 = 1").withColumn("o_orderkey", F.lit(0).cast("long"))
+    return joins.insert_new(o.filter("o_orderkey % 2 = 0"), new, "o_orderkey", ["o_custkey", "o_totalprice", "o_orderdate"])
+
+
 @query("SELECT label, count(*) AS n, arg_min(vec_id, vec_id) AS first_id, max(vec_id) FILTER (i = 5) AS fifth FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings) GROUP BY label")
 def point_by_index(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("i"))
