@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from strophe.llm.common import IS_SPACE, slices, sums, text_buffers, text_rows
 
+#: Bytes of text that are looked at together: the doubling levels of a slice take some hundred bytes a word.
+SLICE = 1 << 20
+
 IS_SYMBOL = np.zeros(256, dtype=bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -149,7 +152,7 @@ def repetition(
     """
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             got = measure(batch, min_repeat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[c].astype(np.int64)) for c in COLUMNS)], names=["doc_id", *COLUMNS])
 
@@ -168,7 +171,7 @@ def filter_kept(docs: DataFrame, text_col: str = "text", min_repeat: int = 10, *
     def run(batches):
         for whole in batches:
             filled = pc.fill_null(whole.column(text_col), "")
-            parts = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows)), filled], names=["doc_id", "text"])])))
+            parts = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows)), filled], names=["doc_id", "text"])]), limit=SLICE))
             got = [measure(p, min_repeat) for p in parts]
             counts = [pa.array(np.concatenate([g[c] for g in got]).astype(np.int64) if got else [], pa.int64()) for c in COLUMNS]
             yield pa.RecordBatch.from_arrays([*whole.columns, *counts], names=[*names, *(added[c] for c in COLUMNS)])
