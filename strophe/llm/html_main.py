@@ -6,11 +6,12 @@ scores below them and skip nothing. Pages vote, with each container's share of t
 tags and classes (digits become #) from the root; votes, pages and different texts are summed by host and path in Spark,
 and the path with most votes wins the host. Paths are chained 64-bit hashes, so depth costs nothing.
 
-Pages are then read again. The winner's containers (where a page has none with text, its own best container) are
+Pages are then read again. The winner's containers (where a page has none with text, its own best container and all of that path) are
 widened: to the article or main element around them, else upward while the text beside them stands directly in the
-parent or under paths that most of the host's pages fill with texts of their own. Inside, what the tags or class words
-mark as no article goes, unless an article or main element is inside, and so do paths of 3 percent of the text or more
-that repeat the same texts over a host whose articles differ. A page's only h1 before the text is its title.
+parent or under paths that most of the host's pages fill with texts of their own. Inside, what tags mark as no article
+goes, and what class words mark if a second sign agrees (see no_passages), unless an article or main element is inside;
+so do paths of 3 percent of the text or more that repeat the same texts over a host whose articles differ. A page's only
+h1 before the text is its title. Buttons, drawings and players inside a line are left out without ending its block.
 
 Defined results: null html has no text; a null url belongs to the host ''; null ids and repeated rows stay, one row
 each; an empty table gives an empty result; extra columns are ignored. Texts are read whole, at any length and depth.
@@ -40,7 +41,9 @@ QUOTES = {"dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "caption",
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "dl", "figure", "center", "details", "fieldset", "header", "form"}
 #: Elements that are never part of an article, and those that are none unless one is inside them.
 SKIPPED = {"head", "nav", "footer", "aside", "button", "select", "dialog", "svg", "object", "menu", "canvas", "audio", "video"}
-BLOCKS = LEAVES | CONTAINERS | SKIPPED | {"hr"}
+#: Those of them that stand in a line of text and do not end its block.
+INLINE = {"button", "select", "svg", "object", "canvas", "audio", "video"}
+BLOCKS = LEAVES | CONTAINERS | (SKIPPED - INLINE) | {"hr"}
 #: Words of a class, id or role that mark what is not the article, and words beside them that take the mark back
 #: ("has-sidebar", "search-page", "entry-header").
 NOT_ARTICLE = set(
@@ -55,6 +58,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LIST_ITEM, TERM, CELL = ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"td", "th"}, {"table", "tr"})
 ENDS = {"li": LIST_ITEM, "dt": TERM, "dd": TERM, "td": CELL, "th": CELL, "tr": ({"tr", "td", "th"}, {"table"})}
 MARKED = 0.2
+#: A marked container with fewer words outside links is no passage of the article.
+PASSAGE = 30
 SUBSTANTIAL = 0.03
 
 
@@ -99,6 +104,8 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
 
     def flush():
         nonlocal linked
+        if skipping:  # a block inside a button or the like: the line goes on after it
+            return
         if buffer:
             text = re.sub(r"\s+", " ", "".join(buffer)).strip()
             if text:
@@ -134,10 +141,18 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
         if m["close"]:
             if tag == "a":
                 in_link = 0
-            if tag in BLOCKS:
-                flush()
-                if opened.get(tag):
-                    pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            if tag not in BLOCKS and tag not in INLINE:
+                continue
+            at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened.get(tag) else None
+            if tag in INLINE:
+                if at_tag is not None:
+                    pop_to(at_tag)
+                continue
+            if at_tag is not None:  # what was left open in the line ends with its block
+                pop_to(next((i for i in range(at_tag + 1, len(stack)) if stack[i][0] in INLINE), len(stack)))
+            flush()
+            if at_tag is not None:
+                pop_to(at_tag)
             continue
         if tag in RAW:
             end = RAW_END[tag].search(html, at)
@@ -149,6 +164,12 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
             text_of(" ")
         elif tag == "a":
             in_link = 1
+        if tag in INLINE:
+            if not m["attrs"].rstrip().endswith("/"):
+                stack.append((tag, -1, True))
+                opened[tag] = opened.get(tag, 0) + 1
+                skipping += 1
+            continue
         if tag not in BLOCKS:
             continue
         flush()
@@ -185,6 +206,7 @@ def read_page(html: str) -> tuple[list[Node], list[Block]]:
         stack.append((tag, made, skips))
         opened[tag] = opened.get(tag, 0) + 1
     text_of(html[at:])
+    pop_to(next((i for i, x in enumerate(stack) if x[0] in INLINE), len(stack)))
     flush()
     return nodes, blocks
 
@@ -215,6 +237,41 @@ def marks(nodes: list[Node]) -> list[bool]:
     return [n.marked and not h for n, h in zip(nodes, holds, strict=True)]
 
 
+def no_passages(nodes: list[Node], blocks: list[Block], marked: list[bool], ends: list[int]) -> list[bool]:
+    """The marked containers that a second sign shows to be no part of an article's text.
+
+    The signs: few words outside links, a third of the text or more in links, or a place at the begin or the end of the
+    unmarked text around it. A marked passage between unmarked ones stays.
+    """
+    under = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        under[i] = marked[i] or under[n.parent]
+    first, size, linked, words = [len(blocks)] * len(nodes), [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    last, plain = [-1] * len(nodes), [0]
+    for k, b in enumerate(blocks):
+        i = b.node
+        first[i], last[i] = min(first[i], k), k
+        size[i] += len(b.text)
+        linked[i] += b.linked
+        words[i] += len(b.text.split()) if 2 * b.linked < len(b.text) else 0
+        plain.append(plain[-1] + (not under[i]))
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i].parent
+        first[up], last[up] = min(first[up], first[i]), max(last[up], last[i])
+        for total in (size, linked, words):
+            total[up] += total[i]
+    out = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        if not marked[i] or last[i] < 0:
+            continue
+        up, before, after = n.parent, 0, 0
+        while up >= 0 and not before + after:
+            before, after = plain[first[i]] - plain[first[up]], plain[last[up] + 1] - plain[last[i] + 1]
+            up = nodes[up].parent
+        out[i] = words[i] < PASSAGE or 3 * linked[i] >= size[i] or not before or not after
+    return out
+
+
 def scores(nodes: list[Node], blocks: list[Block], marked: list[bool]) -> list[float]:
     factor = [1.0] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
@@ -280,9 +337,11 @@ def main_text(html: str, path: int | None, good: set[int], repeated: set[int]) -
     if not blocks:
         return ""
     marked, ends = marks(nodes), subtree_ends(nodes)
-    gone = [m or (n.path in repeated and n.path != path) for n, m in zip(nodes, marked, strict=True)]
+    same = [n.path in repeated and n.path != path for n in nodes]
+    suspect = [m or r for m, r in zip(marked, same, strict=True)]
+    gone = [m or r for m, r in zip(no_passages(nodes, blocks, marked, ends), same, strict=True)]
 
-    def left(tops: set[int]) -> list[bool]:
+    def left(tops: set[int], gone: list[bool]) -> list[bool]:
         """Which containers are cut off from the nearest of the tops around them, or from the page."""
         out = [False] * len(nodes)
         for i, n in enumerate(nodes[1:], 1):
@@ -301,18 +360,19 @@ def main_text(html: str, path: int | None, good: set[int], repeated: set[int]) -
         best = max(range(len(own)), key=lambda i: (own[i], -i))
         if own[best] <= 0:
             return ""
-        start = {best}
-    out, tops, done = left(start), set(), 0
+        out = left({best}, suspect)
+        start = {i for i, n in enumerate(nodes) if n.path == nodes[best].path and filled[i] and not out[i]}
+    out, tops, done = left(start, suspect), set(), 0
     for i in sorted(start):
         if i >= done:
             top = widened(i, nodes, by_node, ends, out, good)
             tops.add(top)
             done = ends[top]
-    out, inside = left(tops), [False] * len(nodes)
+    out, inside = left(tops, gone), [False] * len(nodes)
     for i, n in enumerate(nodes):
         inside[i] = i in tops or (i > 0 and inside[n.parent])
     picked = [inside[b.node] and not out[b.node] for b in blocks]
-    whole = left(set())
+    whole = left(set(), suspect)
     titles = [i for i, b in enumerate(blocks) if b.tag == "h1" and (picked[i] or not whole[b.node])]
     first = next((i for i, p in enumerate(picked) if p), 0)
     if len(titles) == 1 and titles[0] < first:

@@ -127,3 +127,34 @@ def test_all_pages(spark, sf):
         article = re.search(r"<article>(.*?)</article>", raw[r["page_id"]], re.S)[1]
         blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<(?!br)[^>]*>", "", b).replace("<br>", " "))).strip() for b in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", article)]
         assert r["text"] == "\n".join(filter(None, blocks))
+
+
+def read(body, path=None):
+    return html_main.main_text(f"<html><body>{body}</body></html>", path, set(), set())
+
+
+PASSAGE = " ".join(f"word{i}" for i in range(60)) + "."
+
+
+@pytest.mark.parametrize("inline", ["<svg><text>x</text></svg>", "<button>x</button>", "<select><option>x</option></select>", "<canvas>x</canvas>", "<audio>x</audio>", "<video>x</video>", "<object>x</object>", "<svg/>", "<button><div>x</div></button>"])
+def test_inline_elements_do_not_cut_a_block(inline):
+    assert read(f"<article><p>A {inline} B {PASSAGE}</p><p>C</p></article>") == f"A B {PASSAGE}\nC"
+
+
+def test_an_open_inline_element_ends_with_its_block():
+    assert read(f"<article><p>{PASSAGE} A <button>x</p><p>B {PASSAGE}</p></article>") == f"{PASSAGE} A\nB {PASSAGE}"
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-work", "search", "login", "notice", "share-prices", "hidden-costs"])
+def test_class_words_alone_delete_nothing(name):
+    text = read(f'<article><p>First {PASSAGE}</p><div class="{name}"><p>Second {PASSAGE}</p></div><p>Third {PASSAGE}</p></article>')
+    assert text.split("\n") == [f"{x} {PASSAGE}" for x in ("First", "Second", "Third")]
+
+
+def test_class_words_with_a_second_sign():
+    body = f'<p>First {PASSAGE}</p><div class="advert">Buy these fine things today.</div><div class="related"><p><a href="x">{PASSAGE}</a></p></div><p>Last {PASSAGE}</p><div class="comments"><p>Reader {PASSAGE}</p></div>'
+    assert read(f"<article>{body}</article>") == f"First {PASSAGE}\nLast {PASSAGE}"
+
+
+def test_sibling_articles_stay():
+    assert read(f"<article><p>A {PASSAGE}</p></article><article><p>B {PASSAGE}</p></article>") == f"A {PASSAGE}\nB {PASSAGE}"
