@@ -1,11 +1,14 @@
 """PII: format-preserving Feistel pseudonyms.
 
-Validated values (payment cards by Luhn, IBANs by mod 97, US social security and phone numbers, IPv4 addresses,
-calendar dates, mail addresses) are ranked inside the set of values of their kind, and the rank goes through a keyed
-Feistel permutation of that set with cycle walking. The result has the same format and passes the same validation;
-equal values get equal pseudonyms in every document, and a holder of the key can invert each value. Phone numbers of
-the North American plan become such numbers; other numbers written like one become numbers outside the plan. Numbers
-that fail validation stay as they are. Where the longest match of a card or an IBAN fails, because a number or capitals stand
+Validated values (payment cards by Luhn, IBANs by mod 97, US social security and phone numbers, numbers with a country's
+code, IP addresses of both versions, calendar dates in digits or with month names of four languages, mail addresses) are
+ranked inside the set of values of their kind, and the rank goes through a keyed Feistel permutation of that set with
+cycle walking. The result has the same format and passes the same validation; equal values get equal pseudonyms in every
+document, however they are written, and a holder of the key can invert each value. Days up to the 12th and later days are
+two sets, so that a pseudonym can be read in only the way that its value was: month first where there is no such day
+first, day first else. Phone numbers of the North American plan become such numbers; other numbers written like one
+become numbers outside the plan; a country's code stays. Numbers that fail validation stay as they are. A date without
+leading zeros whose pseudonym shows none is inverted with leading zeros, an IPv6 address to its short form. Where the longest match of a card or an IBAN fails, because a number or capitals stand
 beside it, its parts are tried: shorter ends and later starts at the groups' edges, a card by its issuer's lengths, an
 IBAN by its country's length.
 
@@ -16,17 +19,28 @@ are; an empty table stays empty. Texts are read whole. The key is the caller's:
 from __future__ import annotations
 
 import re
-from datetime import date, timedelta
+from calendar import monthrange
+from datetime import date
 from hashlib import blake2b
+from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+
+def days_of(year: int, month: int) -> list[date]:
+    return [date(year, month, d + 1) for d in range(monthrange(year, month)[1])]
+
+
 ROUNDS = 8
 KINDS = ("date", "card", "iban", "ssn", "phone", "ip", "mail")
-FIRST_DAY, N_DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+COUNTED_AS = {"ymd": "date", "dmy": "date", "abroad": "phone", "ip6": "ip"}
+YEARS = range(1900, 2100)
+#: The days that can be taken for a month, and the others, in order.
+DAYS = {early: [d for y in YEARS for m in range(1, 13) for d in days_of(y, m) if (d.day <= 12) == early] for early in (True, False)}
+PLACES = {early: {d: i for i, d in enumerate(found)} for early, found in DAYS.items()}
 #: ASCII letters and any digits bound a value; letters of other scripts need no space beside it.
 BEFORE, AFTER = r"(?<![A-Za-z_.@+-])(?<!\d)", r"(?![A-Za-z_@]|\d|[.-]\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?![A-Za-z_@]|\d|\.\d)"
@@ -34,10 +48,11 @@ NUMBER = re.compile(
     BEFORE + r"(?:"
     r"(?P<ymd>\d{4}([-/.])\d{2}\2\d{2}(?:(?=T\d\d)|" + AFTER + r"))"
     r"|(?:"
-    r"(?P<dmy>\d{2}([-/.])\d{2}\4\d{4})"
+    r"(?P<dmy>\d{1,2}([-/.])\d{1,2}\4\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<phone>(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10})"
+    r"|(?P<abroad>\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,})){1,6})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30})"
     r")" + AFTER + r"|(?P<card>" + CARD + r"))"
 )
@@ -52,6 +67,24 @@ IBAN_LENGTHS = {
     }.items()
 }
 IBAN_LENGTH = {code: n for n, codes in IBAN_LENGTHS.items() for code in codes}
+#: Month names by language, and the English short ones. Fixed values.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+}
+MONTH = {language: {name.lower(): i + 1 for i, name in enumerate(names)} for language, names in MONTHS.items()}
+NAMES = "|".join(sorted({name for names in MONTHS.values() for name in names}, key=len, reverse=True))
+WRITTEN = re.compile(
+    rf"(?<![^\W_])(?:(?P<m1>{NAMES})(?P<s1>\.?\x20)(?P<d1>\d{{1,2}})(?P<o1>st|nd|rd|th)?(?P<t1>,?\x20)"
+    rf"|(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th|er)?(?P<s2>\.?\x20(?:de\x20|of\x20)?)(?P<m2>{NAMES})(?P<t2>[.,]?\x20(?:de\x20)?))(?P<y>\d{{4}})(?![^\W_])",
+    re.I,
+)
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.\d)")
+#: Country calling codes of two digits (1 and 7 have one digit, all others three). Fixed values.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 MAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9_-])")
 
 
@@ -115,7 +148,36 @@ def a_date(text: str, at: tuple[int, int, int]) -> date | None:
         day = date(*(int(parts[i]) for i in at))
     except ValueError:
         return None
-    return day if 0 <= (day - FIRST_DAY).days < N_DAYS else None
+    return day if day.year in YEARS else None
+
+
+def other_day(day: date, key: bytes, back: bool = False) -> date:
+    """The pseudonym of a day, the same in all formats: one of the days up to the 12th for such a day, a later one for a later."""
+    early = day.day <= 12
+    return DAYS[early][permute(PLACES[early][day], len(DAYS[early]), key, f"date{early}", back)]
+
+
+def written_date(m: re.Match, key: bytes, back: bool = False) -> str | None:
+    """The pseudonym of a date with a month's name, in its language and order."""
+    k = "1" if m["m1"] else "2"
+    name, digits, ordinal = m[f"m{k}"], m[f"d{k}"], m[f"o{k}"] or ""
+    languages = ["de"] * (k == "2" and m["s2"].startswith(".")) + ["en", "de", "fr", "es", "short"]
+    language = next(x for x in languages if name.lower() in MONTH[x])
+    try:
+        day = date(int(m["y"]), MONTH[language][name.lower()], int(digits))
+    except ValueError:
+        return None
+    if day.year not in YEARS:
+        return None
+    new = other_day(day, key, back)
+    named = MONTHS[language][new.month - 1]
+    named = named.lower() if name.islower() else named.upper() if name.isupper() else named[0].upper() + named[1:]
+    if ordinal.lower() in ("st", "nd", "rd", "th"):
+        ordinal = "th" if new.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    elif ordinal:
+        ordinal = "er" if new.day == 1 else ""
+    number = f"{new.day:02d}" if digits.startswith("0") else f"{new.day}"
+    return f"{named}{m['s1']}{number}{ordinal}{m['t1']}{new.year:04d}" if k == "1" else f"{number}{ordinal}{m['s2']}{named}{m['t2']}{new.year:04d}"
 
 
 def dialled(digits: str) -> bool:
@@ -127,17 +189,14 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     """The value's pseudonym, or None when it fails the kind's validation."""
     digits = "".join(c for c in value if c.isdigit())
     if kind in ("ymd", "dmy"):
-        # day first where that is a date; month first is left for days over 12, and such days stay over 12
+        # day first where that is a date; month first is left for days over 12, whose pseudonyms are over 12 too
         for at in ((0, 1, 2),) if kind == "ymd" else ((2, 1, 0), (2, 0, 1)):
             if day := a_date(value, at):
-                new = day
-                while new == day or (at == (2, 0, 1) and new.day <= 12):
-                    step = permute((new - FIRST_DAY).days, N_DAYS, key, "date", back)
-                    new = FIRST_DAY + timedelta(step)
-                    if new == day:
-                        break
-                fields, sep = {at[0]: f"{new.year:04d}", at[1]: f"{new.month:02d}", at[2]: f"{new.day:02d}"}, next(c for c in value if not c.isdigit())
-                return sep.join(fields[i] for i in range(3))
+                new = other_day(day, key, back)
+                own = re.split(r"[-/.]", value)
+                wide = 2 if all(len(f) > 1 for f in own) else 1
+                fields = {at[0]: f"{new.year:04d}", at[1]: f"{new.month:0{wide}d}", at[2]: f"{new.day:0{wide}d}"}
+                return next(c for c in value if not c.isdigit()).join(fields[i] for i in range(3))
         return None
     if kind == "card":
         if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
@@ -159,6 +218,24 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
             new = f"{permute(int(new), 10**10, key, 'phone', back):010d}"
             if dialled(new) == dialled(own):
                 return refill(value, digits[:-10] + new)
+    if kind == "abroad":
+        code = digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+        own = new = digits[len(code) :]
+        if not 8 <= len(digits) <= 15 or len(own) < 6:
+            return None
+        while True:
+            new = f"{permute(int(new), 10 ** len(own), key, f'phone{code}', back):0{len(own)}d}"
+            if (new[0] == "0") == (own[0] == "0"):
+                return refill(value, code + new)
+    if kind == "ip6":
+        try:
+            address = IPv6Address(value)
+        except AddressValueError:
+            return None
+        if int(address) < 2:  # the unspecified and the loopback address
+            return None
+        new = str(IPv6Address(permute(int(address), 1 << 128, key, "ip6", back)))
+        return new.upper() if value.upper() == value != value.lower() else new
     if kind == "ip":
         octets = [int(p) for p in value.split(".")]
         if max(octets) > 255 or any(p != str(int(p)) for p in value.split(".")):
@@ -218,13 +295,23 @@ def replace_all(text: str, key: bytes, back: bool = False) -> tuple[str, dict[st
         new = pseudonym(kind, value, key, back)
         if new is None:
             return None
-        name = "date" if kind in ("ymd", "dmy") else kind
+        name = COUNTED_AS.get(kind, kind)
         counts[name] = counts.get(name, 0) + 1
         return new
 
+    def swap_written(m: re.Match) -> str:
+        new = written_date(m, key, back)
+        if new is None:
+            return m[0]
+        counts["date"] = counts.get("date", 0) + 1
+        return new
+
     if "@" in text:
         text = MAIL.sub(lambda m: swap("mail", m[0]) or m[0], text)
+    if text.count(":") > 1:
+        text = IPV6.sub(lambda m: swap("ip6", m[0]) or m[0], text)
     if any(c in text for c in "0123456789"):
+        text = WRITTEN.sub(swap_written, text)
         out, done, pos, inner = [], 0, 0, False
         while True:
             m = INNER_CARD.match(text, pos) if inner else None
