@@ -3,8 +3,9 @@
 1. Coarse centroids, a rotation of the residuals that spreads their variance evenly over the parts, and a codebook for
    each part are fitted on a bounded sample (`sample_rows` rows by the hash of the id). There are as many lists as the
    root of the rows; beyond `centroids` of them a second codebook cuts every centroid's list, so the sample stays bounded.
-2. How many lists a query visits and how many candidates are measured exactly is not guessed: held-out queries of the
-   sample tell how far down their true neighbours stand, and the counts are those that reach `recall` of them. Vectors
+2. How many lists a query visits and how many candidates are measured exactly is not guessed: HELD queries of the
+   sample are compared with all rows, once exactly and once by codes, in two linear passes that send HELD * k rows a
+   task. They tell how far down the true neighbours stand, and the counts are those that reach `recall` of them. Vectors
    with clusters need few lists; vectors without any (uniform on a sphere) need half of them, as for any index.
 3. Every valid row is coded. A query meets the codes of its lists, in blocks of at most about `block_rows` rows and with
    `block_queries` queries; whole blocks are ranked at once by asymmetric distance tables. A distance that the sample
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import checkpoint
 
+#: Queries that the counts of lists and candidates are measured with.
+HELD = 256
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -114,22 +117,69 @@ class Quantiser:
         return total
 
 
-def calibrate(quantiser: Quantiser, sample: np.ndarray, k: int, recall: float, held: int = 256) -> tuple[int, int]:
-    """Lists to visit and candidates to rerank so that `recall` of the true neighbours of the sample's first rows are met by both."""
-    if len(sample) <= k + 1:
-        return quantiser.n_lists, len(sample)
-    own = quantiser.list_of(sample)
-    approximate = quantiser.decoded(own, quantiser.codes_of(sample, own))
-    list_ranks, code_ranks = [], []
-    for i, x in enumerate(sample[:held]):
-        exact = squared(x[None], sample)[0]
-        exact[i] = np.inf
-        true = np.argpartition(exact, k)[:k]
-        to_lists = squared(x[None], quantiser.centres(np.arange(quantiser.n_lists)))[0]
-        list_ranks += [int((to_lists < to_lists[j]).sum()) + 1 for j in own[true]]
-        rough = squared(x[None], approximate)[0]
-        rough[i] = np.inf
-        code_ranks += [int((rough < rough[j]).sum()) + 1 for j in true]
+def neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, np.ndarray]]:
+    """(query's place, vec_id, vector) of the k nearest rows of each query, its own id apart, measured exactly against all rows."""
+    dim = queries.shape[1]
+
+    def run(batches):
+        best: list[list[tuple[float, int, bytes]]] = [[] for _ in queries]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
+                x, own = matrix(part.column("vector"), dim), part.column("vec_id").to_numpy(zero_copy_only=False)
+                far = squared(queries, x)
+                far[ids[:, None] == own[None, :]] = np.inf
+                near = np.argpartition(far, min(k, len(x)) - 1, axis=1)[:, :k]
+                for q, places in enumerate(near):
+                    limit = best[q][-1][0] if len(best[q]) >= k else np.inf
+                    new = [(float(far[q, i]), int(own[i]), x[i].tobytes()) for i in places if far[q, i] < limit]
+                    if new:
+                        best[q] = sorted(best[q] + new)[:k]
+        found = [(q, *b) for q, own in enumerate(best) for b in own]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.binary()))], names=["q", "far", "vec_id", "vector"])
+
+    order = Window.partitionBy("q").orderBy("far", "vec_id")
+    top = rows.mapInArrow(run, "q int, far double, vec_id long, vector binary").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return [(r["q"], r["vec_id"], np.frombuffer(r["vector"])) for r in top.filter("far < double('inf')").select("q", "vec_id", "vector").collect()]
+
+
+def codes_before(indexed: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.ndarray, limits: list[np.ndarray]) -> list[np.ndarray]:
+    """For each limit of each query how many of all rows have codes nearer than it."""
+
+    def run(batches):
+        counts = [np.zeros(len(x), np.int64) for x in limits]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                part = batch.slice(at, 2_048)
+                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                own = part.column("vec_id").to_numpy(zero_copy_only=False)
+                far = squared(queries, quantiser.decoded(part.column("list").to_numpy(zero_copy_only=False).astype(np.int64), codes))
+                far[ids[:, None] == own[None, :]] = np.inf
+                for q, x in enumerate(limits):
+                    counts[q] += np.searchsorted(np.sort(far[q]), x)
+        cells = [(q, i, int(n)) for q, own in enumerate(counts) for i, n in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], names=["q", "i", "n"])
+
+    summed = indexed.select("vec_id", "list", "code").mapInArrow(run, "q int, i int, n long").groupBy("q", "i").agg(F.sum("n").alias("n"))
+    out = [np.zeros(len(x), np.int64) for x in limits]
+    for r in summed.collect():
+        out[r["q"]][r["i"]] = r["n"]
+    return out
+
+
+def calibrate(quantiser: Quantiser, rows: DataFrame, indexed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, recall: float) -> tuple[int, int]:
+    """Lists to visit and candidates to rerank so that `recall` of the true neighbours of these queries are met by both, among all rows."""
+    true = neighbours(rows, ids, queries, k)
+    if not true:
+        return quantiser.n_lists, k
+    vectors = np.stack([v for _, _, v in true])
+    of = np.array([q for q, _, _ in true])
+    own = quantiser.list_of(vectors)
+    approximate = quantiser.decoded(own, quantiser.codes_of(vectors, own))
+    to_lists = squared(queries, quantiser.centres(np.arange(quantiser.n_lists)))
+    list_ranks = (to_lists[of] < to_lists[of, own][:, None]).sum(axis=1) + 1
+    limits = [np.array([squared(queries[q : q + 1], approximate[i : i + 1])[0, 0] for i in np.flatnonzero(of == q)]) for q in range(len(queries))]
+    code_ranks = np.concatenate(codes_before(indexed, quantiser, ids, queries, limits)) + 1
     share = 1 - (1 - recall) / 2
     return int(np.quantile(list_ranks, share, method="higher")), int(np.quantile(code_ranks, 1 - (1 - share) / 4, method="higher"))
 
@@ -153,21 +203,14 @@ def nearest(
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vector_col)
     n_rows = rows.count()
-    sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("vector", "vec_id").collect()]
+    sample = [(r["vec_id"], r["vector"]) for r in rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("vector", "vec_id").collect()]
     if not sample:
         return spark.createDataFrame([], RESULT)
-    dim = Counter(map(len, sample)).most_common(1)[0][0]
+    dim = Counter(len(v) for _, v in sample).most_common(1)[0][0]
     rows = rows.filter(F.size("vector") == dim)
-    fitted = np.array([v for v in sample if len(v) == dim], dtype=np.float64)
+    ids = np.array([i for i, v in sample if len(v) == dim], dtype=np.int64)
+    fitted = np.array([v for _, v in sample if len(v) == dim], dtype=np.float64)
     quantiser = Quantiser(fitted, lists or max(1, round(sqrt(n_rows))), parts, centroids)
-    measured = calibrate(quantiser, fitted, k, recall)
-    visits = min(visits or measured[0], quantiser.n_lists)
-    rerank = max(rerank or measured[1], k)
-    # of the sample, so many rows stand for three times the rows to rerank
-    expected = min(ceil(3 * rerank * len(fitted) / n_rows) + 1, len(fitted))
-    own = quantiser.list_of(fitted)
-    near_sample = quantiser.decoded(own, quantiser.codes_of(fitted, own)).astype(np.float32)
-    slack = 1e-5 * float((near_sample * near_sample).sum(1).mean())
     limit = block_rows if n_rows < 8_192 * block_rows else min(ceil(n_rows / 8_192), 65_536)
 
     def index(batches):
@@ -212,6 +255,14 @@ def nearest(
         return pd.DataFrame(dict(zip(["query_id", "vec_id", "rough"], columns, strict=True)))
 
     indexed = checkpoint(rows.mapInArrow(index, "vec_id long, list int, code binary"))
+    measured = (visits, rerank) if visits and rerank else calibrate(quantiser, rows, indexed, ids[:HELD], fitted[:HELD], k, recall)
+    visits = min(visits or measured[0], quantiser.n_lists)
+    rerank = max(rerank or measured[1], k)
+    # of the sample, so many rows stand for three times the rows to rerank
+    expected = min(ceil(3 * rerank * len(fitted) / n_rows) + 1, len(fitted))
+    own = quantiser.list_of(fitted)
+    near_sample = quantiser.decoded(own, quantiser.codes_of(fitted, own)).astype(np.float32)
+    slack = 1e-5 * float((near_sample * near_sample).sum(1).mean())
     asked = rows.filter(query_filter).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n_asked = asked.count()
     # one row for each list: their number grows with the root of the rows
