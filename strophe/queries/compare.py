@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.functions import diff, text as tx
+from strophe.functions import diff, semantic, text as tx
 from strophe.operators import align, joins
 from strophe.queries.views import scripts, table
 from strophe.registry import query
@@ -24,6 +24,12 @@ def char_diff(spark, d):
     return p.select("pair_id", *[c.alias(n) for n, c in diff.totals(F.col("diffs")).items()], diff.is_match(F.col("diffs")).alias("is_match"))
 
 
+@query()
+def semantic_diff(spark, d):
+    p = pairs(spark, d).select("pair_id", semantic.semantic_diff("base_text", "comp_text").alias("diffs"))
+    return p.select("pair_id", *[c.alias(n) for n, c in diff.totals(F.col("diffs")).items()], F.size("diffs").alias("n_pieces"), diff.html(F.col("diffs")).alias("html"))
+
+
 @query()
 def compare_report(spark, d):
     p = pairs(spark, d)
