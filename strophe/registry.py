@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("tokens", "lines", "order", "scores", "catalog", "compare", "verses", "files", "reports", "upkeep", "speech")
+MODULES = ("tokens", "lines", "order", "scores", "catalog", "compare", "verses", "files", "reports", "upkeep", "speech", "stores")
 
 
 def query(sql: str | None = None):

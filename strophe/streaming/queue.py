@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import nullcontext
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strophe.plans.request import Request, RequestError, decode
+from strophe.streaming.alarm import alarmed, minutes_of
 
 
-def serve(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, work: Callable[[Request], object], every: str = "10 seconds", once: bool = False) -> StreamingQuery:
+def serve(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, work: Callable[[Request], object], every: str = "10 seconds", once: bool = False, late: Callable[[Request, float], object] | None = None, allowed: Callable[[Request], float] = minutes_of) -> StreamingQuery:
     """Run request files (JSON) one at a time, oldest first; a row (request, status, message) for each goes to the outbox.
 
+    late(request, minutes) is called while a request still runs after the minutes that it is allowed.
+
     The status file is named by the request's hash, so a batch that is repeated after a failure writes the same rows.
     """
     files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 1).load(inbox)
@@ -25,7 +30,9 @@ def serve(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, work: C
         for row in batch.limit(1).collect():  # one request file in each batch
             status, message = "success", ""
             try:
-                work(decode(json.loads(row["value"])))
+                request = decode(json.loads(row["value"]))
+                with alarmed(allowed(request), partial(late, request)) if late else nullcontext():
+                    work(request)
             except (RequestError, ValueError, KeyError) as e:
                 status, message = "failed", str(e)
             key = spark.sql("SELECT sha2(:v, 256)", args={"v": row["value"]}).first()[0]
