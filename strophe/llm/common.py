@@ -39,6 +39,8 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, offsets
+        pa.default_memory_pool().release_unused()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

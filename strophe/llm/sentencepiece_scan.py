@@ -36,7 +36,7 @@ MARK = "▁"
 NEG = -np.inf
 #: What an unknown character scores below the least normal piece; fixed in the library.
 UNKNOWN_PENALTY = 10.0
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Chunks whose matrices are multiplied together before the scan.
 RUN = 64
 ASCII_RUN = r"(?:[A-Za-z]+|[\x00-\x09\x0b-@\[-`{-\x7f]+)"
