@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strophe.functions import text as tx
+from strophe.functions import rewrite, text as tx
 from strophe.operators import ordered
 from strophe.queries.views import TIMELINE, table, timeline
 from strophe.registry import query
@@ -22,6 +22,13 @@ def verse_split(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.inline(tx.verses(marked)))
 
 
+@query()
+def rewritten_text(spark, d):
+    """Documents by the rules of four languages in turn; no SQL (NFKC), tests apply rule by rule."""
+    code = F.element_at(F.array(*map(F.lit, ("eng", "ara", "heb", "mon"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", code.alias("language"), rewrite.normalize_text("text", code).alias("normal"))
+
+
 @query(r"""WITH a AS (SELECT doc_id, regexp_replace(lower(text), '\([^()]*[0-9][^()]*\)', ' ', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '[^\p{L}\p{N}\p{M}'' ]+', ' ', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(' ' || regexp_replace(t, ' +', '  ', 'g') || ' ', ' [0-9]+ ', ' ', 'g') AS t FROM b) SELECT doc_id, md5(trim(regexp_replace(t, ' +', ' ', 'g'))) AS norm_md5 FROM c""")
 def alignment_text(spark, d):
