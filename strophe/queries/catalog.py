@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.operators import joins, language
+from strophe.operators import joins, language, tree as forest
 from strophe.queries.views import SCRIPTS, WORDS, scripts, table, words
 from strophe.registry import query
 
@@ -180,6 +180,14 @@ def tree_descendants(spark, d):
     return language.ancestors(tree(spark, d)).groupBy("ancestor", F.col("up").alias("depth")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH RECURSIVE tree AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 7 THEN c_custkey // 7 END AS parent_id FROM customer),
+w AS (SELECT id, [id] AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, list_append(w.path, t.id) FROM w JOIN tree t ON t.parent_id = w.id),
+r AS (SELECT id, path, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS pre FROM w), s AS (SELECT a AS id, count(*) AS size, count(*) FILTER (id % 10 = 3) AS supported FROM (SELECT id, unnest(path) AS a FROM w) GROUP BY a)
+SELECT r.id, 2 * pre - depth AS enter, 2 * pre - depth + 2 * size - 1 AS "exit", depth, supported FROM r JOIN s ON s.id = r.id""")
+def tree_index(spark, d):
+    return forest.index(tree(spark, d), {"supported": F.col("id") % 10 == 3})
+
+
 @query(f"""WITH RECURSIVE {TREE}, m AS (SELECT a.id, a.up, b.up AS down, b.id AS found FROM up a JOIN up b ON a.ancestor = b.ancestor WHERE b.id % 10 = 3)
 SELECT id, found, distance FROM (SELECT id, found, up + down AS distance, row_number() OVER (PARTITION BY id ORDER BY up + down, up, found) AS i FROM m) WHERE i = 1""")
 def tree_nearest(spark, d):
