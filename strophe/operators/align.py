@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +34,24 @@ def assign_text(source: list[tuple[int, str]], heard: str) -> list[tuple[int, st
 
 
 def align_asr(lines: DataFrame, heard: DataFrame, chapter: str, line: str, text: str) -> DataFrame:
-    """line, asr_text: each chapter's recognised text (heard: chapter, heard) dealt to its lines."""
+    """line, asr_text: each chapter's recognised text (heard: chapter, heard) dealt to its lines. A chapter is one row, as the script of its differences is one."""
+    kind = lines.schema[line].dataType.simpleString()
 
-    @F.udf("array<struct<id: long, text: string>>")
-    def deal(source, spoken):
-        return [{"id": i, "text": t} for i, t in assign_text([(s[line], s[text]) for s in source], spoken or "")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, spoken in zip(batch.column("source").to_pylist(), batch.column("heard").to_pylist(), strict=True):
+                dealt = assign_text([(s["id"], s["text"] or "") for s in source], spoken or "")
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in dealt], batch.schema.field("source").type.value_type.field("id").type), pa.array([t for _, t in dealt], pa.string())], names=[line, "asr_text"])
 
-    chapters = lines.groupBy(chapter).agg(F.sort_array(F.collect_list(F.struct(line, text))).alias("source"))
-    dealt = chapters.join(heard, chapter, "left").select(F.explode(deal("source", "heard")).alias("d"))
-    return dealt.select(F.col("d.id").alias(line), F.col("d.text").alias("asr_text"))
+    chapters = lines.groupBy(chapter).agg(F.sort_array(F.collect_list(F.struct(F.col(line).alias("id"), F.col(text).alias("text")))).alias("source"))
+    return chapters.join(heard, chapter, "left").select("source", "heard").mapInArrow(run, f"{line} {kind}, asr_text string")
 
 
-def splice(chars: pd.DataFrame, heard: str, gap: str = "gap") -> list[tuple[str, float, float, float, bool]]:
+def splice(rows: list[dict], heard: str) -> list[tuple[str, float, float, float, bool]]:
     """(char, begin, end, score, is_asr): recognised characters are put in after a character with a flagged gap, and last the gap."""
-    text = "".join(chars["ch"])
-    rows = chars.to_dict("records")
     out: list[tuple[str, float, float, float, bool]] = []
     at = 0
-    for op, piece in edit_script(text, heard):
+    for op, piece in edit_script("".join(r["ch"] for r in rows), heard):
         for c in piece:
             if op <= 0:
                 r = rows[at]
@@ -57,23 +59,37 @@ def splice(chars: pd.DataFrame, heard: str, gap: str = "gap") -> list[tuple[str,
                 at += 1
             elif at and rows[at - 1]["flag"]:
                 r = rows[at - 1]
-                out.append((c, r["end_ts"], r["end_ts"] + r[gap], 1.0, True))
+                out.append((c, r["end_ts"], r["end_ts"] + r["gap"], 1.0, True))
     return out
 
 
 def splice_asr(chars: DataFrame, line: str) -> DataFrame:
-    """chars: line, seq, ch, begin_ts, end_ts, score, gap, flag, asr_text."""
+    """chars: line, seq, ch, begin_ts, end_ts, score, gap, flag, asr_text. A line's characters are one row of a batch."""
     kind = chars.schema[line].dataType.simpleString()
+    types = {"seq": pa.int64(), "ch": pa.string(), "begin_ts": pa.float64(), "end_ts": pa.float64(), "score": pa.float64(), "is_asr": pa.bool_()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        got = splice(pdf, pdf["asr_text"].iat[0] or "")
-        out = pd.DataFrame(got, columns=["ch", "begin_ts", "end_ts", "score", "is_asr"])
-        out.insert(0, line, pdf[line].iat[0])
-        out.insert(1, "seq", range(len(out)))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [splice(rows, heard or "") for rows, heard in zip(batch.column("chars").to_pylist(), batch.column("heard").to_pylist(), strict=True)]
+            flat = [(i, *row) for own in found for i, row in enumerate(own)]
+            again = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("line").take(again), *(pa.array([row[i] for row in flat], t) for i, t in enumerate(types.values()))], names=[line, *types])
 
-    return chars.groupBy(line).applyInPandas(run, f"{line} {kind}, seq long, ch string, begin_ts double, end_ts double, score double, is_asr boolean")
+    fields = [F.col(c) for c in ("seq", "ch")] + [F.col(c).cast("double").alias(c) for c in ("begin_ts", "end_ts", "score", "gap")] + [F.col("flag")]
+    lines = chars.groupBy(F.col(line).alias("line")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chars"), F.min_by("asr_text", "seq").alias("heard"))
+    return lines.mapInArrow(run, f"{line} {kind}, seq long, ch string, begin_ts double, end_ts double, score double, is_asr boolean")
+
+
+def guided_paths(df: DataFrame, key: str, frames: str, expected: list[int], width: int = 8, bonus: float = 1.0) -> DataFrame:
+    """key, path: guided_beam of every row's frames (arrays of log probabilities); null frames have an empty path."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [guided_beam(f or [], expected, width, bonus) for f in batch.column("frames").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=[key, "path"])
+
+    return df.select(F.col(key).alias("key"), F.col(frames).cast("array<array<double>>").alias("frames")).mapInArrow(run, f"{key} {kind}, path array<int>")
 
 
 def guided_beam(emissions: list[list[float]], expected: list[int], width: int = 8, bonus: float = 1.0) -> list[int]:

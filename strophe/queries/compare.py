@@ -64,10 +64,6 @@ def asr_splice(spark, d):
 
 @query()
 def beam(spark, d):
-    @F.udf("array<int>")
-    def decode(frames):
-        top = [max(f) for f in frames]
-        return align.guided_beam([[x - t - 1 for x in f] for f, t in zip(frames, top, strict=True)], [1, 2, 3])
-
-    frames = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("frames"))
-    return frames.select("vec_id", decode("frames").alias("path"))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    below_top = F.transform(frames, lambda f: F.transform(f, lambda x: x.cast("double") - F.array_max(f).cast("double") - 1))
+    return align.guided_paths(table(spark, d, "embeddings").select("vec_id", below_top.alias("frames")), "vec_id", "frames", [1, 2, 3])

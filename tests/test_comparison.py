@@ -1,5 +1,8 @@
 """Differences, the frequency filter, suffixes, changes and reports against plain Python."""
 
+import itertools
+import math
+import random
 import re
 from collections import Counter
 from html import escape
@@ -7,8 +10,10 @@ from html import escape
 import pytest
 
 from strophe import registry
-from strophe.operators import joins, ordered
+from strophe.functions.diff import edit_script
+from strophe.operators import align, joins, ordered
 from strophe.queries import compare
+from strophe.queries.views import scripts
 
 DIR = "/root/testdata/sf0.001"
 
@@ -103,3 +108,101 @@ def test_repeated_keys_in_changes(spark):
     twice = target.unionByName(target.filter("k = 1"))
     with pytest.raises(ValueError, match="exactly one"):
         joins.keyed_update(twice, spark.createDataFrame([(1, "x"), (9, "z")], "k long, v string"), ["k"], ["v"], expect_all=True)
+
+
+def script_steps(a, b):
+    """(op, char, place in a) of every step of the edit script."""
+    at = 0
+    for op, text in edit_script(a, b):
+        for c in text:
+            yield op, c, at
+            at += op <= 0
+
+
+def test_asr_align(spark):
+    """Every heard character falls to the line that holds the place it stands at, looked up by scanning the lines."""
+    lines = {}
+    for r in scripts(spark, DIR).select("chapter_num", "script_id", "script_text").collect():
+        lines.setdefault(r["chapter_num"], []).append((r["script_id"], r["script_text"] or ""))
+    got = {r["script_id"]: r["asr_text"] for r in registry.QUERIES["asr_align"](spark, DIR).collect()}
+    want = {}
+    for own in lines.values():
+        own.sort()
+        heard = " ".join(re.sub(r"^\S+\s?", "", t) for _, t in own)
+        owner = [i for i, t in own for _ in t + " "]
+        found = {i: "" for i, _ in own}
+        for op, c, at in script_steps("".join(t + " " for _, t in own), heard):
+            if op >= 0:
+                found[owner[min(at, len(owner) - 1)]] += c
+        want |= {i: t.strip() for i, t in found.items()}
+    assert got == want and len(got) > 50
+
+
+def test_asr_splice(spark):
+    texts = {r["script_id"]: r["script_text"] for r in scripts(spark, DIR).select("script_id", "script_text").collect()}
+    got = {}
+    for r in registry.QUERIES["asr_splice"](spark, DIR).collect():
+        got.setdefault(r["script_id"], []).append(tuple(r)[1:])
+    for i, text in texts.items():
+        heard = re.sub("[aeiou]", lambda m: m[0] * 2, text)
+        want = []
+        for op, c, at in script_steps(text, heard):
+            if op <= 0:
+                want.append((c, at * 0.1, at * 0.1 + 0.08, 0.5, False))
+            elif at and (at - 1) % 3 == 0:
+                end = (at - 1) * 0.1 + 0.08
+                want.append((c, end, end + 0.02, 1.0, True))
+        own = sorted(got.get(i, []))
+        assert [r[1] for r in own] == [w[0] for w in want] and [r[5] for r in own] == [w[4] for w in want]
+        assert [x for r in own for x in r[2:5]] == pytest.approx([x for w in want for x in w[1:4]])
+
+
+def ctc_score(frames, labels, expected, bonus=1.0):
+    """The log of the summed probability of all paths that collapse to the labels, with the bonus of each expected one: the forward algorithm."""
+    states = [0, *[x for k in labels for x in (k, 0)]]
+    score = [-math.inf] * len(states)
+    gain = [bonus if i < len(expected) and expected[i] == k else 0.0 for i, k in enumerate(labels)]
+
+    def plus(*x):
+        top = max(x)
+        return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in x))
+
+    for t, f in enumerate(frames):
+        new = []
+        for s, k in enumerate(states):
+            came = [score[s]] if t else [0.0 if s == 0 else -math.inf]
+            up = gain[s // 2] if s % 2 else 0.0
+            if s >= 1:
+                came.append((score[s - 1] if t else (0.0 if s == 1 else -math.inf)) + up)
+            if t and s >= 2 and s % 2 and k != states[s - 2]:
+                came.append(score[s - 2] + up)
+            new.append(plus(*came) + f[k])
+        score = new
+    return plus(score[-1], score[-2]) if len(states) > 1 else score[-1]
+
+
+def test_guided_beam_over_all_labels():
+    """A beam wide enough finds the best of all label sequences, each scored by the forward algorithm."""
+    rng = random.Random(6)
+    for _ in range(60):
+        frames = [[math.log(rng.random()) for _ in range(3)] for _ in range(rng.randrange(1, 5))]
+        expected = [rng.randrange(1, 3) for _ in range(2)]
+        all_labels = [list(x) for n in range(len(frames) + 1) for x in itertools.product((1, 2), repeat=n)]
+        best = max(ctc_score(frames, x, expected) for x in all_labels)
+        got = align.guided_beam(frames, expected, width=10_000)
+        assert ctc_score(frames, got, expected) == pytest.approx(best)
+
+
+def test_beam_over_the_table(spark):
+    """No label sequence that differs from a row's path by one change scores higher by more than what a beam of 8 may lose, which is seldom anything."""
+    given = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    got = registry.QUERIES["beam"](spark, DIR).collect()
+    assert {r["vec_id"] for r in got} == set(given)
+    lost = 0
+    for r in got[:150]:
+        x = [[float(v) for v in given[r["vec_id"]][8 * t : 8 * t + 8]] for t in range(8)]
+        frames = [[v - max(f) - 1 for v in f] for f in x]
+        own = ctc_score(frames, r["path"], [1, 2, 3])
+        near = [r["path"][:i] + r["path"][i + 1 :] for i in range(len(r["path"]))] + [[*r["path"], k] for k in range(1, 8)]
+        lost += max(ctc_score(frames, n, [1, 2, 3]) for n in near) > own + 1e-9
+    assert lost <= 15

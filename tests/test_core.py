@@ -113,7 +113,7 @@ def test_splice_inserts_only_after_flagged_gaps():
     import pandas as pd
 
     chars = pd.DataFrame({"ch": list("abc"), "begin_ts": [0.0, 1, 2], "end_ts": [0.5, 1.5, 2.5], "score": [0.1] * 3, "gap": [0.5] * 3, "flag": [True, False, False]})
-    assert align.splice(chars, "axbyc") == [("a", 0.0, 0.5, 0.1, False), ("x", 0.5, 1.0, 1.0, True), ("b", 1.0, 1.5, 0.1, False), ("c", 2.0, 2.5, 0.1, False)]
+    assert align.splice(chars.to_dict("records"), "axbyc") == [("a", 0.0, 0.5, 0.1, False), ("x", 0.5, 1.0, 1.0, True), ("b", 1.0, 1.5, 0.1, False), ("c", 2.0, 2.5, 0.1, False)]
 
 
 def test_guided_beam():
