@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.lineage import checkpoint
 from strophe.operators import numbering
 
 
@@ -39,6 +40,7 @@ def one_each(changes: DataFrame, keys: Sequence[str], order: str | None) -> Data
     """Changes with one row for each key: the last in `order`; without an order, repeated keys raise."""
     if order is not None:
         return last_wins(changes, keys, order).select(*changes.columns)
+    changes = checkpoint(changes)  # read twice: for the check and for the join
     if not changes.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError("changes repeat a key; name the column that orders them")
     return changes

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strophe.functions import numbers as nx
 from strophe.operators import stats
 
+#: Shares, labels and number formats of the report. Fixed values.
 SHARES = (0.99, 0.991, 0.992, 0.993, 0.994, 0.995, 0.996, 0.997, 0.998, 0.999, 0.9991, 0.9992, 0.9993, 0.9994, 0.9995, 0.9996, 0.9997, 0.9998, 0.9999)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,27 @@ def write_json(df: DataFrame, path: str, **how) -> None:
     flatten(df, **how).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_lines(df: DataFrame, line: str, path: str, order: list[str]) -> None:
+    """One line of text for each row, in the order of the columns; part files follow one another. For lexicons, token lists and scripts."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.coalesce(F.col(line).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
+#: Fields of a status report, in order; the trace is written on demand. Fixed values.
+STATUS = ("status", "message", "error", "request")
+
+
+def write_status(spark: SparkSession, path: str, status: dict[str, object], form: str = "json", trace: bool = False) -> None:
+    """The status of a request that failed, as a CSV of Name and Value or as one JSON object; missing fields are ''."""
+    fields = [*STATUS, *(["trace"] if trace else [])]
+    values = {k: "" if status.get(k) is None else str(status[k]) for k in fields}
+    if form == "csv":
+        spark.createDataFrame(list(values.items()), "Name string, Value string").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    elif form == "json":
+        spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in fields)).coalesce(1).write.mode("overwrite").json(path)
+    else:
+        raise ValueError("form must be csv or json")
+
+
 def html_rows(report: DataFrame, columns: list[str]) -> DataFrame:
     """One <tr> for each row; html columns go in as they are."""
     cells = [F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +15,8 @@ from strophe.functions import text as tx
 
 #: Paragraph styles whose text belongs to verses; a trailing digit does not count. Fixed values.
 VERSE_STYLES = {"p", "m", "po", "pr", "cls", "pmo", "pm", "pmc", "pmr", "pi", "mi", "nb", "pc", "ph", "b", "q", "qr", "qc", "qs", "qa", "qac", "qm", "qd", "lh", "li", "lf", "lim", "s", "ms", "mr", "r", "d", "sp", "h", "mt", "mte", "toc"}
+#: Styles of the running heading and the main titles, which are no lines of text but feed read_usx_titles. Fixed values.
+TITLES = ("h", "mt", "mt1", "mt2", "mt3")
 SCHEMA = "book_id string, chapter_num int, verse_str string, usfm_style string, script_text string, seq long"
 #: Header synonyms of scripts. Fixed values.
 HEADERS = {
@@ -24,6 +26,11 @@ HEADERS = {
 BOOK_FIXES = {"JMS": "JAS", "TTS": "TIT"}
 
 
+def in_verses(style: str) -> bool:
+    """Whether a paragraph's text belongs to verses: one digit at the end of its style does not count, a style that is not known does not belong."""
+    return (style[:-1] if style[-1:].isdigit() else style) in VERSE_STYLES
+
+
 def usx_lines(data: bytes) -> list[tuple[str, int, str, str, str]]:
     """(book, chapter, verse, style, text) in document order; text is cut at verse and chapter marks, and braces become parentheses."""
     book, chapter, verse, out = "", 0, "0", []
@@ -52,7 +59,7 @@ def usx_lines(data: bytes) -> list[tuple[str, int, str, str, str]]:
             flush()
             if node.get("number"):
                 verse = node.get("number")
-        elif node.tag == "para" and (own.rstrip("0123456789") not in VERSE_STYLES) or node.tag in ("note", "figure", "sidebar"):
+        elif node.tag == "para" and (own in TITLES or not in_verses(own)) or node.tag in ("note", "figure", "sidebar"):
             return
         else:
             if node.tag == "para":
@@ -88,6 +95,65 @@ def read_usx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def usx_titles(data: bytes) -> tuple[str, str, str]:
+    """(book, heading, title): the last running heading (h), and all main titles (mt, mt1, ...) as one line."""
+    book, heading, titles = "", "", []
+    for node in ET.fromstring(data).iter():
+        style = node.get("style", "")
+        if node.tag == "book":
+            book = node.get("code", "")
+        elif node.tag == "para" and style == "h":
+            heading = " ".join("".join(node.itertext()).split())
+        elif node.tag == "para" and style in TITLES:
+            titles.append(" ".join("".join(node.itertext()).split()))
+    return book, heading, " ".join(titles)
+
+
+def usx_styles(data: bytes) -> list[str]:
+    return [node.get("style", "") for node in ET.fromstring(data).iter("para")]
+
+
+def of_usx_files(spark: SparkSession, path: str, f: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """f's rows of every USX file under the path, also inside zip archives."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = [r for part in unzip(name, data.as_py()) for r in f(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def read_usx_titles(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, heading, title of every USX file."""
+    return of_usx_files(spark, path, lambda data: [usx_titles(data)], "book_id string, heading string, title string")
+
+
+def read_usx_styles(spark: SparkSession, path: str) -> DataFrame:
+    """style, n, in_verses: how often each paragraph style occurs, and whether read_usx takes its text; the others are to be looked at."""
+    found = of_usx_files(spark, path, lambda data: [(s,) for s in usx_styles(data)], "style string").groupBy("style").agg(F.count("*").alias("n"))
+    bare = F.regexp_replace("style", "[0-9]$", "")
+    return found.select("style", "n", bare.isin(sorted(VERSE_STYLES)).alias("in_verses"))
+
+
+def add_usx_headings(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """Lines of read_usx with the book's title (para.mt) before the first one and "heading chapter" (para.h) before each chapter after the first, as verse 0; numbered again in each chapter.
+
+    lines: book_id, chapter_num, verse_str, usfm_style, script_text, seq; titles: read_usx_titles. A book without titles has empty ones.
+    """
+    first = lines.groupBy("book_id").agg(F.min_by("chapter_num", "seq").alias("chapter_num"))
+    text = titles.groupBy("book_id").agg(F.max("heading").alias("heading"), F.max("title").alias("title"))
+    top = first.join(text, "book_id", "left").select("book_id", "chapter_num", F.lit(0).alias("kind"), F.lit("0").alias("verse_str"), F.lit("para.mt").alias("usfm_style"), F.coalesce("title", F.lit("")).alias("script_text"), F.lit(-1).cast("long").alias("seq"))
+    chapters = lines.filter("chapter_num != 1").select("book_id", "chapter_num").distinct().join(text, "book_id", "left")
+    named = F.concat(F.coalesce("heading", F.lit("")), F.lit(" "), F.col("chapter_num").cast("string"))
+    heads = chapters.select("book_id", "chapter_num", F.lit(1).alias("kind"), F.lit("0").alias("verse_str"), F.lit("para.h").alias("usfm_style"), named.alias("script_text"), F.lit(-1).cast("long").alias("seq"))
+    own = lines.select("book_id", "chapter_num", F.lit(2).alias("kind"), "verse_str", "usfm_style", "script_text", F.col("seq").cast("long").alias("seq"))
+    number = F.row_number().over(Window.partitionBy("book_id", "chapter_num").orderBy("kind", "seq"))
+    return own.unionByName(top).unionByName(heads).select("book_id", "chapter_num", number.alias("script_num"), "verse_str", "usfm_style", "script_text")
+
+
 def unzip(name: str, data: bytes) -> list[bytes]:
     """The members of an archive in name order without hidden ones, or the file itself."""
     if not name.lower().endswith(".zip"):
@@ -104,7 +170,7 @@ def read_plain_json(spark: SparkSession, path: str, sequence: DataFrame) -> Data
     text = F.replace(F.replace("verse_text", F.lit("&lt"), F.lit("<")), F.lit("&gt"), F.lit(">"))
     end = F.coalesce("verse_end", F.lit(""))
     verse = F.when((end == "") | (end == F.col("verse_start")), F.col("verse_start")).otherwise(F.concat("verse_start", F.lit("-"), end))
-    rows = rows.join(F.broadcast(sequence), "book_id", "left").withColumn("n", tx.leading_int(F.col("verse_start")))
+    rows = rows.join(sequence, "book_id", "left").withColumn("n", tx.leading_int(F.col("verse_start")))
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("chapter", "n"))
     return rows.select("book_id", "book_seq", F.col("chapter").alias("chapter_num"), verse.alias("verse_str"), number.alias("script_num"), text.alias("script_text"))
 
