@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from itertools import groupby
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from strophe.lineage import checkpoint
 
+#: Words that a text is searched for in one pass.
+FEW = 200
 DIFF_TYPE = "array<struct<op: int, text: string>>"
 #: The same type for functions that workers import.
 DIFFS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -121,9 +124,11 @@ def patterns(pieces: DataFrame, key: str) -> DataFrame:
     return pieces.filter("op != 0").groupBy(key, "run").agg(F.concat(F.lit("-"), side(-1), F.lit("+"), side(1)).alias("pattern"))
 
 
-def frequency_filter(pairs: DataFrame, words: DataFrame, key: str, threshold: int, diffs: str = "diffs") -> DataFrame:
+def frequency_filter(pairs: DataFrame, words: DataFrame | Callable[[list[str] | None], DataFrame], key: str, threshold: int, diffs: str = "diffs") -> DataFrame:
     """key, diffs: runs whose pattern occurs more than `threshold` times and is no known word (words: word, in any number) are taken as no difference.
 
+    words may be a function of the words that are asked for (None: more than FEW), so that only texts with them need be cut into words.
+
     What they delete becomes equal text and what they insert goes; a pair without differences keeps its equal text.
     """
     # the differences come from Python and are read four times
@@ -135,7 +140,9 @@ def frequency_filter(pairs: DataFrame, words: DataFrame, key: str, threshold: in
     # the words that could excuse a common pattern; only these are looked for among all words
     one_sided = common.select("pattern", F.coalesce(F.nullif(F.regexp_extract("pattern", r"(?s)^-(.+)\+$", 1), F.lit("")), F.regexp_extract("pattern", r"(?s)^-\+(.+)$", 1)).alias("word")).filter("word != ''")
     wanted = one_sided.select("word").distinct()
-    met = words.select("word").join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "word", "left_semi").distinct()
+    n = wanted.count()
+    known = words if isinstance(words, DataFrame) else words(sorted(r["word"] for r in wanted.collect()) if n <= FEW else None)
+    met = known.select("word").join(F.broadcast(wanted) if n <= 100_000 else wanted, "word", "left_semi").distinct()
     common = common.join(one_sided.join(met, "word").select("pattern"), "pattern", "left_anti")
     usual = found.join(common, "pattern", "left_semi").select(key, "run", F.lit(True).alias("usual"))
     kept = pieces.join(usual, [key, "run"], "left").filter("not (op = 1 and usual is not null)")

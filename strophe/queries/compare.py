@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,13 @@ def compare_report(spark, d):
 
 @query()
 def gordon(spark, d):
-    tokens = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
-    known = tokens.filter(tx.token_type(F.col("word")) == "W").select(F.lower("word").alias("word"))
+    def known(wanted):
+        docs = table(spark, d, "documents").select("text")
+        if wanted is not None:
+            docs = docs.filter(reduce(lambda a, b: a | b, [F.lower("text").contains(w) for w in wanted], F.lit(False)))
+        tokens = docs.select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+        return tokens.filter(tx.token_type(F.col("word")) == "W").select(F.lower("word").alias("word"))
+
     kept = diff.frequency_filter(pairs(spark, d), known, "pair_id", 20)
     return kept.select("pair_id", *[c.alias(n) for n, c in diff.totals(F.col("diffs")).items()])
 
