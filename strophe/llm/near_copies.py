@@ -157,7 +157,7 @@ def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[Wri
     return pivots, met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 8) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 32) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `percent` similarity or more) of every row with an id."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
     own = Written(profiles(rows, shingle, seed), "profiles").df
