@@ -36,7 +36,7 @@ MARK = "▁"
 NEG = -np.inf
 #: What an unknown character scores below the least normal piece; fixed in the library.
 UNKNOWN_PENALTY = 10.0
-WORDS_KEPT = 150_000
+WORDS_KEPT = 260_000
 #: Chunks whose matrices are multiplied together before the scan.
 RUN = 64
 ASCII_RUN = r"(?:[A-Za-z]+|[\x00-\x09\x0b-@\[-`{-\x7f]+)"
@@ -102,6 +102,7 @@ class Vocabulary:
         #: scores of pieces, and of their beginnings that are no pieces: minus infinity
         self.scores = {p: NEG for p in self.prefixes} | {p: s for p, (_, s) in self.ids.items()}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def best(self, text: str) -> bytes:
         """The best path's ids, as little-endian int32, of a text that starts and ends on piece boundaries."""
@@ -141,10 +142,13 @@ class Vocabulary:
         for word in WORD.findall(marked):
             ids = known.get(word)
             if ids is None:
-                ids = self.best(word)
-                if len(known) >= WORDS_KEPT:
-                    known.clear()
+                ids = self.before.get(word)
+                if ids is None:
+                    ids = self.best(word)
                 if len(word) <= 64:
+                    if 2 * len(known) >= WORDS_KEPT:  # words still in use move on from the older half
+                        self.before = known
+                        known = self.known = {}
                     known[word] = ids
             parts.append(ids)
         return b"".join(parts)
