@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from itertools import groupby
+from itertools import accumulate, groupby
+from math import isqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from strophe.lineage import checkpoint
 
 #: Words that a text is searched for in one pass.
 FEW = 200
+#: Bits of an edit script's table that are held at once; a larger table is made again in blocks on the way back.
+MOST_BITS = 1 << 28
+#: Pieces of edit scripts that are Python objects at once.
+PIECES = 1 << 16
 DIFF_TYPE = "array<struct<op: int, text: string>>"
 #: The same type for functions that workers import.
 DIFFS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -24,6 +30,7 @@ def edit_script(a: str, b: str) -> list[tuple[int, str]]:
     """(op, text) with op -1 delete, 0 equal, 1 insert: a longest common subsequence is kept, deletes come before inserts.
 
     The subsequence table is one bit vector for each character of b, updated by an addition; the walk back reads single bits.
+    Of a table above MOST_BITS only the first vector of each block is kept, and one block is made again at a time.
     """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -36,17 +43,31 @@ def edit_script(a: str, b: str) -> list[tuple[int, str]]:
     for i, c in enumerate(x):
         at[c] = at.get(c, 0) | 1 << i
     mask = (1 << len(x)) - 1
-    row, rows = mask, []
-    for c in y:
-        hit = row & at.get(c, 0)
-        row = ((row + hit) | (row - hit)) & mask
-        rows.append(row)
-    i, j, steps = len(x), len(y), []
+    block = len(y) or 1
+    if len(x) * len(y) > MOST_BITS:
+        block = isqrt(len(y))
+
+    def further(row: int, part: str) -> list[int]:
+        rows = []
+        for c in part:
+            hit = row & at.get(c, 0)
+            row = ((row + hit) | (row - hit)) & mask
+            rows.append(row)
+        return rows
+
+    befores, rows = [mask], []
+    for k in range(0, len(y), block):
+        rows = further(befores[-1], y[k : k + block])
+        befores.append(rows[-1])
+    i, j, steps, k = len(x), len(y), [], max(len(y) - 1, 0) // block
     while i or j:
+        if j and (j - 1) // block < k:
+            k -= 1
+            rows = further(befores[k], y[k * block : (k + 1) * block])
         if i and j and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
             steps.append((0, x[i]))
-        elif j and (not i or not rows[j - 1] >> (i - 1) & 1):
+        elif j and (not i or not rows[j - 1 - k * block] >> (i - 1) & 1):
             j -= 1
             steps.append((1, y[j]))
         else:
@@ -63,9 +84,34 @@ def edit_script(a: str, b: str) -> list[tuple[int, str]]:
     return out
 
 
-@F.pandas_udf(DIFFS)
-def char_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"op": o, "text": t} for o, t in edit_script(x or "", y or "")] for x, y in zip(a, b, strict=True)])
+def packed(a: pa.Array, b: pa.Array, script: Callable[[str, str], list[tuple[int, str]]]) -> pa.Array:
+    """The script of each two texts (null counts as empty) as Arrow's array of DIFFS; only PIECES pieces and one script are Python objects at once."""
+    ops, texts, sizes = [pa.array([], pa.int32())], [pa.array([], pa.string())], []
+    held: list[tuple[int, str]] = []
+
+    def flush():
+        ops.append(pa.array([o for o, _ in held], pa.int32()))
+        texts.append(pa.array([t for _, t in held], pa.string()))
+        held.clear()
+
+    for x, y in zip(a, b, strict=True):
+        own = script(x.as_py() or "", y.as_py() or "")
+        sizes.append(len(own))
+        held += own
+        if len(held) >= PIECES:
+            flush()
+    flush()
+    offsets = pa.array(accumulate(sizes, initial=0), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.concat_arrays(ops), pa.concat_arrays(texts)], names=["op", "text"]))
+
+
+@F.arrow_udf(DIFFS)
+def char_diff(a: pa.Array, b: pa.Array) -> pa.Array:
+    return packed(a, b, edit_script)
+
+
+# a filter on what the differences give is not to make them a second time
+char_diff = char_diff.asNondeterministic()
 
 
 def normalizer(form: str):

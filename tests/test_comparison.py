@@ -4,12 +4,15 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from html import escape
 
+import pyarrow as pa
 import pytest
 
 from strophe import registry
+from strophe.functions import diff
 from strophe.functions.diff import edit_script
 from strophe.operators import align, joins, ordered
 from strophe.queries import compare
@@ -206,3 +209,25 @@ def test_beam_over_the_table(spark):
         near = [r["path"][:i] + r["path"][i + 1 :] for i in range(len(r["path"]))] + [[*r["path"], k] for k in range(1, 8)]
         lost += max(ctc_score(frames, n, [1, 2, 3]) for n in near) > own + 1e-9
     assert lost <= 15
+
+
+def test_scripts_are_packed_in_slices(monkeypatch):
+    """Pieces become Arrow's memory as they come, and a long pair's table is made in blocks with the same script."""
+    rng = random.Random(3)
+    texts = [("".join(rng.choices("abcde ", k=n)), "".join(rng.choices("abcde ", k=n))) for n in [0, 1, 1, 40, 300] + [400] * 300]
+    a, b = pa.array([None, *(x for x, _ in texts)]), pa.array(["x", *(y for _, y in texts)])
+    want = [[{"op": o, "text": t} for o, t in edit_script(x or "", y)] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    monkeypatch.setattr(diff, "PIECES", 1 << 10)
+    monkeypatch.setattr(diff, "MOST_BITS", 1 << 10)
+    tracemalloc.start()
+    got = diff.packed(a, b, edit_script)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want and sum(map(len, want)) > 50_000
+    assert peak < 2_000_000
+
+
+def test_a_filter_makes_no_second_script(spark):
+    for name in ("char_diff", "compare_report"):
+        plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("EvalPython") == 1
