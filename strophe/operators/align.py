@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,37 +49,64 @@ def align_asr(lines: DataFrame, heard: DataFrame, chapter: str, line: str, text:
     return chapters.join(heard, chapter, "left").select("source", "heard").mapInArrow(run, f"{line} {kind}, asr_text string")
 
 
-def splice(rows: list[dict], heard: str) -> list[tuple[str, float, float, float, bool]]:
-    """(char, begin, end, score, is_asr): recognised characters are put in after a character with a flagged gap, and last the gap."""
-    out: list[tuple[str, float, float, float, bool]] = []
+def splice(text: str, flags: list[bool], heard: str) -> list[tuple[int, str, bool]]:
+    """(place, char, is_asr): recognised characters are put in after a character with a flagged gap, and take their place from it."""
+    out: list[tuple[int, str, bool]] = []
     at = 0
-    for op, piece in edit_script("".join(r["ch"] for r in rows), heard):
+    for op, piece in edit_script(text, heard):
         for c in piece:
             if op <= 0:
-                r = rows[at]
-                out.append((r["ch"], r["begin_ts"], r["end_ts"], r["score"], False))
+                out.append((at, c, False))
                 at += 1
-            elif at and rows[at - 1]["flag"]:
-                r = rows[at - 1]
-                out.append((c, r["end_ts"], r["end_ts"] + r["gap"], 1.0, True))
+            elif at and flags[at - 1]:
+                out.append((at - 1, c, True))
     return out
 
 
-def splice_asr(chars: DataFrame, line: str) -> DataFrame:
-    """chars: line, seq, ch, begin_ts, end_ts, score, gap, flag, asr_text. A line's characters are one row of a batch."""
-    kind = chars.schema[line].dataType.simpleString()
-    types = {"seq": pa.int64(), "ch": pa.string(), "begin_ts": pa.float64(), "end_ts": pa.float64(), "score": pa.float64(), "is_asr": pa.bool_()}
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("ch", T.StringType()), T.StructField("is_asr", T.BooleanType())])))
+def splices(text: pa.Array, flags: pa.Array, heard: pa.Array) -> pa.Array:
+    """splice of each line; the lines' characters are Python objects one line at a time."""
+    ats, chars, added, sizes = array("i"), bytearray(), bytearray(), [0]
+    widths = array("i", [0])
+    for t, f, h in zip(text, flags, heard, strict=True):
+        own = splice(t.as_py() or "", f.as_py() or [], h.as_py() or "")
+        sizes.append(sizes[-1] + len(own))
+        ats.extend(at for at, _, _ in own)
+        added.extend(is_asr for _, _, is_asr in own)
+        for _, c, _ in own:
+            chars += c.encode()
+            widths.append(len(chars))
+    columns = [
+        pa.Array.from_buffers(pa.int32(), len(ats), [None, pa.py_buffer(ats)]), pa.StringArray.from_buffers(len(ats), pa.py_buffer(widths), pa.py_buffer(chars)),
+        pa.array(np.frombuffer(added, np.uint8).astype(bool)),
+    ]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, names=["at", "ch", "is_asr"]))
+
+
+# what makes rows of the arrays is not to ask for them twice
+splices = splices.asNondeterministic()
+
+
+def splice_lines(lines: DataFrame, line: str) -> DataFrame:
+    """lines: line, chars (array of ch, begin_ts, end_ts, score, gap, flag in order; ch is one character), heard. Only texts and flags go to Python."""
+    def row(step, seq):
+        r, added = F.get("chars", step["at"]), step["is_asr"]
+        end = r["end_ts"].cast("double")
+        return F.struct(
+            seq.cast("long").alias("seq"), step["ch"].alias("ch"), F.when(added, end).otherwise(r["begin_ts"].cast("double")).alias("begin_ts"),
+            F.when(added, end + r["gap"].cast("double")).otherwise(end).alias("end_ts"), F.when(added, 1.0).otherwise(r["score"].cast("double")).alias("score"), added.alias("is_asr"),
+        )
+
+    steps = lines.select(line, "chars", splices(F.array_join("chars.ch", ""), "chars.flag", "heard").alias("steps"))
+    # rows are made before they are dealt out, or each would carry its line's characters
+    return steps.select(line, F.transform("steps", row).alias("rows")).select(line, F.inline("rows"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [splice(rows, heard or "") for rows, heard in zip(batch.column("chars").to_pylist(), batch.column("heard").to_pylist(), strict=True)]
-            flat = [(i, *row) for own in found for i, row in enumerate(own)]
-            again = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("line").take(again), *(pa.array([row[i] for row in flat], t) for i, t in enumerate(types.values()))], names=[line, *types])
-
-    fields = [F.col(c) for c in ("seq", "ch")] + [F.col(c).cast("double").alias(c) for c in ("begin_ts", "end_ts", "score", "gap")] + [F.col("flag")]
-    lines = chars.groupBy(F.col(line).alias("line")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chars"), F.min_by("asr_text", "seq").alias("heard"))
-    return lines.mapInArrow(run, f"{line} {kind}, seq long, ch string, begin_ts double, end_ts double, score double, is_asr boolean")
+
+def splice_asr(chars: DataFrame, line: str) -> DataFrame:
+    """chars: line, seq, ch, begin_ts, end_ts, score, gap, flag, asr_text (of a line's first character; others need none). Tables with a row for each line go to splice_lines."""
+    fields = F.struct("seq", "ch", "begin_ts", "end_ts", "score", "gap", "flag")
+    lines = chars.groupBy(line).agg(F.sort_array(F.collect_list(fields)).alias("chars"), F.min_by("asr_text", "seq").alias("heard"))
+    return splice_lines(lines, line)
 
 
 def guided_paths(df: DataFrame, key: str, frames: str, expected: list[int], width: int = 8, bonus: float = 1.0) -> DataFrame:

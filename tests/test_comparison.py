@@ -231,3 +231,16 @@ def test_a_filter_makes_no_second_script(spark):
     for name in ("char_diff", "compare_report"):
         plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("EvalPython") == 1
+
+
+def test_splice_keeps_text_out_of_the_characters(spark):
+    """Lines are dealt out as texts, with no copy of the heard text beside each character, and a line's characters end before rows are made."""
+    plan = registry.QUERIES["asr_splice"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == plan.count("Exchange") == 1 and "chars" not in plan[plan.index("Exchange") :] and re.search(r"Generate inline\(rows#\d+\), \[script_id#\d+L\]", plan)
+    rows = [(1, i, c, i * 1.0, i + 0.5, 0.5, 0.25, c == "b", "xabyyc" if i == 0 else None) for i, c in enumerate("abc")] + [(2, 5, "é", 0.0, 1.0, 0.5, 0.25, None, None), (3, 0, "a", 0.0, 1.0, 0.5, 0.25, True, "a𝄞𝄞")]
+    df = spark.createDataFrame(rows, "line long, seq int, ch string, begin_ts double, end_ts double, score double, gap double, flag boolean, asr_text string")
+    got = [tuple(r) for r in align.splice_asr(df, "line").orderBy("line", "seq").collect()]
+    assert got == [
+        (1, 0, "a", 0.0, 0.5, 0.5, False), (1, 1, "b", 1.0, 1.5, 0.5, False), (1, 2, "y", 1.5, 1.75, 1.0, True), (1, 3, "y", 1.5, 1.75, 1.0, True), (1, 4, "c", 2.0, 2.5, 0.5, False),
+        (2, 0, "é", 0.0, 1.0, 0.5, False), (3, 0, "a", 0.0, 1.0, 0.5, False), (3, 1, "𝄞", 1.0, 1.25, 1.0, True), (3, 2, "𝄞", 1.0, 1.25, 1.0, True),
+    ]
