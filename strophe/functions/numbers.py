@@ -62,3 +62,8 @@ def expected_minutes(timestamps: Column, training: Column, speech: Column, queue
     """When a run is over time: its estimate by the work that is asked for, less for runs that a queue waits for."""
     total = F.lit(10.0) + F.when(timestamps, 20.0).otherwise(0.0) + F.when(training, 240.0).otherwise(0.0) + F.when(speech, 20.0).otherwise(0.0)
     return total * F.when(queued, 0.3).otherwise(2.0)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits with its sign: what is negative and rounds to zero is -0.0, as C's and SQL engines' round has it; Spark's round has 0.0."""
+    return F.signum(x) * F.abs(F.round(x, digits))

@@ -17,7 +17,7 @@ T = f"WITH {TIMELINE}"
   round(greatest(max(x), 0), 9) AS max, round(skewness(x), 6) AS skew, round(kurtosis(x), 6) AS kurtosis FROM x GROUP BY event_type""")
 def score_moments(spark, d):
     m = stats.moments(timeline(spark, d).filter("score > 0"), nx.neg_log10(F.col("score")), ["event_type"])
-    return m.select("event_type", "n", *[F.round(c, n).alias(c) for c, n in (("mean", 9), ("stddev", 9), ("min", 9), ("max", 9), ("skew", 6), ("kurtosis", 6))])
+    return m.select("event_type", "n", *[nx.rounded(F.col(c), n).alias(c) for c, n in (("mean", 9), ("stddev", 9), ("min", 9), ("max", 9), ("skew", 6), ("kurtosis", 6))])
 
 
 SHARES = [0.5, 0.9, 0.99, 0.999]
@@ -75,7 +75,7 @@ def diff_rollup(spark, d):
     x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     x = x.select(F.col("s_nationkey").alias("book"), F.col("l_linenumber").alias("chapter"), (F.col("l_quantity") - F.col("l_tax") * 100).alias("diff"))
     median = F.expr("percentile_disc(0.5) within group (order by diff)")
-    return x.rollup("book", "chapter").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean"), F.round(F.stddev_samp("diff"), 6).alias("stddev"), F.round(median, 6).alias("median"))
+    return x.rollup("book", "chapter").agg(F.count("*").alias("n"), nx.rounded(F.avg("diff"), 6).alias("mean"), F.round(F.stddev_samp("diff"), 6).alias("stddev"), nx.rounded(median, 6).alias("median"))
 
 
 @query(f"""{T}, w AS (SELECT file_id, char_id // 5 AS word, count(*) FILTER (score <= 0.001) AS n_critical, count(*) AS n_chars, coalesce(sum(CASE WHEN score <= 0.001 THEN -log10(score) END), 0) AS logs, count(*) FILTER (event_type = 'error') AS n_asr FROM timeline GROUP BY file_id, char_id // 5),
@@ -90,7 +90,7 @@ def critical_score(spark, d):
 SELECT vec_id, label, list(CASE WHEN s > 0 THEN round((x - m) / s, 6) ELSE 0 END ORDER BY col) AS zscores FROM c JOIN s USING (label, col) GROUP BY vec_id, label""")
 def zscore_cols(spark, d):
     z = stats.zscore_columns(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
-    return z.select("vec_id", "label", F.transform("zscores", lambda x: F.round(x, 6)).alias("zscores"))
+    return z.select("vec_id", "label", F.transform("zscores", lambda x: nx.rounded(x, 6)).alias("zscores"))
 
 
 @query("SELECT count(*) FILTER (n_chars > 5000) AS over_limit, count(*) AS n, round(sum(strlen(text)) / 1048576.0, 6) AS total_mb FROM documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from strophe.functions import numbers as nx
 from strophe.operators import ctc, lexicon
 from strophe.operators.numbering import number
 from strophe.queries.views import table
@@ -47,7 +48,7 @@ def windowed_frames(spark, d):
     """A class's vectors as one recording, smoothed in windows of 16 frames."""
     placed = number(table(spark, d, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 2).alias("value")), ["vec_id"], "seq", keys=["label"], start=0)
     out = ctc.in_windows(placed, "label", "seq", "value", 16, 3, smooth)
-    return out.select("label", "seq", F.round(F.get("out", F.lit(0)), 5).alias("a"), F.round(F.get("out", F.lit(1)), 5).alias("b"))
+    return out.select("label", "seq", nx.rounded(F.get("out", F.lit(0)), 5).alias("a"), nx.rounded(F.get("out", F.lit(1)), 5).alias("b"))
 
 
 def short_words(spark, d):

@@ -313,3 +313,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("gaps").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_rounded_zeros_keep_their_sign(spark, tmp_path):
+    """As the queries' SQL rounds: values just below a group's mean are -0.0."""
+    rows = [(i, [x], 1) for i, x in enumerate([-1e-9, 1e-9, 0.0, 2.0, -2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["zscores"][0] for r in registry.QUERIES["zscore_cols"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {i: z[0] for i, _, z in con.sql(registry.ORACLES["zscore_cols"]).fetchall()}
+    assert {i: str(z) for i, z in got.items()} == {i: str(z) for i, z in want.items()} and str(got[0]) == "-0.0"
