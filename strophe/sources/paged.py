@@ -1,7 +1,8 @@
-"""A paginated source as a Spark data source: a partition for each page, an end by the total that every page tells.
+"""A paginated source as a Spark data source: runs of pages as partitions, an end by the total that every page tells.
 
 `fetch(location, page)` gives a page as JSON text: {"data": [...], "meta": {"pagination": {"current_page": n,
-"total_pages": m}}}. The first page is fetched on the driver for the total; the others are fetched by tasks, side by side.
+"total_pages": m}}}. The first page is fetched on the driver for the total; the others are fetched by tasks, side by side. A table has at most
+MOST_PARTS partitions (option "parts" for another number), so tasks do not grow with the pages; a task holds one page at a time.
 The recorded form reads page-<n>.json from a folder; a client of a service is another `fetch`.
 """
 
@@ -14,6 +15,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+#: Partitions of a table at most.
+MOST_PARTS = 256
+
+
 def recorded(location: str, page: int) -> str:
     """A page from a folder of any file system that Arrow knows."""
     from pyarrow import fs
@@ -32,26 +37,30 @@ def paging(text: str, page: int, location: str) -> tuple[list[dict], int]:
     return content["data"], place["total_pages"]
 
 
-class Page(InputPartition):
-    def __init__(self, number: int, total: int):
-        super().__init__(number)
-        self.number, self.total = number, total
+class Pages(InputPartition):
+    """The pages from `first` to `last`."""
+
+    def __init__(self, first: int, last: int, total: int):
+        super().__init__(first)
+        self.first, self.last, self.total = first, last, total
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[str, int], str], location: str, names: list[str]):
-        self.fetch, self.location, self.names = fetch, location, names
+    def __init__(self, fetch: Callable[[str, int], str], location: str, schema: StructType, parts: int):
+        self.fetch, self.location, self.names, self.parts = fetch, location, schema.fieldNames(), parts
 
     def partitions(self) -> list[InputPartition]:
         total = paging(self.fetch(self.location, 1), 1, self.location)[1]
-        return [Page(i, total) for i in range(1, total + 1)] or [Page(1, 0)]
+        n = min(total, self.parts)
+        return [Pages(i * total // n + 1, (i + 1) * total // n, total) for i in range(n)] or [Pages(1, 1, 0)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        rows, total = paging(self.fetch(self.location, partition.number), partition.number, self.location)
-        if total != partition.total:
-            raise ValueError(f"{self.location} has {total} pages now and had {partition.total}")
-        for row in rows:
-            yield tuple(row.get(n) for n in self.names)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for page in range(partition.first, partition.last + 1):
+            rows, total = paging(self.fetch(self.location, page), page, self.location)
+            if total != partition.total:
+                raise ValueError(f"{self.location} has {total} pages now and had {partition.total}")
+            for row in rows:
+                yield tuple(row.get(n) for n in self.names)
 
 
 def paged_source(name: str, fetch: Callable[[str, int], str] = recorded) -> type[DataSource]:
@@ -63,6 +72,6 @@ def paged_source(name: str, fetch: Callable[[str, int], str] = recorded) -> type
             return name
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return PageReader(fetch, self.options["path"], schema.fieldNames())
+            return PageReader(fetch, self.options["path"], schema, int(self.options.get("parts", MOST_PARTS)))
 
     return Paged

@@ -171,3 +171,17 @@ def test_keyed_timers(spark, tmp_path):
     time.sleep(2)
     q.stop()
     assert [tuple(r) for r in spark.table("late_runs").collect()] == [("late", 0.02)]
+
+
+def test_many_pages_share_partitions(spark, tmp_path):
+    """Tasks do not grow with the pages: runs of pages, each row once, and every page still checked."""
+    spark.dataSource.register(paged_source("pages_test"))
+    place = pages(tmp_path, 300)
+    df = spark.read.format("pages_test").schema("id long").load(place)
+    assert df.rdd.getNumPartitions() == 256
+    few = spark.read.format("pages_test").schema("id long").option("parts", "7").load(place)
+    assert few.rdd.getNumPartitions() == 7
+    assert sorted(r["id"] for r in few.collect()) == sorted(10 * i + k for i in range(1, 301) for k in range(i))
+    (tmp_path / "page-299.json").unlink()
+    with pytest.raises(Exception, match="page-299.json"):
+        few.collect()
