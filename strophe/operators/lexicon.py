@@ -19,6 +19,8 @@ BEGIN, END = "<s>", "</s>"
 UNSEEN, BACK_OFF = -7.0, math.log10(0.4)
 #: Rows of the lexicon and of the n-gram table that tasks hold at most.
 MOST_WORDS, MOST_NGRAMS = 500_000, 2_000_000
+#: Scored words that a decoder keeps.
+KEPT = 300_000
 
 
 def ngrams(lines: DataFrame, words: str, order: int = 3) -> DataFrame:
@@ -48,6 +50,21 @@ class Decoder:
                 self.words[node].append(word)
         self.scores = {(history, word): score for history, word, score in table}
         self.order, self.weight, self.word_score, self.width, self.blank = order, weight, word_score, width, blank
+        self.known: dict[tuple[int, tuple[str, ...]], list[tuple[float, str, tuple[str, ...]]]] = {}
+        self.n_known = 0
+
+    def ending(self, node: int, history: tuple[str, ...]) -> list[tuple[float, str, tuple[str, ...]]]:
+        """Weighted score, word and next history of the words spelled at a node, best first; up to KEPT words are kept for the next time."""
+        found = self.known.get((node, history))
+        if found is None:
+            keep = self.order - 1
+            found = sorted((-self.weight * self.score(history, word), word, (*history, word)[-keep:] if keep else ()) for word in self.words[node])
+            found = [(-x, word, after) for x, word, after in found]
+            self.n_known += len(found) + 1
+            if self.n_known > KEPT:
+                self.known, self.n_known = {}, len(found) + 1
+            self.known[node, history] = found
+        return found
 
     def score(self, history: tuple[str, ...], word: str) -> float:
         penalty = 0.0
@@ -71,7 +88,11 @@ class Decoder:
                 if held is None or (-score, words) < (-held[0], held[1]):
                     after[key] = (score, words)
 
+            # no more than `width` of a frame's hypotheses stay: once so many are known, words that end below all of them are left out
+            least, full = -math.inf, 2 * self.width
             for (node, history, last, gap), (score, words) in beam.items():
+                if len(after) >= full:
+                    least, full = sorted((x for x, _ in after.values()), reverse=True)[self.width - 1], 2 * len(after)
                 add((node, history, last, True), score + frame[self.blank], words)
                 if last >= 0 and not gap:
                     add((node, history, last, False), score + frame[last], words)
@@ -81,9 +102,12 @@ class Decoder:
                     reached = score + frame[label]
                     if self.child[below]:
                         add((below, history, label, False), reached, words)
-                    for word in self.words[below]:
-                        whole = reached + self.weight * self.score(history, word) + self.word_score
-                        add((0, (*history, word)[-keep:] if keep else (), label, False), whole, (*words, word))
+                    if self.words[below]:
+                        for said, word, follows in self.ending(below, history):
+                            whole = reached + said + self.word_score
+                            if whole < least:
+                                break
+                            add((0, follows, label, False), whole, (*words, word))
             beam = dict(sorted(after.items(), key=lambda x: (-x[1][0], x[1][1]))[: self.width])
         ends = [(s + self.weight * self.score(history, END), words) for (node, history, _, _), (s, words) in beam.items() if node == 0 and words]
         if not ends:
@@ -121,4 +145,6 @@ def decode(df: DataFrame, key: str, frames: str, spellings: DataFrame, table: Da
             yield pa.RecordBatch.from_arrays(columns, names=[key, "words", "score"])
 
     rows = df.select(F.col(key).alias("key"), F.col(frames).cast("array<array<double>>").alias("frames"))
+    # a row takes milliseconds, and a table of few blocks would be read by few tasks
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("key", "frames"))
     return rows.mapInArrow(run, f"{key} {kind}, words array<string>, score double")

@@ -171,3 +171,24 @@ def test_too_large_a_lexicon_raises(spark, monkeypatch):
     lines = spark.createDataFrame([(["a"],)], "words array<string>")
     with pytest.raises(ValueError, match="more than 1 rows"):
         lexicon.decode(known.selectExpr("1 as id", "array(array(0.0D)) as f"), "id", "f", known, lexicon.ngrams(lines, "words"))
+
+
+def test_lexicon_keeps_the_best_and_spreads_rows(spark):
+    """Words left out of a full beam change nothing, for narrow and wide beams, and rows of one block go to many tasks."""
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for n in (1, 2, 3) for w in itertools.product("abcd", repeat=n)]
+    spelled = [(w, [ord(c) % 3 + 1 for c in w]) for w in words]
+    table = [((), w, float(x)) for w, x in zip(words, rng.uniform(-3, -1, len(words)), strict=True)] + [((a,), b, float(rng.uniform(-2, 0))) for a, b in rng.choice(words, (60, 2))] + [(("<s>",), w, -0.5) for w in words[::5]]
+
+    for width in (3, 20, 5000):
+        own = lexicon.Decoder(spelled, table, 3, 0.8, 0.1, width, 0)
+        for n in (1, 4, 6):
+            frames = np.log(rng.dirichlet(np.ones(4), n)).tolist()
+            held, lexicon.KEPT = lexicon.KEPT, 5
+            again = lexicon.Decoder(spelled, table, 3, 0.8, 0.1, width, 0).decode(frames)
+            lexicon.KEPT = held
+            assert own.decode(frames) == again
+            if width == 5000:
+                assert own.decode(frames) == lexicon.Decoder(spelled, table, 3, 0.8, 0.1, 10**9, 0).decode(frames)
+    plan = speech.lexicon_decode(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
