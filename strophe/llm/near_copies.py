@@ -5,8 +5,9 @@ shingle sets decide. Every text has the same number of further keys: BANDS diges
 shingles. Two texts of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.80, 0.99999 at 0.85;
 what a pair fails to share, the links of others mostly connect. Sharing a key only proposes too.
 
-1. Copies (equal words) collapse. SimHash groups and keys give stars (least id, member); these are verified on the
-   whole shingle sets.
+1. Copies (equal words) collapse. SimHash groups give stars (least id, member), and keys give stars from the member
+   whose keys have most members in all: of many copies of one text that text shares most, and links them, while two of
+   its copies may be too far apart. These are verified on the whole shingle sets.
 2. Where members of a key are still in different components, pivots are compared with all members of their keys in
    other components: a few random ones at first, four times as many each round. Two nodes in different components
    are not both in a key's first one, so only nodes outside it ever need to be pivots. A pivot's pairs are complete, so it leaves its keys after its round;
@@ -168,9 +169,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     proposed = proposed.select(F.coalesce("component", "first").alias("u"), "v").filter("u < v")
 
     keys = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("least"), F.max("node").alias("most")).filter("least.node < most")
-    met = Written(keys.join(shared.select("key", F.col("least.node").alias("u"), F.col("least.n").alias("nu"), F.col("least.fp").alias("fpu")), "key"), "met")
-    stars = met.df.filter("u < node").select("u", "nu", "fpu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fpv")).filter(may_match("u", "v", percent))
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    met = Written(keys.join(shared, "key"), "met")
+    # the node that shares most is in a key the likeliest to be what the others were copied from
+    weights = met.df.groupBy("node").agg(F.sum("m").alias("weight"))
+    centres = met.df.join(weights, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "fp"), F.struct("weight", -F.col("node"))).alias("c"))
+    stars = met.df.join(centres.select("key", F.col("c.node").alias("u"), F.col("c.n").alias("nu"), F.col("c.fp").alias("fpu")), "key")
+    stars = stars.filter("u != node").select("u", "nu", "fpu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fpv")).filter(may_match("u", "v", percent))
     stars = Written(proposed.unionByName(stars.select("u", "v")).distinct(), "stars")
     edges = verified(stars.df, packed_texts(among(rows, ends(stars.df))), shingle, seed, percent)
     labels = Written(connected_components(edges), "labels")

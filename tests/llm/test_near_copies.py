@@ -72,3 +72,21 @@ def test_a_common_passage_and_a_long_text(spark):
     rows += [(5_000, " ".join(long), "en", "a", 0), (5_001, " ".join(long[:-50] + ["x"] * 50), "en", "a", 0)]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: i for i in range(2_000)} | {5_000: 5_000, 5_001: 5_000}
+
+
+def test_a_text_links_its_copies_in_few_pairs(spark, monkeypatch):
+    """Copies that are too far from each other and near to their source, which has not the least id: pairs grow with the copies, not with their square."""
+    rng = random.Random(11)
+    source = [f"w{i}" for i in range(400)]
+    rows = [(500, " ".join(source))]
+    for i in range(200):
+        own = list(source)
+        for at in rng.sample(range(5, 395, 10), 7):
+            own[at] = f"x{i}y{at}"
+        rows.append((i if i < 100 else i + 1000, " ".join(own)))
+    made = []
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == 201
+    assert sum(made) < 5 * len(rows)
