@@ -6,17 +6,20 @@ shingles. Two texts of similarity s share one with probability 1 - (1 - s**ROWS)
 what a pair fails to share, the links of others mostly connect. Sharing a key only proposes too.
 
 1. Copies (equal words) collapse. SimHash groups give stars (least id, member), and keys give stars from the member
-   whose keys have most members in all: of many copies of one text that text shares most, and links them, while two of
-   its copies may be too far apart. These are verified on the whole shingle sets.
-2. Where members of a key are still in different components, pivots are compared with all members of their keys in
-   other components: a few random ones at first, four times as many each round. Two nodes in different components
-   are not both in a key's first one, so only nodes outside it ever need to be pivots. A pivot's pairs are complete, so it leaves its keys after its round;
-   the rounds end when no key has several components left. Then every pair of a key that may be similar was verified or lies in one component; a
-   large cluster connects within a few rounds of a few pivots, and its pairs are never made.
+   whose keys have most members in all, the key's centre. These are verified on the whole shingle sets.
+2. Keys whose members are still in different components are finished in one round. In one of at most PAIRED members all
+   pairs of different components are verified. In a larger one each member is taken as its difference to the centre's
+   set: the shingles that only one of the two has. For similar members x and y at most (|x| + |y|) / 9 shingles (at 0.8)
+   lie in one of their differences alone, so what both differences share has a least size, and the first shared one
+   stands among the first few of each, in any order that both follow: shingles that the centre lacks, from
+   the rarest among its members to the most frequent, then those that it has. Members near the centre are linked with it at once, so only pairs with one far from it are wanted;
+   pairs are made of those that meet in such a shingle, early enough to share as many as they must. Every pair of a key
+   that may be similar was verified or lies in one component then; variants of one text that are no near copies of each
+   other have keys in common, but no such shingles, and their pairs are never made.
 
 Pairs whose sizes rule out the similarity are not made, nor those of more than FAR differing SimHash bits (at 0.8 the
-mean is 10 and the deviation 3) unless one set is smaller than FEW. Each text travels to its verification once for each
-pair at most, compressed; tables of a round are deleted when the next one stands.
+mean is 10 and the deviation 3) unless one set is smaller than FEW; differences need no SimHash. Each text travels to
+its verification once for each pair at most, and once for each centre of a large key, compressed.
 
 Shingles are equal when their 64-bit hashes are. Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle; null ids take no part; rows of one id are one node.
@@ -29,15 +32,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.lineage import Written, release
+from strophe.lineage import Written
 from strophe.llm.common import slices, text_rows
 from strophe.llm.simhash import connected_components, links, majority, shingle_hashes
 
 #: Keys of a text and min-hashes in each; SimHash bits beyond which two texts are not compared, and the set size from which that holds.
 BANDS, ROWS, FAR, FEW = 24, 6, 22, 20
+#: Members of a key that are paired as they are, at most.
+PAIRED = 16
 #: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -88,11 +93,21 @@ def packed_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, own binary").groupBy("doc_id").agg(F.collect_set("own").alias("texts"))
 
 
+def shingle_set(packed: bytes, shingle: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(zlib.decompress(packed).split(), shingle, seed))
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs with the texts a of u and b of v."""
+    both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("texts").alias("b")), "v")
+    return both.join(texts.select(F.col("doc_id").alias("u"), F.col("texts").alias("a")), "u")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
 
     def sets(packed) -> list[np.ndarray]:
-        return [np.unique(shingle_hashes(zlib.decompress(t).split(), shingle, seed)) for t in packed]
+        return [shingle_set(t, shingle, seed) for t in packed]
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         return len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= (len(x) + len(y)) * percent
@@ -108,8 +123,39 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, percen
                 keep[i] = any(similar(x, y) for y in sets(b[i].as_py()) for x in own)
             yield pa.RecordBatch.from_arrays([us.filter(pa.array(keep)), vs.filter(pa.array(keep))], names=["u", "v"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("texts").alias("b")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("texts").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return with_texts(pairs, texts).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def differences(refs: DataFrame, texts: DataFrame, shingle: int, seed: int, percent: int) -> DataFrame:
+    """For refs (u, v, part), a row for each text of v (its number k): whether it is near u's first text, its shingles n,
+    size e of the difference, its shingles own (first the fresh ones that u lacks, in any order, then others as far as
+    wanted), and among how many first ones of it, in an order by u, it shares one with any similar text: probe if that is
+    not near u's, and most if it is.
+    """
+    schema = "u long, v long, k long, part long, near boolean, n long, e long, fresh long, probe long, most long, own array<long>"
+
+    def run(batches):
+        last, own = None, None
+        for batch in batches:
+            rows = []
+            for u, v, part, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "part")), batch.column("a"), batch.column("b"), strict=True):
+                if u != last:
+                    last, own = u, shingle_set(min(a.as_py()), shingle, seed)
+                for k, packed in enumerate(sorted(b.as_py())):
+                    y = shingle_set(packed, shingle, seed)
+                    new, gone = np.setdiff1d(y, own, assume_unique=True).view(np.int64), np.sort(np.setdiff1d(own, y, assume_unique=True).view(np.int64))
+                    n, e = len(y), len(new) + len(gone)
+                    near = e * (100 + percent) <= (n + len(own)) * (100 - percent)
+                    # two similar texts differ by n * (100 - percent) / percent shingles at most, and one of the two has a difference to u of more than near allows
+                    most = n * (100 - percent) // percent + 1
+                    probe = max(0, min(most, (e * (100 + percent) + (n - len(own)) * (100 - percent)) // (2 * (100 + percent)) + 1))
+                    wanted = max(0, (min(probe, most) if near else most) - len(new))
+                    rows.append((u, v, k, part, near, n, e, len(new), probe, most, np.concatenate((new, gone[:wanted]))))
+            columns = list(zip(*rows, strict=True)) or [()] * 11
+            types = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["u", "v", "k", "part", "near", "n", "e", "fresh", "probe", "most", "own"])
+
+    return with_texts(refs, texts).select("u", "v", "part", "a", "b").mapInArrow(run, schema)
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,32 +179,43 @@ def renamed(df: DataFrame, suffix: str, *more: str) -> DataFrame:
 
 
 def apart(members: DataFrame) -> DataFrame:
-    """key, node, n, fp, part of keys whose members lie in more than one part, with the first part and the number m of members."""
-    members = members.select("key", "node", "n", "fp", "part")
+    """Members of keys whose members lie in more than one part, with the number m of the key's members."""
     keys = members.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("m"))
-    return members.join(keys.filter("first < last").drop("last"), "key")
-
+    return members.join(keys.filter("first < last").select("key", "m"), "key")
+
+
+def key_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of members of a key that lie in different parts and may match, but for those with the centre."""
+    a = renamed(members.filter("not centre"), "x", F.col("key").alias("kx"), F.col("part").alias("px"))
+    b = renamed(members.filter("not centre"), "y", F.col("key").alias("ky"), F.col("part").alias("py"))
+    met = a.join(b, F.expr(f"kx = ky and px != py and x < y and {may_match('x', 'y', percent)}"))
+    return met.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+
+
+def first_shingles(rows: DataFrame) -> DataFrame:
+    """Of rows as differences() gives them, the shingles (own, at the place at from 0) among which similar ones share one; those of one text alone are left out."""
+    each = rows.select(*[c for c in rows.columns if c != "own"], F.posexplode("own").alias("i", "own"))
+    counted = each.join(each.groupBy("u", "own").agg(F.count("*").alias("c")), ["u", "own"])
+    placed = counted.withColumn("at", F.row_number().over(Window.partitionBy("u", "v", "k").orderBy(F.col("i") >= F.col("fresh"), F.when(F.col("i") < F.col("fresh"), F.col("c")), "own")) - 1)
+    return placed.filter("c > 1 and at < if(near, least(probe, most), most)").select("u", "v", "part", "near", "n", "e", "probe", "at", "own")
+
+
+def difference_pairs(firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of different parts, not both near their centre, whose differences may have enough in common."""
+    a, b = (firsts.select(*[F.col(c).alias(f"{c}_{side}") for c in firsts.columns]) for side in "xy")
+    met = a.filter("at_x < probe_x").join(
+        b.filter("not near_y"),
+        F.expr(
+            "u_x = u_y and own_x = own_y and part_x != part_y and (near_x or (at_y < probe_y and v_x < v_y))"
+            f" and n_x * 100 >= n_y * {percent} and n_y * 100 >= n_x * {percent}"
+            # what stands from the shared one on must hold as many as two similar ones share
+            f" and 2 * {100 + percent} * least(e_x - at_x, e_y - at_y) >= {100 + percent} * (e_x + e_y) - {100 - percent} * (n_x + n_y)"
+        ),
+    )
+    return met.select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v")).distinct()
 
-def pivot_pairs(members: DataFrame, most: int | None, percent: int) -> tuple[Written, DataFrame]:
-    """Pivots (node) and the pairs (u, v) of them and the members of their keys in other parts.
 
-    members as apart() gives them. About `most` pivots a key, of the nodes outside its first part; None for all of these.
-    """
-    chosen = members.groupBy("node").agg(F.max("m").alias("m"), F.max(F.col("part") != F.col("first")).alias("other")).filter("other")
-    if most is not None:
-        # a number in [0, 1) of the node itself: in its largest key about `most` of the m members fall below
-        chosen = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < most)
-    pivots = Written(chosen.select("node"), "pivots")
-    side = F.broadcast(pivots.df) if pivots.df.count() <= BROADCAST else pivots.df
-    flagged = members.join(side.withColumn("pivot", F.lit(True)), "node", "left")
-    a = renamed(flagged.filter("pivot"), "x", "key", F.col("part").alias("px"))
-    b = renamed(flagged, "y", "key", F.col("part").alias("py"), F.coalesce("pivot", F.lit(False)).alias("pivot"))
-    a, b = a.withColumnRenamed("key", "kx"), b.withColumnRenamed("key", "ky")
-    met = a.join(b, F.expr(f"kx = ky and px != py and (not pivot or x < y) and {may_match('x', 'y', percent)}"))
-    return pivots, met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42, pivots: int = 32) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `percent` similarity or more) of every row with an id."""
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
     own = Written(profiles(rows, shingle, seed), "profiles").df
@@ -174,31 +231,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the node that shares most is in a key the likeliest to be what the others were copied from
     weights = met.df.groupBy("node").agg(F.sum("m").alias("weight"))
     centres = met.df.join(weights, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "fp"), F.struct("weight", -F.col("node"))).alias("c"))
-    stars = met.df.join(centres.select("key", F.col("c.node").alias("u"), F.col("c.n").alias("nu"), F.col("c.fp").alias("fpu")), "key")
-    stars = stars.filter("u != node").select("u", "nu", "fpu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fpv")).filter(may_match("u", "v", percent))
+    centres = Written(centres.select("key", F.col("c.node").alias("u"), F.col("c.n").alias("nu"), F.col("c.fp").alias("fpu")), "centres")
+    around = met.df.select("key", "node", "n", "fp").join(centres.df, "key")
+    stars = around.filter("u != node").select("u", "nu", "fpu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fpv")).filter(may_match("u", "v", percent))
     stars = Written(proposed.unionByName(stars.select("u", "v")).distinct(), "stars")
     edges = verified(stars.df, packed_texts(among(rows, ends(stars.df))), shingle, seed, percent)
     labels = Written(connected_components(edges), "labels")
-    parted = met.df.select("key", "node", "n", "fp").join(labels.df, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    members = Written(apart(parted), "members")
-    met.drop()
-    stars.drop()
-    most = pivots
-    while (largest := members.df.agg(F.max("m")).first()[0]) is not None:
-        release(rows.sparkSession)
-        tried, found = pivot_pairs(members.df, most if most < largest else None, percent)
-        most *= 4
-        pairs = Written(found, "pairs")
-        edges = verified(pairs.df, packed_texts(among(rows, ends(pairs.df))), shingle, seed, percent)
-        part_of = among(members.df.select(F.col("node").alias("doc_id"), "part"), ends(pairs.df)).distinct()
-        between = edges.join(part_of.select(F.col("doc_id").alias("u"), F.col("part").alias("pu")), "u").join(part_of.select(F.col("doc_id").alias("v"), F.col("part").alias("pv")), "v")
-        merged = Written(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")), "merged")
-        known = labels.df.unionByName(merged.df.join(labels.df.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
-        after = Written(known.join(merged.df, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        left = members.df.join(tried.df, "node", "left_anti").join(merged.df, "part", "left")
-        rest = Written(apart(left.select("key", "node", "n", "fp", F.coalesce("to", "part").alias("part"))), "members")
-        for old in (labels, members, tried, pairs, merged):
-            old.drop()
-        labels, members = after, rest
+    centre = F.expr("node = u and n = nu and fp = fpu")
+    parted = around.select("key", "node", "n", "fp", "u", centre.alias("centre")).join(labels.df, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    members = Written(apart(parted.drop("component")), "members")
+    for old in (met, centres, stars):
+        old.drop()
+
+    refs = Written(members.df.filter(F.col("m") > PAIRED).select("u", F.col("node").alias("v"), "part").distinct(), "refs")
+    far = Written(differences(refs.df, packed_texts(among(rows, ends(refs.df))), shingle, seed, percent), "differences")
+    firsts = Written(first_shingles(far.df), "firsts")
+    pairs = Written(key_pairs(members.df.filter(F.col("m") <= PAIRED), percent).union(difference_pairs(firsts.df, percent)).distinct(), "pairs")
+    edges = verified(pairs.df, packed_texts(among(rows, ends(pairs.df))), shingle, seed, percent).union(far.df.filter("near").select("u", "v"))
+    part_of = members.df.select("node", "part").distinct()
+    between = edges.join(part_of.toDF("u", "pu"), "u").join(part_of.toDF("v", "pv"), "v")
+    merged = Written(connected_components(between.select(F.col("pu").alias("u"), F.col("pv").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("to")), "merged")
+    known = labels.df.unionByName(merged.df.join(labels.df.select(F.col("node").alias("part")), "part", "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component")))
+    after = Written(known.join(merged.df, F.col("component") == F.col("part"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+    for old in (labels, members, refs, far, firsts, pairs, merged):
+        old.drop()
+    labels = after
     tagged = nodes.join(labels.df, "node", "left").select("tag", F.coalesce("component", "node").alias("component_id"))
     return own.select("doc_id", "tag").join(tagged, "tag").select("doc_id", "component_id")

@@ -90,3 +90,41 @@ def test_a_text_links_its_copies_in_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0} and len(got) == 201
     assert sum(made) < 5 * len(rows)
+
+
+def test_variants_too_far_from_each_other_are_not_paired(spark, monkeypatch):
+    """Variants of one text that share keys and are no near copies, some with a near copy of their own, some near the text, and ids of two texts: links as by brute force, pairs in proportion to the rows."""
+    rng = random.Random(21)
+    source = [f"w{i}" for i in range(200)]
+
+    def changed(words, spots):
+        words = list(words)
+        for at in rng.sample(range(2, 198, 6), spots):
+            words[at : at + 1] = rng.choice(([f"x{rng.randrange(10**9)}"], [], [words[at], f"y{rng.randrange(10**9)}"]))
+        return words
+
+    variants = [changed(source, 7) for _ in range(600)]
+    texts = [*variants, source, *(changed(source, 2) for _ in range(40)), *(changed(v, 1) for v in variants[:90])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    rows += [(i, " ".join(changed(variants[100 + i], 1))) for i in range(20)]
+    made = []
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(rows[i][0]), find(rows[j][0])))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) < len(texts) - 100
+    assert got == want
+    assert sum(made) < near_copies.BANDS * len(rows), made
