@@ -6,10 +6,10 @@ frame for each document, so a short document is read and decompressed alone. The
 serialized id arrays of a bounded sample and stored once beside the shards. Files are written under a temporary name
 and renamed, with the same bytes on every attempt, so a lost executor's task can run again.
 
-Each different word of a batch is looked up once, and the ids of words, and of their letters, digits and symbols, are
-kept instead of encoded again. That holds for tokenizers that lower-case and cut texts as APART says, never across white
-space, nor across letters, digits and symbols in plain Latin words. A file's own declaration is compared with it when it
-is loaded; the texts of any other tokenizer are encoded whole.
+Each different word of a batch is cut once into its letters, digits and symbols, in Arrow and NumPy over all words, and
+the ids of these units are kept instead of encoded again. That holds for tokenizers that lower-case and cut texts as
+APART says, never across white space, nor across letters, digits and symbols in plain Latin words. A file's own
+declaration is compared with it when it is loaded; the texts of any other tokenizer are encoded whole.
 
 Defined results: null text counts as empty (the end id alone); null ids come first and stay null; repeated ids are
 ordered by their text; an empty table gives no shards and an empty result; extra columns are ignored.
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import checkpoint, slices, text_rows
+from strophe.llm.common import checkpoint, slices, text_buffers, text_rows
 
 MAGIC = b"STOK0001"
 HEAD = struct.Struct("<8sB32sI")
@@ -46,7 +46,9 @@ WHOLE = re.compile(r"[\x1c-\x1f\x85]|<\|")
 #: fall into runs of letters, single digits and runs of symbols, as the pre-tokenizer cuts them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MIXED = re.compile(rf"[^\x00-\x7f{LETTERS}]|'")
-UNIT = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+#: The kinds of a plain word's bytes: letters (all but ASCII are), digits and symbols.
+SYMBOL, LETTER, DIGIT = range(3)
+KIND = np.array([LETTER if b >= 128 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else SYMBOL for b in range(256)], np.uint8)
 WORDS_KEPT = 800_000
 #: How a tokenizer file declares that its words are apart: normaliser and pre-tokenizer. Fixed values.
 APART = {
@@ -67,6 +69,20 @@ def words_apart(declared: dict) -> bool:
     return all(declared.get(k) == v for k, v in APART.items()) and not declared.get("truncation") and all("<|" in t for t in special)
 
 
+def units_of(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The units of all words, and the number of units before each word and in all. Plain words are lower-cased and cut, mixed words are one unit as they are."""
+    mixed = pc.match_substring_regex(words, MIXED.pattern)
+    starts, data = text_buffers(pc.if_else(mixed, words, pc.utf8_lower(words)))
+    kind = KIND[data]
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begins[np.repeat(mixed.to_numpy(zero_copy_only=False), np.diff(starts))] = False
+    begins[starts[starts < len(data)]] = True
+    at = np.flatnonzero(begins)
+    units = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+    return units, np.searchsorted(at, starts)
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,8 +100,8 @@ def word_encoder(path: str):
     def raw(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_units(new: list[str]) -> list[bytes]:
-        """Ids of each unit: many in one text, told apart by the end-of-word tokens, one in each unit."""
+    def of_plain(new: list[str]) -> list[bytes]:
+        """Ids of each plain unit: many in one text, told apart by the end-of-word tokens, one in each unit."""
         out = []
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
@@ -97,51 +113,40 @@ def word_encoder(path: str):
                 out += raw(part)
         return out
 
-    def kept(of: list[str]) -> list[bytes | None]:
-        """What is known of these words; words still in use move on to the new half."""
-        got = list(map(new_half.get, of))
-        for i in [i for i, x in enumerate(got) if x is None]:
-            if (x := old_half.get(of[i])) is not None:
-                got[i] = new_half[of[i]] = x
-        return got
-
-    def of_words(words: list[str]) -> list[bytes]:
-        """Ids of each different word: Latin words from their units, others encoded as they are."""
+    def of_units(units: list[str]) -> list[bytes]:
+        """Ids of each different unit, kept or encoded now; units still in use move on to the new half."""
         nonlocal new_half, old_half
         if len(new_half) > WORDS_KEPT // 2:
             new_half, old_half = {}, new_half
-        got = kept(words)
-        missing = [i for i, x in enumerate(got) if x is None]
-        split = [None if MIXED.search(words[i]) else UNIT.findall(words[i].lower()) for i in missing]
-        units = list({u for part in split if part for u in part})
-        known = dict(zip(units, kept(units), strict=True))
-        new = [u for u, x in known.items() if x is None]
-        known.update(zip(new, of_units(new), strict=True))
-        new_half.update((u, known[u]) for u in new)
-        mixed = iter(raw([words[i] for i, part in zip(missing, split, strict=True) if part is None]))
-        for i, part in zip(missing, split, strict=True):
-            got[i] = new_half[words[i]] = next(mixed) if part is None else known[part[0]] if len(part) == 1 else b"".join([known[u] for u in part])
+        got = list(map(new_half.get, units))
+        missing = []
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if (x := old_half.get(units[i])) is not None:
+                got[i] = new_half[units[i]] = x
+            else:
+                missing.append(i)
+        alone = {i for i in missing if MIXED.search(units[i])}
+        mixed, plain = list(alone), [i for i in missing if i not in alone]
+        for at, ids in ((mixed, raw([units[i] for i in mixed])), (plain, of_plain([units[i] for i in plain]))):
+            for i, x in zip(at, ids, strict=True):
+                got[i] = new_half[units[i]] = x
         return got
 
     def encode(texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes; the different words of all texts are looked up once."""
+        """Ids of each text as bytes; the different words of all texts are cut once, and their different units looked up once."""
         if not apart:
             return raw(texts)
-        whole = [WHOLE.search(t) is not None for t in texts]
-        lists = pc.ascii_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()))
-        coded = lists.values.dictionary_encode()
-        of_word = of_words(coded.dictionary.to_pylist())
-        flat, sizes = np.frombuffer(b"".join(of_word), "<u4"), np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
-        first, code = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
-        parts = []
-        for at in range(0, len(code), 1 << 18):
-            word = code[at : at + (1 << 18)]
-            n = sizes[word]
-            done = np.cumsum(n)
-            parts.append(flat[np.repeat(first[word] - done + n, n) + np.arange(done[-1])])
-        ids = np.concatenate(parts) if parts else flat
-        bounds = np.concatenate(([0], np.cumsum(sizes[code])))[lists.offsets.to_numpy()]
-        return [raw([t])[0] if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, bounds, bounds[1:], strict=False)]
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, WHOLE.pattern)
+        lists = pc.ascii_split_whitespace(pc.if_else(whole, "", column))
+        words = lists.values.dictionary_encode()
+        cuts, first = units_of(words.dictionary)
+        units = cuts.dictionary_encode()
+        starts, ids = text_buffers(pa.array(of_units(units.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(units.indices))
+        of_word = pa.Array.from_buffers(pa.large_binary(), len(words.dictionary), [None, pa.py_buffer(starts[first]), pa.py_buffer(ids)])
+        starts, ids = text_buffers(of_word.take(words.indices))
+        bounds = starts[lists.offsets].tolist()
+        return [raw([t])[0] if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole.to_pylist(), bounds, bounds[1:], strict=False)]
 
     return encode, tokenizer.get_vocab_size()
 

@@ -13,6 +13,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -460,6 +461,27 @@ def test_other_tokenizers_encode_whole_texts(texts, tmp_path):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
 
 
+def test_each_letter_as_the_library_has_it():
+    """Also letters whose lower case lies outside the plain ranges: they do not end a run of letters."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    sample = ["", " ", "Əli aȺb Ɔkɔ\tƁata9(Ɗa)", *[f"a{chr(c)}B {chr(c)} x{chr(c)}{chr(c)}9 {chr(c)}'s" for c in range(1, 0x3000)]]
+    got = token_files.word_encoder(path)[0](sample)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
+
+
+def test_words_share_their_units():
+    """Capitals, digits and symbols make no new units: words are cut and looked up as arrays, not one by one."""
+    words = ["Word", "", "(word)", "WORD12...", "d'Été", "Été", "word"]
+    units, first = token_files.units_of(pa.array(words, pa.large_string()))
+    assert units.to_pylist() == ["word", "(", "word", ")", "word", "1", "2", "...", "d'Été", "été", "word"]
+    assert first.tolist() == [0, 1, 1, 4, 8, 9, 10, 11]
+    units, first = token_files.units_of(pa.array([], pa.large_string()))
+    assert (units.to_pylist(), first.tolist()) == ([], [0])
+
+
 def test_shard_random_access():
     rows = [(5, np.arange(70_000, dtype="<u4").tobytes()), (None, b""), (7, np.array([3, 2], "<u4").tobytes())]
     shard = token_files.Shard(token_files.shard_bytes(rows, 4, b"", 3), b"")
